@@ -133,12 +133,14 @@ def _mismatched(docs: DataFrame, shared: DataFrame, chunk: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: one row for each text."""
-    keep = exact_groups(docs, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_own", F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256)).withColumn("_cp", F.length(F.coalesce("text", F.lit(""))))
+    """The rows of ``docs`` that stay, with their own columns: one row for each text, even where ids repeat."""
+    keep = exact_groups(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("_kept")
+    rows = docs.withColumn("_own", F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256))
     met = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    plain = docs.columns  # ids may repeat: of the rows of one id and text the longest original stays
-    return met.groupBy("_id", "_sha").agg(F.max_by(F.struct(*plain), F.col("_cp")).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in plain))
+    plain = docs.columns
+    longest = F.max_by(F.struct(*plain), F.length(F.coalesce("text", F.lit(""))))
+    again = met.where("_rows > 1").groupBy("_id", "_sha").agg(longest.alias("_row")).select(*(F.col("_row")[c].alias(c) for c in plain))
+    return met.where("_rows = 1").select(*plain).unionByName(again)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

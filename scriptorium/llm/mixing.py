@@ -45,28 +45,29 @@ def split_quotas(quotas: np.ndarray, n_shards: int, rng: np.random.Generator) ->
     return np.concatenate([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, n_shards - left, rng)])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards: int = 16, blocks: int = BLOCKS, seed: int = 42) -> DataFrame:
-    """A row a document: doc_id, source, size, source_size, target, taken, copies (array of shard and order), row_key.
-
-    Size is the number of words, 0 for null. A source's rows fall into blocks by a hash of id and text. Its target is met
-    by whole passes over its blocks and, for the rest, by its blocks in a seeded random order; the one block on the edge
-    gives its rows in hash order up to the row that comes nearest. Each pass's blocks are dealt to the output shards by
-    :func:`split_quotas`, in disjoint runs of a random order, and rows are shuffled within a shard by a hash. Reruns with
-    the same rows and seed agree. A null source is the last source; repeated rows are drawn alike. Other columns are not
-    read. The number of sources is bounded by what the driver can list; blocks, not rows, are what it plans.
+def _hashed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed)))
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards: int = 16, blocks: int = BLOCKS, seed: int = 42):
+    """A function that adds source_size, target and ``copies`` (array of shard and place) to a frame of source and ``_h``.
+
+    ``rows`` has source, size and ``_h``, a hash of the row. A source's rows fall into blocks by that hash. Its target is
+    met by whole passes over its blocks and, for the rest, by its blocks in a seeded random order; the one block on the
+    edge gives its rows in hash order, up to the row that comes nearest. Blocks are dealt to the output shards by
+    :func:`split_quotas`, in disjoint runs of the random order. What is planned, and broadcast, is a list of sources and
+    at most ``blocks`` plus LEAST_BLOCKS a source blocks, whatever the input.
     """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
-    rows = materialize(rows.withColumn("row_key", F.monotonically_increasing_id()), "mix-rows")
+    spark = rows.sparkSession
     by_source = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    names = sorted((s for s in by_source if s is not None)) + ([None] if None in by_source else [])
+    names = sorted(s for s in by_source if s is not None) + ([None] if None in by_source else [])
     sizes, total_rows = [by_source[s]["size"] for s in names], sum(r["n"] for r in by_source.values())
     goal = targets(sizes, weights, times)
     per = [max(LEAST_BLOCKS, int(blocks * by_source[s]["n"] / total_rows)) for s in names]
-    spark = docs.sparkSession
     listed = spark.createDataFrame([(i, s, sizes[i], goal[i], per[i]) for i, s in enumerate(names)], "_s int, _name string, source_size bigint, target double, _per int")
-    dealt = rows.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_b", F.pmod("_h", "_per").cast("int"))
-    words = {(r["_s"], r["_b"]): r["w"] for r in dealt.groupBy("_s", "_b").agg(F.sum("size").alias("w")).collect()}
-    draws: list[list[tuple[int, int]]] = []  # per source: (pass, block) in drawing order
+    to_blocks = lambda df: df.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_b", F.pmod("_h", "_per").cast("int"))
+    words = {(r["_s"], r["_b"]): r["w"] for r in to_blocks(rows).groupBy("_s", "_b").agg(F.sum("size").alias("w")).collect()}
+    draws: list[list[tuple[int, int]]] = []  # of each source: (pass, block) in drawing order
     edges: list[tuple[int, int, int, int]] = []  # source, pass, block, words that it may still give
     for i in range(len(names)):
         rng = np.random.default_rng([seed, i])
@@ -81,35 +82,48 @@ def mix(docs: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards: int
             got.append((full, b))
         draws.append(got)
     quotas = split_quotas(np.array([len(x) for x in draws], np.int64), n_shards, np.random.default_rng([seed, len(names)]))
-    plan = []
+    dealt: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, got in enumerate(draws):
         start = 0
         for shard in range(n_shards):
-            plan += [(i, b, p, shard) for p, b in got[start : start + int(quotas[shard, i])]]
+            for p, b in got[start : start + int(quotas[shard, i])]:
+                dealt.setdefault((i, b), []).append((p, shard))
             start += int(quotas[shard, i])
-    grouped: dict[tuple[int, int], list] = {}
-    for i, b, p, shard in plan:
-        grouped.setdefault((i, b), []).append((p, shard))
-    block_plan = spark.createDataFrame([(i, b, x) for (i, b), x in grouped.items()], "_s int, _b int, _draws array<struct<pass:int,shard:int>>")
-    # rows of the edge blocks, one block a source: the prefix in hash order whose words come nearest to what is left
-    edge = spark.createDataFrame([(i, b, p, left, (i + p) % n_shards) for i, p, b, left in edges], "_s int, _b int, _pass int, _left bigint, _shard int")
-    on_edge = dealt.join(F.broadcast(edge), ["_s", "_b"])
-    so_far = on_edge.withColumn("_sum", F.expr("sum(size) over (partition by _s order by _h, row_key rows unbounded preceding)"))
-    near = so_far.where(F.expr("abs(_sum - _left) < abs(_sum - size - _left) or _sum <= _left")).select("row_key", F.struct(F.col("_pass").alias("pass"), F.col("_shard").alias("shard")).alias("_extra"))
-    out = dealt.join(F.broadcast(block_plan), ["_s", "_b"], "left").join(near, "row_key", "left")
-    got = F.concat(F.coalesce("_draws", F.expr("array()")), F.when(F.col("_extra").isNotNull(), F.array("_extra")).otherwise(F.expr("array()")))
-    copies = F.transform(got, lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.col("_h"), x["pass"], F.lit(seed)).alias("place")))
-    out = out.withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies", "_h")
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: ``docs``' rows, each as often as it was drawn, sorted by shard and place within the shard. A row of
-    no words has no share in any target: it is drawn with its block."""
-    seed = how.get("seed", 42)
-    drawn = mix(docs, **how).where(F.size("copies") > 0).select(F.col("_h"), "copies").groupBy("_h").agg(F.first("copies").alias("copies"))
-    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed))).join(drawn, "_h").select(*docs.columns, F.explode("copies").alias("_c"))
-    return rows.repartitionByRange("_c.shard", "_c.place").sortWithinPartitions("_c.shard", "_c.place").drop("_c")
+    edge = spark.createDataFrame([(i, b, left) for i, _, b, left in edges], "_s int, _b int, _left bigint")
+    so_far = to_blocks(rows).join(F.broadcast(edge), ["_s", "_b"]).withColumn("_sum", F.expr("sum(size) over (partition by _s order by _h rows unbounded preceding)"))
+    cuts = {r["_s"]: r["cut"] for r in so_far.where("_sum <= _left or _sum - _left < _left - (_sum - size)").groupBy("_s").agg(F.max("_h").alias("cut")).collect()}
+    on_edge = {(i, b): (p, (i + p) % n_shards, cuts[i]) for i, p, b, _ in edges if i in cuts}
+    plan = [(i, b, dealt.get((i, b), []), on_edge.get((i, b))) for i, b in sorted({*dealt, *on_edge})]
+    planned = spark.createDataFrame(plan, "_s int, _b int, _draws array<struct<pass:int,shard:int>>, _edge struct<pass:int,shard:int,cut:bigint>")
+
+    def drawn(df: DataFrame) -> DataFrame:
+        df = to_blocks(df).join(F.broadcast(planned), ["_s", "_b"], "left")
+        got = F.expr("concat(coalesce(_draws, array()), case when _h <= _edge.cut then array(struct(_edge.pass as pass, _edge.shard as shard)) else array() end)")
+        copies = F.transform(got, lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.col("_h"), x["pass"], F.lit(seed)).alias("place")))
+        return df.withColumn("copies", copies).drop("_s", "_b", "_per", "_draws", "_edge")
+
+    return drawn
+
+
+def mix(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
+    """A row a document: doc_id, source, size, source_size, target, taken, copies (array of shard and place).
+
+    Size is the number of words, 0 for null. Reruns with the same rows and seed agree. A null source is the last source;
+    repeated rows are drawn alike; a row without words goes with its block. Other columns are not read. An empty table
+    gives an empty result. The number of sources is bounded by what the driver can list.
+    """
+    rows = materialize(_hashed(docs, seed).select("doc_id", "source", n_words(F.col("text")).alias("size"), "_h"), "mix-rows")
+    out = plan_mix(rows, seed=seed, **how)(rows)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16, **how) -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as it was drawn, a shard after another and shuffled within one.
+    Texts move once, to their shards."""
+    rows = materialize(_hashed(docs, seed).select("source", n_words(F.col("text")).alias("size"), "_h"), "mix-rows")
+    drawn = plan_mix(rows, seed=seed, n_shards=n_shards, **how)(_hashed(docs, seed))
+    copies = drawn.select(*docs.columns, F.explode("copies").alias("_c"))
+    return copies.repartition(n_shards, "_c.shard").sortWithinPartitions("_c.shard", "_c.place").drop("_c")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import byte_bpe, chat_format, exact_dedup, mixing, ngram_join, quality, sharding, toxicity, url_filter
+from scriptorium.llm import byte_bpe, chat_format, exact_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
-    found = (toxicity.op1_toxicity, ngram_join.op2_ngram_join, exact_dedup.op3_exact_dedup, sharding.op4_sharding, mixing.op5_mixing, chat_format.op6_chat_format, quality.op7_quality_rules, url_filter.op9_url_filter, byte_bpe.op10_byte_bpe)
+    found = (toxicity.op1_toxicity, ngram_join.op2_ngram_join, exact_dedup.op3_exact_dedup, sharding.op4_sharding, mixing.op5_mixing, chat_format.op6_chat_format, quality.op7_quality_rules, suffix_dedup.op8_suffix_dedup, url_filter.op9_url_filter, byte_bpe.op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
