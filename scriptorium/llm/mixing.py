@@ -53,8 +53,8 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards:
     """A function that adds source_size, target and ``copies`` (array of shard and place) to a frame of source and ``_h``.
 
     ``rows`` has source, size and ``_h``, a hash of the row. A source's rows fall into blocks by that hash. Its target is
-    met by whole passes over its blocks and, for the rest, by its blocks in a seeded random order; the one block on the
-    edge gives its rows in hash order, up to the row that comes nearest. Blocks are dealt to the output shards by
+    met by whole passes over its blocks and, for the rest, by those of its blocks, in a seeded random order, that still fit;
+    the first that did not gives its rows in hash order, up to the row that comes nearest. Blocks are dealt to the output shards by
     :func:`split_quotas`, in disjoint runs of the random order. What is planned, and broadcast, is a list of sources and
     at most ``blocks`` plus LEAST_BLOCKS a source blocks, whatever the input.
     """
@@ -73,13 +73,16 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards:
         rng = np.random.default_rng([seed, i])
         full = min(times, int(goal[i] // sizes[i])) if sizes[i] else 0
         rest, mine = goal[i] - full * sizes[i], [b for b in range(per[i]) if (i, b) in words]
+        skipped = None
         got = [(p, b) for p in range(full) for b in rng.permutation(mine).tolist()]
         for b in rng.permutation(mine).tolist() if rest > 0 and full < times else []:
             if words[i, b] > rest:
-                edges.append((i, full, b, int(rest)))
-                break
+                skipped = b if skipped is None else skipped
+                continue
             rest -= words[i, b]
             got.append((full, b))
+        if skipped is not None and rest >= 1:
+            edges.append((i, full, skipped, int(rest)))
         draws.append(got)
     quotas = split_quotas(np.array([len(x) for x in draws], np.int64), n_shards, np.random.default_rng([seed, len(names)]))
     dealt: dict[tuple[int, int], list[tuple[int, int]]] = {}
