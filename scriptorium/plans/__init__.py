@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text",)
+FAMILIES = ("text", "telemetry")
 
 
 def load() -> None:
