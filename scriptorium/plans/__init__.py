@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text", "telemetry")
+FAMILIES = ("text", "telemetry", "runs", "rules", "sentences")
 
 
 def load() -> None:

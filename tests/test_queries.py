@@ -37,3 +37,19 @@ def test_literal_cases(spark):
     df = spark.createDataFrame([("x...a", "a\t\tb  \n\n\n\nc"), ("Hi ,there", "")], "p string, s string")
     got = df.select(punctuation_spacing(F.col("p")), normalize_spaces(F.col("s"))).collect()
     assert [tuple(r) for r in got] == [("x. .. a", "a b\n\nc"), ("Hi, there", "")]
+
+
+def test_abbreviations_match_python(spark):
+    import hashlib
+    import re
+
+    from scriptorium.plans.sentences import ABBREVIATIONS
+
+    def spelled(t):
+        for p, new in ABBREVIATIONS:
+            t = re.sub(p, new, t, flags=re.IGNORECASE)
+        return hashlib.sha256(t.encode()).hexdigest()
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["digest"] for r in catalog.queries()["text_abbreviations"](spark, DATA).collect()}
+    assert got == {r["doc_id"]: spelled(r["text"]) for r in docs}
