@@ -16,7 +16,7 @@ def _r(c, digits: int = 4):
     return F.round(c, digits)
 
 
-@query("F2", "F4", "F9", sql=f"""
+@query("F2", "F9", sql=f"""
 SELECT engine, count(*) AS n, round(avg(duration_ms), 4) AS mean, round(quantile_cont(duration_ms, 0.5), 4) AS p50, round(quantile_cont(duration_ms, 0.9), 4) AS p90, round(quantile_cont(duration_ms, 0.95), 4) AS p95,
   round(quantile_cont(duration_ms, 0.99), 4) AS p99, min(duration_ms) AS low, max(duration_ms) AS high, round(1 - count(*) FILTER (failed) / count(*), 6) AS success_rate FROM ({_EVENTS}) GROUP BY engine
 """)
@@ -60,7 +60,7 @@ def dashboard_series(spark, sf_dir: str) -> DataFrame:
     return d.withColumn("day", F.col("day").cast("string"))
 
 
-@query("F11", "F12", "F13", "F15", "E10", "E28", "E30", sql=f"""
+@query("F13", "F15", "E28", "E30", sql=f"""
 WITH f AS (SELECT user_id, count(*) AS n, count(*) FILTER (NOT failed) AS ok, array_to_string(list_sort(list_distinct(list(phase))), ',') AS phases, avg(duration_ms) FILTER (NOT failed) AS m, avg(duration_ms) AS a, count(*) FILTER (failed AND duration_ms > 60) AS long_failures FROM ({_EVENTS}) GROUP BY user_id)
 SELECT user_id, n, ok, phases, round(m, 4) AS mean_ok, long_failures, CASE WHEN ok = n THEN 'success' WHEN ok = 0 THEN 'failed' ELSE 'partial' END AS status,
   CASE WHEN ok / n >= .95 THEN 'good' WHEN ok / n >= .8 THEN 'warning' WHEN ok / n >= .5 THEN 'poor' ELSE 'critical' END AS severity,
@@ -123,7 +123,7 @@ def genre_profile(spark, sf_dir: str) -> DataFrame:
     return c.groupBy("genre").agg(F.sum("n").alias("n"), F.min_by("source", F.struct(-F.col("n"), "source")).alias("top_source"), F.floor(F.sum("s") / F.sum("n")).cast("long").alias("mean_chars"))
 
 
-@query("F24", "F31", sql="""
+@query("F24", sql="""
 WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events)
 SELECT user_id, event_type, count(*) AS n, count(*) FILTER (back <= 5) AS n_tail FROM l WHERE back <= 200 GROUP BY ALL
 """)

@@ -38,7 +38,7 @@ def text_speech_ready(spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", Q.speech_issues(F.col("text")).alias("issues"), F.round(Q.text_yield(F.octet_length("text"), F.length("text")), 6).alias("text_yield"))
 
 
-@query("B8", "B9", sql=rf"""
+@query("B8", sql=rf"""
 WITH t AS (SELECT doc_id, regexp_replace(text, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS t FROM documents), w AS (SELECT *, regexp_split_to_array(t, '[ \t\n\r\f]+') AS w FROM t),
 l AS (SELECT *, regexp_extract(lower(array_to_string(list_slice(w, greatest(len(w) - 9, 1), len(w)), ' ')), '\b({"|".join(Q.RELATIVES)})\s+([\p{{L}}\p{{N}}_]+)', 2) AS next FROM w)
 SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN 'empty' WHEN (length(t) - length(replace(t, chr(34), ''))) % 2 = 1 THEN 'quotes' {_ENDS}
@@ -48,7 +48,7 @@ def text_completeness(spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", Q.completeness(F.col("text")).alias("reason"))
 
 
-@query("C14", "C23", sql=r"""
+@query("C23", sql=r"""
 SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\s*[—–]\s*', ', ', 'g'), ';', '.'), '\.{2,}', '.', 'g'), '[!?]+([!?])', '\1', 'g'), '[ \t\n\r\f]+', ' ', 'g'), ' ')) AS digest FROM documents
 """)
 def text_simple_punctuation(spark, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def text_junk_lines(spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", n(junk).alias("n_junk"), n(lambda x: ~junk(x)).alias("n_kept"), n(lambda x: ~junk(x) & x.rlike(r"^\d{1,4}\s+[A-Z]")).alias("n_stripped"))
 
 
-@query("C24", "H9", sql=r"""
+@query("C24", sql=r"""
 SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS digest FROM documents
 """)
 def text_wer_form(spark, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ def overlapping_segments(spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", "text", at.alias("pos")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length(part).cast("long").alias("n"), F.md5(F.encode(part, "UTF-8")).alias("digest"))
 
 
-@query("F36", "F37", sql=r"""
+@query("F36", sql=r"""
 SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '')) AS n_empty, len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 20)) AS n_short,
   len(list_filter(regexp_split_to_array(text, '\n\n+'), lambda x: trim(x, ' ') <> '')) AS n_paragraphs, length(text) - length(regexp_replace(text, '[.!?]', '', 'g')) AS n_marks, length(text) - length(replace(text, chr(65533), '')) AS n_broken FROM documents
 """)

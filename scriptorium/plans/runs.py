@@ -186,7 +186,7 @@ def rescaled_segments(spark, sf_dir: str) -> DataFrame:
     return t.select("event_id", at(F.col("stop") - F.col("duration_ms")).alias("start_s"), at(F.col("stop")).alias("stop_s"), F.greatest(F.lit(10).cast("long"), F.round(F.col("duration_ms") * 100).cast("long")).alias("karaoke_cs"))
 
 
-@query("E13", "E14", "E15", "E16", "E20", "E21", "E22", "E37", "E41", "E51", "E54", sql=f"""
+@query("E13", "E14", "E15", "E16", "E22", "E54", sql=f"""
 WITH d AS (SELECT *, round(least(1, greatest(0, .3 * score / 100 + .25 * (1 - fallback) + .25 * (1 - failures / n) + .2 * least(1, rtf / 4))), 6) AS rating, round((score / 100 + (1 - fallback) + (1 - failures / n)) / 3, 6) AS mean FROM ({_RUNS}))
 SELECT user_id, CAST(d.day AS VARCHAR) AS day, rating, CASE WHEN mean >= .8 THEN 'ok' WHEN mean >= .5 THEN 'needs_attention' ELSE 'critical' END AS verdict, CASE WHEN rating < .2 THEN 'high' WHEN rating < .4 THEN 'medium' ELSE 'low' END AS risk,
   CASE WHEN mean >= .7 THEN 'healthy' WHEN mean >= .4 THEN 'caution' ELSE 'unstable' END AS health, CASE WHEN failures > 5 THEN 'structural' WHEN failures > 0 THEN 'metadata' ELSE 'unknown' END AS heal,

@@ -21,6 +21,7 @@ ARTIFACTS = (r"OceanofPDF\.com", r"Downloaded from.*\.com", r"Visit us at.*\.com
 FAILURES = (
     ("oom", 0.8, ("out of memory", "memoryerror", "cuda oom", "killed")), ("timeout", 0.7, ("timeout", "timed out", "exceeded", "too slow")), ("truncation", 0.8, ("truncat", "text too long", "max", "exceeded limit")),
     ("quality", 0.6, ("silence", "no audio", "corrupt", "invalid", "empty")), ("schema", 0.7, ("pydantic", "validationerror", "schema", "missing key")),
+    ("io", 0.8, ("filenotfounderror", "permissionerror", "no such file", "cannot open", "disk full", "ioerror", "permission denied")),
 )
 
 
@@ -51,7 +52,7 @@ def fold_sql(text: str, rules, flags: str = "gi") -> str:
     return text
 
 
-@query("D1", "D23", "D25", sql=f"""
+@query("D1", "D23", sql=f"""
 WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS s FROM documents)
 SELECT doc_id, count(*) AS n, min(length(s)) AS shortest, max(length(s)) AS longest, round(avg(length(s)), 4) AS mean, count(*) FILTER (length(s) > 250) AS n_long, round(max(length(s)) / 1050.0 * 60, 4) AS max_seconds FROM s GROUP BY doc_id
 """)
@@ -165,7 +166,7 @@ def packed(items, soft: int, hard: int) -> Column:
     return F.aggregate(items, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
 
 
-@query("D11", "D12", sql=f"""
+@query("D11", sql=f"""
 WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES} AS a FROM documents),
 f AS (SELECT doc_id, 0 AS i, '' AS now, CAST(NULL AS VARCHAR) AS done FROM s
  UNION ALL SELECT doc_id, i, CASE WHEN fits THEN cand ELSE x END, CASE WHEN fits OR now = '' THEN NULL ELSE now END FROM (
@@ -179,7 +180,7 @@ def greedy_chunks(spark, sf_dir: str) -> DataFrame:
     return d.select("doc_id", _size("c").alias("n_chunks"), F.array_max(F.transform("c", lambda x: F.length(x))).cast("long").alias("longest"), _digest(F.array_join("c", "\n")).alias("digest"))
 
 
-@query("E11", "E12", "F20", "F27", sql="""
+@query("E11", "F20", sql="""
 SELECT CASE """ + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, _, words in FAILURES) + """ ELSE 'unknown' END AS category, count(*) AS n FROM conversations GROUP BY 1
 """)
 def failure_categories(spark, sf_dir: str) -> DataFrame:
@@ -194,19 +195,30 @@ def failure_categories(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(out.otherwise("unknown").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("H5", "H6", sql=r"""
+@query("H5", sql=r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 3)) AS i FROM w)), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
+g AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 8)), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
 SELECT doc_id, count(*) AS n_phrases, max(n) AS most FROM c WHERE n >= 3 GROUP BY doc_id
 """)
 def phrase_repeats(spark, sf_dir: str) -> DataFrame:
-    """Four-word phrases that occur three times or more in a text."""
-    d = _docs(spark, sf_dir).select("doc_id", F.filter(F.split(F.lower("text"), r"[ \t\n\r\f]+"), lambda x: x != "").alias("w")).where(F.size("w") >= 4)
-    grams = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(4)), " "))).alias("g"))
-    return grams.groupBy("doc_id", "g").agg(F.count("*").alias("n")).where("n >= 3").groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.max("n").alias("most"))
+    """Four-word phrases that occur three times or more in a text of eight words or more; whenever a longer phrase does, its
+    first four words do too. A text's phrases are sorted and folded in its row: no shuffle."""
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f]+"), lambda x: x != "")
+    phrases = lambda w: F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
+    # the one-element array binds the words to a variable; as a column they would be split anew for each phrase
+    d = _docs(spark, sf_dir).select("doc_id", F.array_sort(F.element_at(F.transform(F.array(words), phrases), 1)).alias("g"))
+    zero = lambda: F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("last"), zero().alias("run"), zero().alias("n"), zero().alias("most"))
+
+    def step(s, g):
+        run = F.when(g == s["last"], s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(g.alias("last"), run.alias("run"), (s["n"] + (run == 3).cast("long")).alias("n"), F.greatest(s["most"], run).alias("most"))
+
+    folded = d.select("doc_id", F.aggregate("g", start, step).alias("s")).where("s.n > 0")
+    return folded.select("doc_id", F.col("s.n").alias("n_phrases"), F.col("s.most").alias("most"))
 
 
-@query("H3", "B13", "B14", sql=r"""
+@query("H3", "B14", sql=r"""
 WITH p AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^\x00-\x7F]', '', 'g') AS a, regexp_replace(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[^\x00-\x7F]', '', 'g') AS b FROM conversations),
 e AS (SELECT conv_id, turn, least(1, CAST(levenshtein(a, b) AS DOUBLE) / greatest(1, len(list_filter(regexp_split_to_array(a, '[ \t\n\r\f]+'), lambda x: x <> '')))) AS wer FROM p WHERE b IS NOT NULL AND a IS NOT NULL)
 SELECT conv_id, turn, round(wer, 4) AS wer, CASE WHEN wer < .2 THEN 'pass' WHEN wer > .4 THEN 'switch_engine' ELSE 'rewrite' END AS advice FROM e

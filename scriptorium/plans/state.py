@@ -41,7 +41,7 @@ def duplicate_rollup(spark, sf_dir: str) -> DataFrame:
     return s.join(lead, "source", "left").select("source", "files", (F.col("files") - F.coalesce("leads", F.lit(0))).alias("duplicates"), "hashes")
 
 
-@query("A16", "A17", sql="""
+@query("A16", sql="""
 WITH c AS (SELECT item_id, i, CASE i WHEN 1 THEN length(text) - length(replace(text, 'e', '')) WHEN 2 THEN length(text) - length(replace(text, 'a', '')) ELSE length(text) - length(replace(text, 'i', '')) END AS score FROM benchmark, (SELECT unnest([1, 2, 3]) AS i))
 SELECT item_id, ['pypdf', 'pdfplumber', 'pymupdf'][i] AS method, score FROM c WHERE TRUE QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) = 1
 """)
@@ -74,7 +74,7 @@ def recent_events(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "event_id", F.row_number().over(w).alias("k")).where("k <= 5").drop("k")
 
 
-@query("A28", "A29", "A30", "A31", sql="""
+@query("A28", sql="""
 SELECT d.doc_id, l.doc_id IS NOT NULL AND d.n_chars > 0 AND (l.quality IS NULL OR l.quality = 1) AS reuse, CASE WHEN l.doc_id IS NULL THEN 'no record' WHEN d.n_chars = 0 THEN 'zero bytes' WHEN l.quality = 0 THEN 'changed' ELSE 'same' END AS reason
 FROM documents AS d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) AS l ON d.doc_id = l.doc_id
 """)
@@ -106,7 +106,7 @@ def override_lookup(spark, sf_dir: str) -> DataFrame:
     return j.select(F.col("o_orderkey").alias("order_id"), F.coalesce("s_name", "c_name").alias("voice"), F.col("c_mktsegment").alias("segment"))
 
 
-@query("J4", "W20", sql="""
+@query("J4", sql="""
 WITH m AS (SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = documents.doc_id)) SELECT doc_id, doc_id - lag(doc_id, 1, doc_id) OVER (PARTITION BY doc_id // 10000 ORDER BY doc_id) AS gap FROM m
 """)
 def missing_outputs(spark, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def missing_outputs(spark, sf_dir: str) -> DataFrame:
     return m.select("doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.col("doc_id"))).alias("gap"))
 
 
-@query("J5", "J6", "J7", sql="""
+@query("J5", "J7", sql="""
 WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'missing' WHEN a.n = b.n THEN 'equal' ELSE 'differs' END AS state FROM a FULL JOIN b ON a.user_id = b.user_id
 """)
@@ -139,7 +139,7 @@ def policy_merge(spark, sf_dir: str) -> DataFrame:
     return m.select("user_id", F.col("k.value").alias("kept"), (F.col("n") - F.col("k.n")).alias("conflicts"), "allowed")
 
 
-@query("J11", "J12", "E9", sql="""
+@query("J11", "J12", sql="""
 WITH g AS (SELECT * FROM (VALUES ('en', 'xtts'), ('fr', 'kokoro')) AS t(lang, engine)) SELECT doc_id, coalesce(engine, 'piper') AS engine, CASE coalesce(engine, 'piper') WHEN 'xtts' THEN 'kokoro,piper' WHEN 'kokoro' THEN 'xtts,piper' ELSE 'xtts,kokoro' END AS fallbacks
 FROM documents LEFT JOIN g ON documents.lang = g.lang
 """)
@@ -155,7 +155,7 @@ def affected_users(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'error' and user_id is not null").select("user_id").distinct()
 
 
-@query("G8", "N6", "N10", sql="""
+@query("G8", sql="""
 WITH k AS (SELECT event_id, json_keys(props) AS k FROM events)
 SELECT event_id, concat_ws(',', CASE WHEN NOT list_contains(k, 'k') THEN 'missing k' END, CASE WHEN len(list_filter(k, lambda x: x <> 'k')) > 0 THEN 'unknown key' END) AS errors FROM k
 """)
@@ -166,7 +166,7 @@ def schema_errors(spark, sf_dir: str) -> DataFrame:
     return k.select("event_id", F.concat_ws(",", F.when(missing, "missing k"), F.when(extra, "unknown key")).alias("errors"))
 
 
-@query("N12", "B25", sql="""
+@query("N12", sql="""
 WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, i // 2 + 1 AS page, CAST(ceil(n / 2) AS BIGINT) AS pages FROM p
 """)
 def chunk_pages(spark, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def chunk_pages(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.floor(i / 2) + 1).alias("page"), F.ceil(F.count("*").over(w) / 2).alias("pages"))
 
 
-@query("D26", "D27", "D30", sql="""
+@query("D26", sql="""
 SELECT doc_id, CAST(trunc(1800 * CASE source WHEN 'web' THEN 0.8 WHEN 'books' THEN 1.15 ELSE 1.0 END) AS BIGINT) AS soft, CAST(trunc(greatest(400, least(2000, n_chars)) * CASE lang WHEN 'fr' THEN 0.9 ELSE 1.0 END) AS BIGINT) AS size FROM documents
 """)
 def chunk_limits(spark, sf_dir: str) -> DataFrame:
