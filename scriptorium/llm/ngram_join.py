@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import discard, materialize, table
-from scriptorium.llm.shingles import may_be_similar, mixed, segment_sums, set_keys, shingle_sets, signatures, sketch, slices
+from scriptorium.llm.shingles import LOWER, PLAIN, may_be_similar, mixed, segment_sums, set_keys, shingle_sets, signatures, sketch, slices, uncommon
 
 #: Signatures that one reducing task sorts, about; texts that the list of common shingles is drawn from; how many of
 #: those must have a shingle for it to count as common. The list only speeds the search up; it changes no result.
@@ -26,22 +26,24 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
 
 
-def set_rows(docs: DataFrame, size: int = 5) -> DataFrame:
-    """A row a document: doc_id, n (distinct shingles), key (of its set, null for none), sketch."""
+def set_rows(docs: DataFrame, common: np.ndarray, size: int = 5) -> DataFrame:
+    """A row a document: doc_id, n (distinct shingles), r (those not in ``common``), key (of its set, null for none), sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n, keys, marks = _texts(b), [], [], []
+            texts, n, rare, keys, marks = _texts(b), [], [], [], []
             for lo, hi in slices(texts):
                 bounds, values = shingle_sets(texts[lo:hi], size)
                 counts = np.diff(bounds)
                 n += counts.tolist()
+                rare += uncommon(bounds, values, shared.value).tolist()
                 keys += [int(k) if c else None for k, c in zip(set_keys(bounds, values).view(np.int64), counts, strict=True)]
                 marks += [sketch(values[x:y]) if y > x else None for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "n", "r", "key", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, key bigint, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, r bigint, key bigint, sketch binary")
 
 
 def common_shingles(docs: DataFrame, n_docs: int, size: int = 5) -> np.ndarray:
@@ -60,7 +62,8 @@ def common_shingles(docs: DataFrame, n_docs: int, size: int = 5) -> np.ndarray:
 
 
 def candidate_groups(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int = 5) -> DataFrame:
-    """(gid, key): the sets that share a signature, once for each distinct group of two sets or more.
+    """(gid, usual, key): the sets that share a signature, once for each distinct group of two sets or more; usual: only
+    pairs that are similar by their common features alone are looked for in it.
 
     Signatures travel as packed arrays dealt by their leading bits, sets by their keys, so equal sets count once. A
     reducing task sorts the arrays it gets and keeps what occurs twice.
@@ -113,24 +116,29 @@ def candidate_groups(docs: DataFrame, n_shingles: int, common: np.ndarray, size:
             got = parts.pop(p)
             sig, key = np.concatenate([s for s, _ in got]), np.concatenate([k for _, k in got])
             del got
+            kind = sig & 3
+            # LOWER and UPPER sets of one signature meet
+            sig = sig - kind + np.minimum(kind, LOWER)
             order = np.lexsort((key, sig))
-            sig, key = sig[order], key[order]
+            sig, key, kind = sig[order], key[order], kind[order]
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            sig, key = sig[new], key[new]
+            sig, key, kind = sig[new], key[new], kind[new]
             at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
             bounds = np.concatenate([at, [len(sig)]])
             count = np.diff(bounds)
-            gid = mixed(segment_sums(mixed(key), bounds) + count.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
-            some = np.flatnonzero(count > 1)
+            usual = kind[at] != PLAIN
+            gid = mixed(segment_sums(mixed(key), bounds) + count.astype(np.uint64) + (usual.astype(np.uint64) << np.uint64(62))) if len(at) else np.zeros(0, np.uint64)
+            high = segment_sums((kind > LOWER).astype(np.uint64), bounds).astype(np.int64)
+            some = np.flatnonzero((count > 1) & ((kind[at] < LOWER) | (high > 0) & (high < count)))
             keep = [i for i in some.tolist() if (g := int(gid[i])) not in done and not done.add(g)]
             if keep:
                 pick = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in keep])
                 ids = np.repeat(gid[keep], count[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(key[pick].view(np.int64))], names=["gid", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.repeat(usual[keep], count[keep])), pa.array(key[pick].view(np.int64))], names=["gid", "usual", "key"])
 
     packed = docs.select("text").mapInArrow(sign, "part int, sigs binary, keys binary")
-    return packed.repartition(n_parts, "part").mapInArrow(meet, "gid bigint, key bigint").distinct()
+    return packed.repartition(n_parts, "part").mapInArrow(meet, "gid bigint, usual boolean, key bigint").distinct()
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -195,7 +203,13 @@ def components(links: DataFrame) -> DataFrame:
         before = sums
 
 
-def similar_sets(docs: DataFrame, rows: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
+def _may_link() -> F.Column:
+    """Whether the sizes of two sets of a group, and in a usual group their uncommon features, allow the similarity."""
+    size = F.expr("4 * least(nx, ny) >= 3 * greatest(nx, ny)")
+    return size & (~F.col("usual") | F.expr("7 * rx <= 4 * nx - 3 * ny and 7 * ry <= 4 * ny - 3 * nx"))
+
+
+def similar_sets(docs: DataFrame, rows: DataFrame, common: np.ndarray, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """(classes, links): one row a distinct set, and links between sets that connect whatever is connected.
 
     Each group of sets with a common signature is settled in rounds. The first compares all with one leader; each next one
@@ -203,10 +217,9 @@ def similar_sets(docs: DataFrame, rows: DataFrame, size: int = 5) -> tuple[DataF
     A group ends when its sets are connected or all have led, so no link between components is lost, and a large group of
     near copies costs a comparison or a few a set rather than one a pair.
     """
-    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "join-classes")
-    total = rows.agg(F.count("*").alias("n"), F.sum("n").alias("s")).first()
-    common = common_shingles(docs, total["n"], size)
-    groups = materialize(candidate_groups(docs, total["s"] or 0, common, size), "join-groups")
+    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("r").alias("r"), F.first("sketch").alias("sketch")), "join-classes")
+    total = rows.agg(F.sum("n")).first()[0]
+    groups = materialize(candidate_groups(docs, total or 0, common, size).join(classes.select("key", "n", "r"), "key"), "join-groups")
     links, step = None, 0
     while True:
         sized = groups.groupBy("gid").agg(F.count("*").alias("m"), F.min("key").alias("first"))
@@ -214,8 +227,8 @@ def similar_sets(docs: DataFrame, rows: DataFrame, size: int = 5) -> tuple[DataF
         was, now = (F.lit(False), F.col("key") == F.col("first")) if not step else (((F.col("key") == F.col("first")) if step == 1 else (F.col("_u") * F.col("m") < 8 ** (step - 1)) | (F.col("key") == F.col("first"))), (F.col("_u") * F.col("m") < 8**step) | (F.col("m") <= 8**step))
         rest = rest.withColumn("_was", was).withColumn("_now", now)
         rest = rest.withColumn("label", F.col("key")) if links is None else rest.join(_labels(links), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        side = lambda c: rest.where("not _was").select("gid", F.col("key").alias(c), F.col("label").alias(f"l{c}"), F.col("_now").alias(f"w{c}"))
-        pairs = side("x").where("wx").join(side("y"), "gid").where("x <> y and lx <> ly and (not wy or x < y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        side = lambda c: rest.where("not _was").select("gid", F.col("key").alias(c), F.col("label").alias(f"l{c}"), F.col("_now").alias(f"w{c}"), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}"), *(["usual"] if c == "x" else []))
+        pairs = side("x").where("wx").join(side("y"), "gid").where("x <> y and lx <> ly and (not wy or x < y)").where(_may_link()).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         good = materialize(_promising(pairs, classes), "join-pairs")
         found = _linked(good, classes, docs, size)
         links = found if links is None else materialize(links.union(found), "join-links")
@@ -239,8 +252,9 @@ def ngram_components(docs: DataFrame, size: int = 5) -> DataFrame:
     Equal sets are one class; repeated rows and ids are members like others. Other columns are not read. An empty table
     gives an empty result.
     """
-    rows = materialize(set_rows(docs, size), "join-rows")
-    classes, links = similar_sets(docs, rows, size)
+    common = common_shingles(docs, docs.count(), size)
+    rows = materialize(set_rows(docs, common, size), "join-rows")
+    classes, links = similar_sets(docs, rows, common, size)
     label = components(links)
     named = classes.select("key", "rep").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))

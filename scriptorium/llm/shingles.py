@@ -131,6 +131,78 @@ def _runs(row: np.ndarray, values: np.ndarray, level: np.ndarray, tag: int) -> t
     return row[at], mixed(sums + mixed(mark + np.uint64(1)))
 
 
+#: Sizes that open a narrow size class; each class spans a factor of about 1.1.
+_EDGES = np.unique(np.ceil(1.1 ** np.arange(400)).astype(np.float64)).clip(max=2.0**52).astype(np.int64)
+
+
+#: Kinds of signatures, in their two lowest bits.
+PLAIN, ALIKE, LOWER, UPPER = range(4)
+
+
+def _of_kind(signature: np.ndarray, kind) -> np.ndarray:
+    return (signature & ~np.uint64(3)) | np.asarray(kind).astype(np.uint64)
+
+
+def uncommon(bounds: np.ndarray, values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Number of features of each set that are not in ``common`` (rising)."""
+    if not len(common):
+        return np.diff(bounds)
+    rare = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
+    return segment_sums(rare.astype(np.uint64), bounds).astype(np.int64)
+
+
+def _mostly_common(rows: np.ndarray, sizes: np.ndarray, rare: tuple[np.ndarray, np.ndarray], usual: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, signature) by which two of ``rows``, sets with few uncommon features, meet if they are similar.
+
+    Let A (a features, r of them uncommon) and B be similar; A lacks at most (4b - 3a)/7 of B's features and B at most
+    (4a - 3b)/7 <= a/4 of A's. If they share an uncommon feature, the first of those in hash order is among the first
+    a/4 + 1 uncommon ones of A, and of B likewise: each of these is a partition of its own and signs. If they share none,
+    7r <= 4a - 3b, and they are similar by their common features alone, which differ by (a + b)/7 - r at most. So for each
+    narrow size class that such a B may be in, A's common features are partitioned and sign, marked with both classes.
+    The two lowest bits of a signature are its kind: PLAIN, ALIKE (one class twice), or LOWER and UPPER (of two classes,
+    the set is in the lower or upper one). A group of LOWER sets only, or UPPER ones, holds no pair.
+    """
+    at = np.full(len(sizes), -1, np.int64)
+    at[rows] = np.arange(len(rows))
+    a = sizes[rows]
+    owners, found = [], []
+    pick = at[rare[0]] >= 0
+    o, v = rare[0][pick], rare[1][pick]
+    r = np.bincount(at[o], minlength=len(rows))
+    place = np.arange(len(o)) - np.repeat(np.concatenate([[0], np.cumsum(r)[:-1]]), r) if len(o) else o
+    first = place <= a[at[o]] // 4
+    owners.append(o[first])
+    found.append(_of_kind(mixed(v[first] ^ np.uint64(0x2545F4914F6CDD1D)), PLAIN))
+
+    own = np.searchsorted(_EDGES, a, "right") - 1
+    low = np.searchsorted(_EDGES, -(-3 * a // 4), "right") - 1
+    high = np.searchsorted(_EDGES, 4 * a // 3, "right") - 1
+    pick = at[usual[0]] >= 0
+    o, v = at[usual[0][pick]], usual[1][pick]
+    start = np.searchsorted(o, np.arange(len(rows) + 1))
+    for step in range(int((high - low).max()) + 1 if len(rows) else 0):
+        other = low + step
+        least, most = np.maximum(_EDGES[np.minimum(other, len(_EDGES) - 2)], -(-3 * a // 4)), np.minimum(_EDGES[np.minimum(other, len(_EDGES) - 2) + 1] - 1, 4 * a // 3)
+        use = np.flatnonzero((other <= high) & (least <= most) & (7 * r <= 4 * a - 3 * least))
+        if not len(use):
+            continue
+        big = np.maximum(own[use], other[use])
+        level = np.ceil(np.log2(np.maximum(_EDGES[big + 1] - 1, 1))).astype(np.int64)
+        count = start[use + 1] - start[use]
+        local = np.repeat(np.arange(len(use)), count)
+        take = np.arange(len(local)) + np.repeat(start[use] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        mark = mixed((np.minimum(own[use], other[use]) * 1024 + big).astype(np.uint64) + np.uint64(0x5BD1E995 << 24))
+        kind = np.where(own[use] == other[use], ALIKE, np.where(own[use] < other[use], LOWER, UPPER))
+        who, sig = _runs(local, v[take], level, 1)
+        owners.append(rows[use][who])
+        found.append(_of_kind(mixed(sig ^ mark[who]), kind[who]))
+        # too few partitions for certain: a pair of which neither has enough meets by this number
+        poor = np.flatnonzero(np.bincount(who, minlength=len(use)) <= (a[use] + most[use]) // 7 - r[use])
+        owners.append(rows[use][poor])
+        found.append(_of_kind(mixed(mark[poor] + np.uint64(0xABCDEF)), kind[poor]))
+    return np.concatenate(owners), np.concatenate(found)
+
+
 def signatures(bounds: np.ndarray, values: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(owner, signature) of PartEnum for Jaccard similarity 0.75 or more.
 
@@ -140,35 +212,32 @@ def signatures(bounds: np.ndarray, values: np.ndarray, common: np.ndarray | None
     features in it. Each differing feature spoils one partition, so if A or B has more than k partitions with features,
     one of those is the same in the other. Empty partitions don't sign.
 
-    ``common`` (rising) names features that don't enter partitions, such as those of boilerplate. Whichever they are, no
-    pair is lost: without them two sets differ by no more than before, while k and the bands keep the whole sizes. A set
-    left with k such partitions or fewer signs again with all its features, under another mark; one that has too few even
-    then signs with a number that all such sets of its band share. A pair of which neither has enough meets there.
+    ``common`` (rising) names features that don't enter these partitions, such as those of boilerplate. Whichever they
+    are, no pair is lost: without them two sets differ by no more than before, while k and the bands keep the whole sizes.
+    A pair of which neither has more than k such partitions meets by :func:`_mostly_common`.
     """
     sizes = bounds[1:] - bounds[:-1]
     level = np.zeros(len(sizes), np.int64)
     big = sizes > 1
     level[big] = np.ceil(np.log2(sizes[big])).astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    few = (row, values)
+    few, usual = (row, values), (row[:0], values[:0])
     if common is not None and len(common):
         rare = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
-        few = (row[rare], values[rare])
-    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        few, usual = (row[rare], values[rare]), (row[~rare], values[~rare])
+    owners, found = [], []
+    short = np.zeros(len(sizes), bool)
     for below in (0, 1):
         lv = np.maximum(level - below, 0)
         use = (sizes > 0) if not below else (sizes > 1) & (3 * sizes <= 4 * (1 << lv))
         most = (sizes + (1 << lv if below else 4 * sizes // 3)) // 7
-        for tag, (r, v) in enumerate((few, (row, values))):
-            pick = use[r]
-            o, s = _runs(r[pick], v[pick], lv, tag)
-            owners.append(o)
-            found.append(s)
-            use = use & (np.bincount(o, minlength=len(sizes)) <= most)
-        poor = np.flatnonzero(use)
-        owners.append(poor)
-        found.append(mixed(lv[poor].astype(np.uint64) + np.uint64(0xABCDEF)))
-    return np.concatenate(owners), np.concatenate(found)
+        pick = use[few[0]]
+        o, s = _runs(few[0][pick], few[1][pick], lv, 0)
+        owners.append(o)
+        found.append(_of_kind(s, PLAIN))
+        short |= use & (np.bincount(o, minlength=len(sizes)) <= most)
+    o, s = _mostly_common(np.flatnonzero(short), sizes, few, usual)
+    return np.concatenate([*owners, o]), np.concatenate([*found, s])
 
 
 def sketch(values: np.ndarray) -> bytes:

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scriptorium.llm import byte_bpe, chat_format, exact_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity, url_filter
+from scriptorium.llm import byte_bpe, chat_format, exact_dedup, mixing, ngram_join, quality, sharding, shingles, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id bigint, text string, source string, kept boolean, size string, key string"
 
@@ -163,3 +163,26 @@ def test_empty_tables(spark):
     docs, labels = table(spark, []), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for df in (exact_dedup.exact_groups(docs), ngram_join.ngram_components(docs), suffix_dedup.suffix_dedup(docs), sharding.shard_documents(docs), mixing.mix(docs), quality.judge(docs, labels), toxicity.score_toxicity(docs, toxicity.train(docs, labels))):
         assert df.count() == 0
+
+
+def test_similar_sets_share_a_signature():
+    """Of random clouds of sets around a base, any part of which may be common; LOWER and UPPER signatures meet, and the conditions on pairs of usual groups hold."""
+    rng = np.random.default_rng(1)
+    missed = similar = 0
+    for _ in range(50):
+        n = int(rng.choice([4, 8, 12, 20, 33, 60, 64, 100, 140, 300]))
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        sets = [np.unique(np.concatenate([base[rng.random(n) > rng.random() * 0.3], rng.integers(0, 1 << 63, int(rng.integers(0, max(2, n // 3))), dtype=np.uint64)])) for _ in range(30)]
+        common = np.sort(rng.choice(base, int(n * rng.choice([0, 0.5, 0.8, 1])), replace=False))
+        bounds, values = np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)
+        owner, sig = shingles.signatures(bounds, values, common)
+        rare = shingles.uncommon(bounds, values, common)
+        plain, usual = ([{s & ~3 for s in sig[(owner == i) & ((sig & 3 == 0) == k)].tolist()} for i in range(30)] for k in (True, False))
+        for i in range(30):
+            for j in range(i):
+                a, b, both = len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j]))
+                if both and 100 * both >= 75 * (a + b - both):
+                    similar += 1
+                    allowed = 7 * rare[i] <= 4 * a - 3 * b and 7 * rare[j] <= 4 * b - 3 * a
+                    missed += not (plain[i] & plain[j] or allowed and usual[i] & usual[j])
+    assert similar > 1000 and not missed
