@@ -20,6 +20,8 @@ SEEN = 500_000
 #: Salts of rows that look up what is known of their set.
 SALTS = 64
 FLUSH = 1 << 20
+#: Sets, and features of all of them, of a block whose pairs are compared at once; shared features of one matrix product.
+BLOCK, VOLUME, WIDTH = 1024, 500_000, 2048
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -154,8 +156,8 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(run, "x bigint, y bigint")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Pairs whose sets are that similar, by their whole intersections."""
+def _features(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(key, features) of the sets of ``keys``, from their representatives' texts; materialized."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +169,14 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) ->
                 rows = [i for i in range(hi - lo) if int(keys[i]) == want[lo + i]]
                 yield pa.RecordBatch.from_arrays([pa.array([int(keys[i]) for i in rows], pa.int64()), pa.array([values[bounds[i] : bounds[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))], names=["key", "features"])
 
-    need = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct().join(classes.select("key", F.col("rep").cast(kind).alias("_id")), "key")
+    need = keys.join(classes.select("key", F.col("rep").cast(kind).alias("_id")), "key")
     sets = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text").mapInArrow(run, "key bigint, features array<bigint>").dropDuplicates(["key"])
-    sets = materialize(sets, "join-sets")
+    return materialize(sets, "join-sets")
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs whose sets are that similar, by their whole intersections."""
+    sets = _features(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct(), classes, docs, size)
     both = pairs.join(sets.select(F.col("key").alias("x"), F.col("features").alias("_a")), "x").join(sets.select(F.col("key").alias("y"), F.col("features").alias("_b")), "y")
     both = both.select("x", "y", F.size("_a").alias("_n"), F.size("_b").alias("_m"), F.size(F.array_intersect("_a", "_b")).alias("_i"))
     out = materialize(both.where("100L * _i >= 75L * (_n + _m - _i)").select("x", "y"), "join-links")
@@ -217,7 +224,7 @@ def similar_sets(docs: DataFrame, rows: DataFrame, common: np.ndarray, size: int
     A group ends when its sets are connected or all have led, so no link between components is lost, and a large group of
     near copies costs a comparison or a few a set rather than one a pair.
     """
-    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("r").alias("r"), F.first("sketch").alias("sketch")), "join-classes")
+    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("r").alias("r"), F.first("sketch").alias("sketch"), F.count("*").alias("w")), "join-classes")
     total = rows.agg(F.sum("n")).first()[0]
     groups = materialize(candidate_groups(docs, total or 0, common, size).join(classes.select("key", "n", "r"), "key"), "join-groups")
     links, step = None, 0
@@ -243,27 +250,134 @@ def similar_sets(docs: DataFrame, rows: DataFrame, common: np.ndarray, size: int
             return classes, links
 
 
-def ngram_components(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id of every row of ``docs``.
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b``."""
+    va, vb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(va, vb)
+    sides = []
+    for sets, v in ((a, va), (b, vb)):
+        at = np.searchsorted(both, v)
+        hit = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool)
+        row, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        sides.append((len(sets), row[order], at[order]))
+    out = np.zeros((len(a), len(b)), np.int64)
+    for lo in range(0, len(both), WIDTH):
+        hi = min(lo + WIDTH, len(both))
+        dense = []
+        for n, row, at in sides:
+            x, y = np.searchsorted(at, [lo, hi])
+            m = np.zeros((n, hi - lo), np.float32)
+            m[row[x:y], at[x:y] - lo] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
-    A document's set holds the distinct ``size``-word shingles of its whole text, A-Z lower-cased; a shorter text has its
-    word sequence as one; null, empty and blank texts have none and are linked with nothing. Documents link at Jaccard
-    similarity 0.75 or more; component_id is the least doc_id reachable (a null id counts only where there is no other).
-    Equal sets are one class; repeated rows and ids are members like others. Other columns are not read. An empty table
-    gives an empty result.
+
+def _units(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys and weights of the sets of one block, of the other one, matrix of who links) of each pair of blocks in ``table``."""
+    col = {c: table.column(c).to_numpy() for c in ("label", "i", "j", "side", "key", "w")}
+    lists = table.column("features").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.lexsort((col["key"], col["side"], col["j"], col["i"], col["label"]))
+    same = np.ones(len(order), bool)
+    same[1:] = np.any([np.diff(col[c][order]) != 0 for c in ("label", "i", "j")], axis=0)
+    for rows in np.split(order, np.flatnonzero(same)[1:]):
+        one, two = rows[col["side"][rows] == 0], rows[col["side"][rows] == 1]
+        alone = col["i"][rows[0]] == col["j"][rows[0]]
+        two = one if alone else two
+        a, b = ([values[ends[r] : ends[r + 1]] for r in side] for side in (one, two))
+        n, m = (np.array([len(x) for x in side]) for side in (a, b))
+        inter = _overlaps(a, b)
+        linked = (inter > 0) & (100 * inter >= 75 * (n[:, None] + m[None, :] - inter))
+        if alone:
+            linked = np.triu(linked, 1)
+        yield col["key"][one], col["w"][one], col["key"][two], col["w"][two], linked
+
+
+def _block_pairs(docs: DataFrame, classes: DataFrame, label: DataFrame, size: int, block: int, volume: int) -> DataFrame:
+    """Rows of sets by the pairs of blocks (task; label, i, j) that they are compared in, side 0 or 1.
+
+    Linked sets are of one component, so all links are found by comparing each component's sets with one another, each pair
+    once. A component of up to ``block`` sets and ``volume`` features is one block, and a task has many such; a larger one
+    is cut by size and then by hash. Pairs of blocks whose sizes exclude the similarity are left out, each other one is
+    a task of its own.
     """
+    named = label.union(label.select("label", "label")).distinct().join(classes.select("key", "n", "w"), "key")
+    whole = named.groupBy("label").agg(F.count("*").alias("_m"), F.sum("n").alias("_f"))
+    cut = named.join(whole, "label").withColumn("_c", F.when((F.col("_m") <= block) & (F.col("_f") <= volume), -1).otherwise(F.floor(F.log("n") / F.log(F.lit(1.1)))).cast("long"))
+    parts = cut.groupBy("label", "_c").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / volume)).alias("_s"))
+    salt = F.when(F.col("_c") < 0, 0).otherwise(F.pmod(F.xxhash64("key"), F.col("_s")))
+    members = materialize(cut.join(parts, ["label", "_c"]).select("key", "label", "n", "w", (F.col("_c") * F.lit(1 << 32) + salt).alias("b")), "join-members")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    blocks = materialize(members.groupBy("label", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")), "join-blocks")
+    side = lambda c: blocks.select("label", F.col("b").alias(c), *(F.col(x).alias(x + c) for x in ("lo", "hi", "m")))
+    units = side("i").join(side("j"), "label").where("i <= j and 4 * hii >= 3 * loj and 4 * hij >= 3 * loi and (i < j or mi > 1)").select("label", "i", "j")
+    task = F.when(F.col("i") < 0, F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // volume))))).otherwise(F.xxhash64("label", "i", "j"))
+    sides = units.select("*", task.alias("task"), F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("b", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+    sent = sides.join(members, ["label", "b"]).select("task", "label", "i", "j", "side", "key", "w")
+    return sent.join(_features(members.select("key"), classes, docs, size), "key")
+
+
+def _counts(table: pa.Table) -> pa.Table:
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, wx, y, wy, linked in _units(table):
+        keys += [x, y]
+        counts += [linked @ wy, linked.T @ wx]
+    key, counts = np.concatenate(keys), np.concatenate(counts)
+    return pa.table({"key": pa.array(key[counts > 0], pa.int64()), "c": pa.array(counts[counts > 0], pa.int64())})
+
+
+def _pairs(table: pa.Table) -> pa.Table:
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, _, y, _, linked in _units(table):
+        i, j = np.nonzero(linked)
+        xs.append(np.minimum(x[i], y[j]))
+        ys.append(np.maximum(x[i], y[j]))
+    return pa.table({"x": pa.array(np.concatenate(xs), pa.int64()), "y": pa.array(np.concatenate(ys), pa.int64())})
+
+
+def _classified(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, label): a row a document, one a distinct set, and the components of linked sets."""
     common = common_shingles(docs, docs.count(), size)
     rows = materialize(set_rows(docs, common, size), "join-rows")
     classes, links = similar_sets(docs, rows, common, size)
-    label = components(links)
-    named = classes.select("key", "rep").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    return rows, classes, components(links)
+
+
+def ngram_links(docs: DataFrame, size: int = 5, block: int = BLOCK, volume: int = VOLUME) -> DataFrame:
+    """(x, y, id_x, id_y): every link between two different sets, once; x < y are set ids, id_x and id_y the least doc_id of each."""
+    _, classes, label = _classified(docs, size)
+    found = _block_pairs(docs, classes, label, size, block, volume).groupBy("task").applyInArrow(_pairs, "x bigint, y bigint")
+    side = lambda c: classes.select(F.col("key").alias(c), F.col("rep").alias(f"id_{c}"))
+    return found.join(side("x"), "x").join(side("y"), "y").select("x", "y", "id_x", "id_y")
+
+
+def ngram_components(docs: DataFrame, size: int = 5, count_links: bool = False, block: int = BLOCK, volume: int = VOLUME) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id of every row of ``docs``; with ``count_links`` also n_links.
+
+    A document's set holds the distinct ``size``-word shingles of its whole text, A-Z lower-cased; a shorter text has its
+    word sequence as one; null, empty and blank texts have none and are linked with nothing. Documents link at Jaccard
+    similarity 0.75 or more; component_id is the least doc_id reachable (a null id counts only where there is no other).
+    n_links is the number of other rows that a row links with, those of equal sets among them. Equal sets are one class;
+    repeated rows and ids are members like others. Other columns are not read. An empty table gives an empty result.
+    """
+    rows, classes, label = _classified(docs, size)
+    named = classes.select("key", "rep", "w").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    known = named.join(least, "label").select("key", "component_id")
+    known, counted = named.join(least, "label").select("key", "w", "component_id"), []
+    if count_links:
+        links = _block_pairs(docs, classes, label, size, block, volume).groupBy("task").applyInArrow(_counts, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+        known = known.join(links, "key", "left").withColumn("n_links", F.col("w") - 1 + F.coalesce("c", F.lit(0)))
+        counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    known = known.drop("w", "c")
     # salted, as one class may hold a third of all rows
     salted = rows.select("doc_id", "n", "key").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     asked = salted.where("key is not null").groupBy("key", "_salt").agg(F.lit(1).alias("_one")).join(known, "key").drop("_one")
     out = salted.join(asked, ["key", "_salt"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("key").alias("set_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("key").alias("set_id"), *counted)
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -274,4 +388,4 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_components(table(spark, sf_dir, "documents"), count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -68,6 +68,25 @@ def test_components(spark, rows):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got)
 
 
+def test_links(spark, rows):
+    """All links by brute force, also those that the components don't need, with a component in one block and in many."""
+    docs = [*rows, *((400 + k, rows[60][1] + f" tail{k}", "a") for k in range(40))]
+    sets = []
+    for _, t, _ in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
+    like = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = sorted(repr((d[0], len(x), sum(like(x, y) for j, y in enumerate(sets) if j != i))) for i, (d, x) in enumerate(zip(docs, sets, strict=True)))
+    found = list(set(sets))
+    n_links = sum(like(x, y) for i, x in enumerate(found) for y in found[:i])
+    assert n_links > 780
+    for block, volume in ((1024, 500_000), (8, 500_000), (1024, 1500)):
+        got = ngram_join.ngram_components(table(spark, docs), count_links=True, block=block, volume=volume).collect()
+        assert sorted(repr((r.doc_id, r.n_shingles, r.n_links)) for r in got) == want
+    links = ngram_join.ngram_links(table(spark, docs), block=8).collect()
+    assert len(links) == len({(r.x, r.y) for r in links}) == n_links and all(r.x < r.y for r in links)
+
+
 def test_suffix_dedup(spark, rows):
     for length, hot in ((8, 1024), (30, 2)):
         data = [(i, t) for i, t, _ in rows[:80] if len(t or "") < 3000]
