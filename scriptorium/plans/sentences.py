@@ -133,7 +133,7 @@ def dedupe_sentences(spark, sf_dir: str) -> DataFrame:
     return d.select("doc_id", _size("k").alias("n"), (F.size("k") - F.size(F.array_distinct("k"))).cast("long").alias("n_removed"))
 
 
-@query("G6", "W23", sql=r"""
+@query("W23", sql=r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS g FROM x), r AS (SELECT doc_id, x, g, count(*) AS n FROM g WHERE length(x) > 2 GROUP BY ALL)
 SELECT doc_id, max(n) AS longest_run, count(*) FILTER (n >= 3) AS n_runs FROM r GROUP BY doc_id
@@ -153,6 +153,57 @@ def word_runs(spark, sf_dir: str) -> DataFrame:
     return folded.where("s.best > 0").select("doc_id", F.col("s.best").alias("longest_run"), F.col("s.runs").alias("n_runs"))
 
 
+#: White space of the reference's patterns, as a class that Java and RE2 read alike; ends of a text made of it.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = rf"^{SPACE}+|{SPACE}+\z"
+
+
+def stripped(text) -> Column:
+    return F.regexp_replace(text, _ENDS, "")
+
+
+@query("G6", sql=rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '{_ENDS}', '', 'g'), '([.!?]){SPACE}+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '{_ENDS}', '', 'g')), lambda x: length(x) >= 20) AS a FROM t),
+e AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM s),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(s), '{SPACE}+', ' ', 'g'), '[^\p{{L}}\p{{N}}_ ]', '', 'g'), '{_ENDS}', '', 'g') AS k FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS nth FROM k),
+d AS (SELECT doc_id, count(*) AS n, count(DISTINCT k) AS u, sha256(string_agg(s, ' ' ORDER BY i) FILTER (nth = 1)) AS digest FROM o GROUP BY doc_id),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda x: x <> '') AS w FROM t), x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS g FROM x), r AS (SELECT doc_id, x, g, count(*) AS n FROM g WHERE length(x) > 2 GROUP BY ALL), b AS (SELECT doc_id, max(n) AS run FROM r GROUP BY doc_id),
+j AS (SELECT t.doc_id, coalesce(n, 0) AS n, coalesce(u, 0) AS u, digest, run, CASE WHEN u < n THEN 'sentence_duplication' WHEN n >= 2 AND run >= 3 THEN 'word_repetition' END AS issue FROM t LEFT JOIN d ON t.doc_id = d.doc_id LEFT JOIN b ON t.doc_id = b.doc_id)
+SELECT doc_id, issue, n AS n_sentences, n - u AS n_duplicates, CASE WHEN u < n THEN round(1 - u / n, 6) ELSE 0 END AS ratio, CASE WHEN issue = 'word_repetition' THEN run ELSE 0 END AS run, CASE WHEN u < n THEN digest END AS deduped FROM j
+""")
+def text_repetition(spark, sf_dir: str) -> DataFrame:
+    """Sentences of 20 characters or more that repeat an earlier one, case, white space and punctuation aside, and the text
+    without them; where none does and there are two or more, the longest run of one word, if of three or more."""
+    key = lambda x: stripped(F.regexp_replace(F.regexp_replace(F.lower(x), SPACE + "+", " "), r"[^\p{L}\p{N}_ ]", ""))
+    text = F.coalesce("text", F.lit(""))
+    found = F.filter(F.transform(F.split(stripped(text), rf"(?<=[.!?]){SPACE}+(?=[A-Z])"), stripped), lambda x: F.length(x) >= 20)
+
+    def judged(a):
+        n, u = _size(a), _size(F.array_distinct(a["k"]))
+        first = F.filter(a, lambda x, i: F.array_position(a["k"], x["k"]) == i + 1)
+        return F.struct(n.alias("n"), u.alias("u"), F.when(u < n, _digest(F.array_join(first["s"], " "))).alias("deduped"))
+
+    zero = lambda: F.lit(0).cast("long")
+
+    def step(s, w):
+        run = F.when(w == s["last"], s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(w.alias("last"), run.alias("run"), F.when(F.length(w) > 2, F.greatest(s["best"], run)).otherwise(s["best"]).alias("best"))
+
+    words = F.filter(F.split(F.lower(text), SPACE + "+"), lambda x: x != "")
+    best = F.aggregate(words, F.struct(F.lit("").alias("last"), zero().alias("run"), zero().alias("best")), step)["best"]
+    # the one-element array binds the sentences to a variable, as in phrase_repeats
+    bound = F.transform(F.array(F.transform(found, lambda x: F.struct(x.alias("s"), key(x).alias("k")))), judged)
+    d = _docs(spark, sf_dir).select("doc_id", F.element_at(bound, 1).alias("j"), best.alias("best")).select("doc_id", "j.n", "j.u", "j.deduped", "best")
+    issue = F.when(F.col("u") < F.col("n"), "sentence_duplication").when((F.col("n") >= 2) & (F.col("best") >= 3), "word_repetition")
+    return d.select(
+        "doc_id", issue.alias("issue"), F.col("n").alias("n_sentences"), (F.col("n") - F.col("u")).alias("n_duplicates"), F.when(F.col("u") < F.col("n"), F.round(1 - F.col("u") / F.col("n"), 6)).otherwise(0.0).alias("ratio"),
+        F.when(issue == "word_repetition", F.col("best")).otherwise(0).alias("run"), "deduped",
+    )
+
+
 def packed(items, soft: int, hard: int) -> Column:
     """Greedy chunks of sentences: up to ``soft`` characters, on to ``hard`` while the candidate ends in no closing mark."""
 

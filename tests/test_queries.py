@@ -53,3 +53,36 @@ def test_abbreviations_match_python(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: r["digest"] for r in catalog.queries()["text_abbreviations"](spark, DATA).collect()}
     assert got == {r["doc_id"]: spelled(r["text"]) for r in docs}
+
+
+def written(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_text_repetition_matches_the_rule(spark, tmp_path):
+    """The reference's rule in Python, on the table's texts and on texts that repeat sentences but no words."""
+    import hashlib
+    import re
+
+    def rule(t):
+        found = [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", t.strip())]
+        found = [s for s in found if len(s) >= 20]
+        keys = [re.sub(r"[^\w\s]", "", re.sub(r"\s+", " ", s.lower())).strip() for s in found]
+        kept = [s for i, s in enumerate(found) if keys[i] not in keys[:i]]
+        if len(found) > len(kept):
+            return "sentence_duplication", len(found), len(found) - len(kept), round(1 - len(kept) / len(found), 6), 0, hashlib.sha256(" ".join(kept).encode()).hexdigest()
+        w, run, best = t.lower().split(), 0, 0
+        for i in range(1, len(w)):
+            run = run + 1 if w[i] == w[i - 1] and len(w[i]) > 2 else 0
+            best = max(best, run)
+        word = len(found) >= 2 and best >= 2
+        return "word_repetition" if word else None, len(found), 0, 0.0, best + 1 if word else 0, None
+
+    a, b = "The first sentence is here.", "Another one follows it now!"
+    texts = ["", None, "short", a, f"{a} {b}", f"{a} {b} The first,  SENTENCE is here?", f"{a}\xa0{a}", f" {a} {b} then then then", f"{a} then then then", f"{a} Yes. Yes. {b}", f"{a} it is is is {b} {b}"]
+    texts += [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    got = {r[0]: tuple(r)[1:] for r in catalog.queries()["text_repetition"](spark, written(spark, tmp_path, texts)).collect()}
+    want = {i: rule(t or "") for i, t in enumerate(texts)}
+    assert [i for i in want if want[i] != got[i]] == [] and {w[0] for w in want.values()} == {None, "sentence_duplication", "word_repetition"}
+    assert "G6" in catalog.coverage() and catalog.coverage()["G6"] == ["text_repetition"]
