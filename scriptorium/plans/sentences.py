@@ -217,20 +217,52 @@ def packed(items, soft: int, hard: int) -> Column:
     return F.aggregate(items, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
 
 
-@query("D11", sql=f"""
+_PACKED = f"""
 WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES} AS a FROM documents),
 f AS (SELECT doc_id, 0 AS i, '' AS now, CAST(NULL AS VARCHAR) AS done FROM s
  UNION ALL SELECT doc_id, i, CASE WHEN fits THEN cand ELSE x END, CASE WHEN fits OR now = '' THEN NULL ELSE now END FROM (
   SELECT *, length(cand) <= 450 OR (length(cand) <= 500 AND right(cand, 1) NOT IN ('.', '!', '?', '"', '''')) AS fits FROM (
    SELECT f.doc_id, f.i + 1 AS i, f.now, s.a[f.i + 1] AS x, CASE WHEN f.now = '' THEN s.a[f.i + 1] ELSE f.now || ' ' || s.a[f.i + 1] END AS cand FROM f JOIN s ON f.doc_id = s.doc_id WHERE f.i < len(s.a)))),
-c AS (SELECT doc_id, i, done AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT f.doc_id, 1000000000, now FROM f JOIN s ON f.doc_id = s.doc_id WHERE f.i = len(s.a) AND now <> '')
+c AS (SELECT doc_id, i, done AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT f.doc_id, 1000000000, now FROM f JOIN s ON f.doc_id = s.doc_id WHERE f.i = len(s.a) AND now <> '')"""
+
+
+@query(sql=f"""{_PACKED}
 SELECT doc_id, count(*) AS n_chunks, max(length(chunk)) AS longest, sha256(string_agg(chunk, chr(10) ORDER BY i)) AS digest FROM c GROUP BY doc_id
 """)
 def greedy_chunks(spark, sf_dir: str) -> DataFrame:
+    """The first half of D11: chunks as packed."""
     d = _docs(spark, sf_dir).select("doc_id", packed(sentences(F.col("text")), 450, 500).alias("c")).where(F.size("c") > 0)
     return d.select("doc_id", _size("c").alias("n_chunks"), F.array_max(F.transform("c", lambda x: F.length(x))).cast("long").alias("longest"), _digest(F.array_join("c", "\n")).alias("digest"))
 
 
+def balanced(chunks) -> Column:
+    """Chunks of which one with an odd number of double quotes is joined to its successor; what is joined is not looked at again."""
+
+    def step(s, x):
+        odd = F.regexp_count(x, F.lit('"')) % 2 == 1
+        one = F.when(s["held"].isNotNull(), F.concat(s["held"], F.lit(" "), x)).when(~odd, x)
+        return F.struct(F.when(one.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(one))).alias("done"), F.when(one.isNull(), x).alias("held"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
+    return F.aggregate(chunks, start, step, lambda s: F.when(s["held"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["held"]))))
+
+
+@query("D11", sql=f"""
+{_PACKED},
+k AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, (length(chunk) - length(replace(chunk, '"', ''))) % 2 = 1 AS odd FROM c),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, odd ORDER BY k) AS run FROM k),
+o AS (SELECT *, odd AND row_number() OVER (PARTITION BY doc_id, odd, run ORDER BY k) % 2 = 1 AS opens FROM r),
+l AS (SELECT *, coalesce(lag(opens) OVER (PARTITION BY doc_id ORDER BY k), false) AS joined FROM o),
+g AS (SELECT *, count(*) FILTER (NOT joined) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM l),
+b AS (SELECT doc_id, g, string_agg(chunk, ' ' ORDER BY k) AS chunk FROM g GROUP BY doc_id, g)
+SELECT doc_id, count(*) AS n_chunks, max(length(chunk)) AS longest, sha256(string_agg(chunk, chr(10) ORDER BY g)) AS digest FROM b GROUP BY doc_id
+""")
+def balanced_chunks(spark, sf_dir: str) -> DataFrame:
+    p = _docs(spark, sf_dir).select("doc_id", packed(sentences(F.col("text")), 450, 500).alias("p")).where(F.size("p") > 0)
+    d = p.select("doc_id", balanced(F.col("p")).alias("c"))
+    return d.select("doc_id", _size("c").alias("n_chunks"), F.array_max(F.transform("c", lambda x: F.length(x))).cast("long").alias("longest"), _digest(F.array_join("c", "\n")).alias("digest"))
+
+
 @query("E11", "F20", sql="""
 SELECT CASE """ + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, _, words in FAILURES) + """ ELSE 'unknown' END AS category, count(*) AS n FROM conversations GROUP BY 1
 """)

@@ -86,3 +86,39 @@ def test_text_repetition_matches_the_rule(spark, tmp_path):
     want = {i: rule(t or "") for i, t in enumerate(texts)}
     assert [i for i in want if want[i] != got[i]] == [] and {w[0] for w in want.values()} == {None, "sentence_duplication", "word_repetition"}
     assert "G6" in catalog.coverage() and catalog.coverage()["G6"] == ["text_repetition"]
+
+
+def test_balanced_chunks_match_the_rule(spark, tmp_path):
+    """Quotations over chunk edges, by the query, its SQL and the reference's two loops in Python."""
+    import hashlib
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(['"', "", "", ""]) + "Word " * r.randint(3, 60) + r.choice(['end."', "end.", "end!"]) for _ in range(r.randint(1, 14))) for _ in range(60)]
+
+    def rule(t):
+        import re
+
+        chunks, now = [], []
+        for x in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+", t))):
+            both = " ".join([*now, x])
+            if len(both) <= 450 or len(both) <= 500 and not re.search(r"[.!?\"']\s*$", both):
+                now.append(x)
+                continue
+            chunks += [" ".join(now)] if now else []
+            now = [x]
+        chunks, out, i = chunks + [" ".join(now)], [], 0
+        while i < len(chunks):
+            two = chunks[i].count('"') % 2 != 0 and i + 1 < len(chunks)
+            out.append(f"{chunks[i]} {chunks[i + 1]}" if two else chunks[i])
+            i += 1 + two
+        return len(out), max(map(len, out)), hashlib.sha256("\n".join(out).encode()).hexdigest(), len(out) < len(chunks)
+
+    sf = written(spark, tmp_path, texts)
+    want = {i: rule(t) for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
+    for got in (catalog.queries()["balanced_chunks"](spark, sf).collect(), con.execute(catalog.oracle_sql()["balanced_chunks"]).fetchall()):
+        assert {x[0]: tuple(x)[1:] for x in got} == {i: w[:3] for i, w in want.items()}
+    assert sum(w[3] for w in want.values()) > 20
+    assert catalog.coverage()["D11"] == ["balanced_chunks"]
