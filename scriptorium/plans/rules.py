@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from scriptorium.catalog import query
 from scriptorium.functions import quality as Q
 from scriptorium.functions import scalars as S
+from scriptorium.plans.sentences import SPACE, stripped
 from scriptorium.sources.tables import table
 
 _PAGE_COMMON = " + ".join(f"CAST(contains(lower(text), ' {w} ') AS INT)" for w in Q.PAGE_WORDS)
@@ -150,7 +151,7 @@ def overlapping_segments(spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", "text", at.alias("pos")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length(part).cast("long").alias("n"), F.md5(F.encode(part, "UTF-8")).alias("digest"))
 
 
-@query("F36", sql=r"""
+@query(sql=r"""
 SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '')) AS n_empty, len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 20)) AS n_short,
   len(list_filter(regexp_split_to_array(text, '\n\n+'), lambda x: trim(x, ' ') <> '')) AS n_paragraphs, length(text) - length(regexp_replace(text, '[.!?]', '', 'g')) AS n_marks, length(text) - length(replace(text, chr(65533), '')) AS n_broken FROM documents
 """)
@@ -162,6 +163,35 @@ def text_file_stats(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@query("F36", sql=rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, text, regexp_split_to_array(text, '{_LINE_END}') AS a, list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '') AS w FROM t),
+l AS (SELECT doc_id, text, w, length(text) AS n, CASE WHEN a[len(a)] = '' THEN list_slice(a, 1, len(a) - 1) ELSE a END AS l FROM p),
+s AS (SELECT *, list_transform(l, lambda x: length(regexp_replace(x, '^{SPACE}+|{SPACE}+\z', '', 'g'))) AS z, length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) AS odd FROM l)
+SELECT doc_id, n AS size, len(l) AS n_lines, len(w) AS n_words, CASE WHEN len(l) > 0 THEN round(list_sum(list_transform(l, lambda x: length(x))) / len(l), 4) ELSE 0 END AS mean_line, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 4) ELSE 0 END AS mean_word,
+  len(regexp_extract_all(text, ' {{2,}}')) AS n_spaces, odd AS n_odd, CASE WHEN n > 0 THEN round(odd / n * 100, 4) ELSE 0 END AS odd_pct, len(list_filter(z, lambda x: x = 0)) AS n_empty, CASE WHEN len(l) > 0 THEN round(len(list_filter(z, lambda x: x = 0)) / len(l) * 100, 4) ELSE 0 END AS empty_pct,
+  len(list_filter(z, lambda x: x > 0 AND x < 10)) AS n_short, len(regexp_extract_all(text, '[.!?]+{SPACE}+')) + 1 AS n_sentences, len(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '[^\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]'))) AS n_paragraphs,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\p{{Nd}}+\z'))) AS n_page_numbers, len(regexp_extract_all(text, '(?i)OceanofPDF\.com')) AS n_ocean FROM s
+""")
+def text_file_analysis(spark, sf_dir: str) -> DataFrame:
+    """A text's size, lines, words, average lengths, odd characters, structure and page numbers."""
+    size, count = (lambda a: F.size(a).cast("long")), lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    total = lambda a: F.aggregate(F.transform(a, lambda x: F.length(x)), F.lit(0).cast("long"), lambda s, x: s + x)
+    part = lambda x, n: F.when(n > 0, F.round(x / n, 4)).otherwise(0.0)
+    p = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("a", F.split("text", _LINE_END)).withColumn("w", F.filter(F.split("text", SPACE + "+"), lambda x: x != ""))
+    p = p.withColumn("l", F.when(F.element_at("a", -1) == "", F.slice("a", F.lit(1), F.size("a") - 1)).otherwise(F.col("a"))).withColumn("z", F.transform("l", lambda x: F.length(stripped(x))))
+    empty, odd = size(F.filter("z", lambda x: x == 0)), count(r"[^\x00-\x7f]")
+    return p.select(
+        "doc_id", F.length("text").cast("long").alias("size"), size("l").alias("n_lines"), size("w").alias("n_words"), part(total("l"), F.size("l")).alias("mean_line"), part(total("w"), F.size("w")).alias("mean_word"),
+        count(" {2,}").alias("n_spaces"), odd.alias("n_odd"), part(odd * 100, F.length("text")).alias("odd_pct"), empty.alias("n_empty"), part(empty * 100, F.size("l")).alias("empty_pct"),
+        size(F.filter("z", lambda x: (x > 0) & (x < 10))).alias("n_short"), (count(rf"[.!?]+{SPACE}+") + 1).alias("n_sentences"), size(F.filter(F.split("text", "\n\n"), lambda x: stripped(x) != "")).alias("n_paragraphs"),
+        size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\p{Nd}+\z"))).alias("n_page_numbers"), count(r"(?i)OceanofPDF\.com").alias("n_ocean"),
+    )
+
+
 @query("D17", "D18", sql=r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS total FROM l),

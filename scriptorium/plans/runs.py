@@ -173,7 +173,7 @@ def _cap(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-@query("W18", "W19", sql=f"""
+@query("W18", sql=f"""
 WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, sum(duration_ms) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stop, duration_ms FROM ({_EVENTS})),
 t AS (SELECT *, max(stop) OVER (PARTITION BY user_id) AS total FROM o)
 SELECT event_id, round((stop - duration_ms) * 3600 / total, 3) AS start_s, round(stop * 3600 / total, 3) AS stop_s, greatest(10, CAST(round(duration_ms * 100) AS BIGINT)) AS karaoke_cs FROM t
@@ -186,6 +186,34 @@ def rescaled_segments(spark, sf_dir: str) -> DataFrame:
     return t.select("event_id", at(F.col("stop") - F.col("duration_ms")).alias("start_s"), at(F.col("stop")).alias("stop_s"), F.greatest(F.lit(10).cast("long"), F.round(F.col("duration_ms") * 100).cast("long")).alias("karaoke_cs"))
 
 
+@query("W19", sql=f"""
+WITH w AS (SELECT event_id, user_id, day, epoch_us(ts) AS start_us, epoch_us(ts) + CAST(floor(duration_ms * 1000) AS BIGINT) AS stop FROM ({_EVENTS})),
+n AS (SELECT event_id, start_us, lead(start_us) OVER (PARTITION BY user_id, day ORDER BY start_us, event_id) AS next_us, max(stop) OVER (PARTITION BY user_id, day) AS line_end FROM w)
+SELECT event_id, greatest(10, (coalesce(next_us, line_end) - start_us) // 10000) AS karaoke_cs FROM n
+""")
+def karaoke_durations(spark, sf_dir: str) -> DataFrame:
+    """Centiseconds, cut off, 10 at least, from an event, a word, to the next one of its day, the line, or to the line's end."""
+    day = Window.partitionBy("user_id", "day")
+    w = policy_events(spark, sf_dir).select("event_id", "user_id", "day", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.floor(F.col("duration_ms") * 1000).cast("long").alias("_d"))
+    until = F.coalesce(F.lead("at").over(day.orderBy("at", "event_id")), F.max(F.col("at") + F.col("_d")).over(day))
+    return w.withColumn("_us", until - F.col("at")).select("event_id", F.greatest(F.lit(10).cast("long"), F.expr("_us div 10000")).alias("karaoke_cs"))
+
+
+@query("E5", sql=f"""
+WITH h AS (SELECT user_id, day, phase, engine, bool_or(failed AND fallback >= .9) AS hallucination FROM ({_EVENTS}) GROUP BY ALL)
+SELECT r.user_id, CAST(r.day AS VARCHAR) AS day, r.phase, r.engine, round(1 - CASE WHEN r.failed THEN 1.5 ELSE 0 END - .5 * coalesce(r.fallback, 0) - greatest(0, (coalesce(r.rtf, 0) - 2) * .1) - CASE WHEN h.hallucination THEN .3 ELSE 0 END, 6) AS reward
+FROM ({_RUNS}) AS r JOIN h ON r.user_id = h.user_id AND r.day = h.day AND r.phase = h.phase AND r.engine = h.engine
+""")
+def run_reward(spark, sf_dir: str) -> DataFrame:
+    """Reward of a run by its failure, fallback rate, slowness beyond a factor of two, and hallucination, for which a failed
+    event of a fallback rate of .9 or more stands."""
+    keys = ["user_id", "day", "phase", "engine"]
+    h = policy_events(spark, sf_dir).groupBy(keys).agg(F.bool_or(F.col("failed") & (F.col("fallback") >= 0.9)).alias("hallucination"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    reward = 1 - F.when(F.col("failed"), 1.5).otherwise(0.0) - 0.5 * zero("fallback") - F.greatest(F.lit(0.0), (zero("rtf") - 2) * 0.1) - F.when(F.col("hallucination"), 0.3).otherwise(0.0)
+    return _day(runs(spark, sf_dir).join(h, keys)).select("user_id", "day", "phase", "engine", F.round(reward, 6).alias("reward"))
+
+
 @query("E13", "E14", "E15", "E16", "E22", "E54", sql=f"""
 WITH d AS (SELECT *, round(least(1, greatest(0, .3 * score / 100 + .25 * (1 - fallback) + .25 * (1 - failures / n) + .2 * least(1, rtf / 4))), 6) AS rating, round((score / 100 + (1 - fallback) + (1 - failures / n)) / 3, 6) AS mean FROM ({_RUNS}))
 SELECT user_id, CAST(d.day AS VARCHAR) AS day, rating, CASE WHEN mean >= .8 THEN 'ok' WHEN mean >= .5 THEN 'needs_attention' ELSE 'critical' END AS verdict, CASE WHEN rating < .2 THEN 'high' WHEN rating < .4 THEN 'medium' ELSE 'low' END AS risk,

@@ -24,6 +24,12 @@ FAILURES = (
     ("io", 0.8, ("filenotfounderror", "permissionerror", "no such file", "cannot open", "disk full", "ioerror", "permission denied")),
 )
 
+#: White space of the reference's patterns, as a class that Java and RE2 read alike; ends of a text made of it.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = rf"^{SPACE}+|{SPACE}+\z"
+#: Fixed value: the reference's pace of speech.
+CHARS_PER_MINUTE = 2700
+
 
 def sentences(text) -> Column:
     """Pieces between a sentence mark and the white space after it, trimmed, without empty ones."""
@@ -52,7 +58,7 @@ def fold_sql(text: str, rules, flags: str = "gi") -> str:
     return text
 
 
-@query("D1", "D23", sql=f"""
+@query("D1", sql=f"""
 WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS s FROM documents)
 SELECT doc_id, count(*) AS n, min(length(s)) AS shortest, max(length(s)) AS longest, round(avg(length(s)), 4) AS mean, count(*) FILTER (length(s) > 250) AS n_long, round(max(length(s)) / 1050.0 * 60, 4) AS max_seconds FROM s GROUP BY doc_id
 """)
@@ -65,6 +71,24 @@ def sentence_metrics(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@query("D23", sql=rf"""
+WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS s FROM documents), m AS (SELECT doc_id, length(s) AS n, len(list_filter(regexp_split_to_array(s, '{SPACE}+'), lambda x: x <> '')) AS w, length(s) / {CHARS_PER_MINUTE} * 60 AS t FROM s)
+SELECT doc_id, count(*) AS n, round(avg(n), 4) AS mean_chars, round(avg(w), 4) AS mean_words, CAST(sum(w) AS BIGINT) AS n_words, round(avg(t), 4) AS mean_s, round(max(t), 4) AS longest_s, round(min(t), 4) AS shortest_s,
+  count(*) FILTER (n <= 250) AS soft, count(*) FILTER (n > 250 AND n <= 300) AS hard, count(*) FILTER (n > 300 AND n <= 400) AS emergency, count(*) FILTER (n > 400) AS exceeding FROM m GROUP BY doc_id
+""")
+def chunk_metrics(spark, sf_dir: str) -> DataFrame:
+    """Characters, words, seconds and disjoint bands of size of a text's sentences, which stand for chunks."""
+    total = lambda a, f: F.aggregate(F.transform(a, lambda x: x[f]), F.lit(0).cast("long"), lambda s, x: s + x)
+    part = F.transform(sentences(F.col("text")), lambda x: F.struct(F.length(x).alias("n"), F.size(F.filter(F.split(x, SPACE + "+"), lambda w: w != "")).alias("w")))
+    m = _docs(spark, sf_dir).select("doc_id", part.alias("m")).where(F.size("m") > 0)
+    n, seconds = F.size("m"), lambda x: F.round(x / CHARS_PER_MINUTE * 60, 4)
+    band = lambda lo, hi: _size(F.filter("m", lambda x: (x["n"] > lo) & (x["n"] <= hi)))
+    return m.select(
+        "doc_id", n.cast("long").alias("n"), F.round(total("m", "n") / n, 4).alias("mean_chars"), F.round(total("m", "w") / n, 4).alias("mean_words"), total("m", "w").alias("n_words"), seconds(total("m", "n") / n).alias("mean_s"),
+        seconds(F.array_max("m.n")).alias("longest_s"), seconds(F.array_min("m.n")).alias("shortest_s"), band(0, 250).alias("soft"), band(250, 300).alias("hard"), band(300, 400).alias("emergency"), _size(F.filter("m", lambda x: x["n"] > 400)).alias("exceeding"),
+    )
+
+
 @query("D3", sql="""
 SELECT doc_id, len(string_split(text, ';')) AS n_parts, sha256(array_to_string(list_filter(list_transform(string_split(replace(text, ';', ';' || chr(1)), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))) AS digest FROM documents
 """)
@@ -153,11 +177,6 @@ def word_runs(spark, sf_dir: str) -> DataFrame:
     return folded.where("s.best > 0").select("doc_id", F.col("s.best").alias("longest_run"), F.col("s.runs").alias("n_runs"))
 
 
-#: White space of the reference's patterns, as a class that Java and RE2 read alike; ends of a text made of it.
-SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ENDS = rf"^{SPACE}+|{SPACE}+\z"
-
-
 def stripped(text) -> Column:
     return F.regexp_replace(text, _ENDS, "")
 

@@ -94,7 +94,7 @@ def chunk_hash(spark, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.sha2(F.encode(F.array_join("p.text", ""), "UTF-8"), 256).alias("digest"))
 
 
-@query("J2", "J3", sql="""
+@query("J2", sql="""
 SELECT o.o_orderkey AS order_id, coalesce(s.s_name, c.c_name) AS voice, c.c_mktsegment AS segment FROM orders AS o LEFT JOIN customer AS c ON o.o_custkey = c.c_custkey LEFT JOIN supplier AS s ON o.o_orderkey = s.s_suppkey
 """)
 def override_lookup(spark, sf_dir: str) -> DataFrame:
@@ -106,6 +106,27 @@ def override_lookup(spark, sf_dir: str) -> DataFrame:
     return j.select(F.col("o_orderkey").alias("order_id"), F.coalesce("s_name", "c_name").alias("voice"), F.col("c_mktsegment").alias("segment"))
 
 
+@query("J3", sql=r"""
+WITH f AS (SELECT o_orderkey, 'CUSTOMER ' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS file_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'partial' ELSE 'pending' END AS status,
+  CASE o_orderkey % 4 WHEN 0 THEN 'take2_chunk_' || o_orderkey || '.wav' WHEN 1 THEN 'chunk_' || o_orderkey || '_v2.wav' WHEN 2 THEN o_orderkey || '.wav' ELSE 'last.wav' END AS path FROM orders),
+n AS (SELECT *, CAST(coalesce(nullif(regexp_extract(path, '_chunk_(\d+)', 1), ''), nullif(regexp_extract(path, 'chunk_(\d+)', 1), ''), nullif(regexp_extract(path, '(\d+)', 1), ''), '0') AS BIGINT) AS chunk_id FROM f WHERE status IN ('success', 'complete', 'partial'))
+SELECT c_name AS title, o_orderkey AS order_id, path, chunk_id, row_number() OVER (PARTITION BY c_name ORDER BY chunk_id, o_orderkey) AS place
+FROM customer JOIN n ON regexp_replace(lower(c_name), '[^\p{L}\p{N}]', '', 'g') = regexp_replace(lower(file_id), '[^\p{L}\p{N}]', '', 'g')
+""")
+def audio_chunks(spark, sf_dir: str) -> DataFrame:
+    """Chunks of finished files by title, names compared by letters and digits alone, placed by the number in their path;
+    orders stand for files of one chunk."""
+    key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    path = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("take2_chunk_"), k, F.lit(".wav"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("chunk_"), k, F.lit("_v2.wav"))).when(F.col("o_orderkey") % 4 == 2, F.concat(k, F.lit(".wav"))).otherwise("last.wav")
+    status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "partial").otherwise("pending")
+    f = o.select("o_orderkey", F.concat(F.lit("CUSTOMER "), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("file_id"), status.alias("status"), path.alias("path"))
+    number = F.coalesce(*(F.nullif(F.regexp_extract("path", p, 1), F.lit("")) for p in (r"_chunk_(\d+)", r"chunk_(\d+)", r"(\d+)")), F.lit("0")).cast("long")
+    done = f.where(F.col("status").isin("success", "complete", "partial")).select(key("file_id").alias("_k"), F.col("o_orderkey").alias("order_id"), "path", number.alias("chunk_id"))
+    j = table(spark, sf_dir, "customer").select(F.col("c_name").alias("title"), key("c_name").alias("_k")).join(done, "_k")
+    return j.select("title", "order_id", "path", "chunk_id", F.row_number().over(Window.partitionBy("title").orderBy("chunk_id", "order_id")).cast("long").alias("place"))
+
+
 @query("J4", sql="""
 WITH m AS (SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = documents.doc_id)) SELECT doc_id, doc_id - lag(doc_id, 1, doc_id) OVER (PARTITION BY doc_id // 10000 ORDER BY doc_id) AS gap FROM m
 """)

@@ -44,11 +44,11 @@ def policy_streak(spark, sf_dir: str) -> DataFrame:
     return runs.withColumn("later", F.sum("bad").over(w)).groupBy("user_id").agg(F.count_if(F.col("later") == 0).alias("streak"))
 
 
-@query("E5", sql=f"""
+@query(sql=f"""
 SELECT user_id, CAST(day AS VARCHAR) AS day, round(1 - 1.5 * max(CAST(failed AS INT)) - 0.5 * avg(fallback), 9) AS reward FROM ({_EVENTS}) AS e GROUP BY user_id, e.day
 """)
 def policy_reward(spark, sf_dir: str) -> DataFrame:
-    """Reward of a run: 1, less 1.5 if it failed and half its fallback rate."""
+    """Part of a run's reward: 1, less 1.5 if it failed and half its fallback rate."""
     return policy_events(spark, sf_dir).groupBy("user_id", "day").agg(F.round(1 - 1.5 * F.max(F.col("failed").cast("int")) - 0.5 * F.avg("fallback"), 9).alias("reward")).withColumn("day", F.col("day").cast("string"))
 
 

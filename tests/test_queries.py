@@ -122,3 +122,44 @@ def test_balanced_chunks_match_the_rule(spark, tmp_path):
         assert {x[0]: tuple(x)[1:] for x in got} == {i: w[:3] for i, w in want.items()}
     assert sum(w[3] for w in want.values()) > 20
     assert catalog.coverage()["D11"] == ["balanced_chunks"]
+
+
+def test_chunk_metrics_and_file_analysis_match_the_rules(spark, tmp_path):
+    import re
+
+    texts = ["", None, "One. Two three!", "7\n\n12 \n a\u2028b\r\nc\n13", "x" * 250 + ". " + "y" * 298 + ". " + "z" * 399 + ". " + "w" * 401 + ".", " \n\n \u00a0\n\nOceanOfPDF.COM é  ü   end.  More"]
+    texts += [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    sf = written(spark, tmp_path, texts)
+
+    def analysis(t):
+        lines, words = t.splitlines(), t.split()
+        mean, odd, empty = lambda a: sum(map(len, a)) / len(a) if a else 0, sum(ord(c) > 127 for c in t), sum(not x.strip() for x in lines)
+        return [
+            len(t), len(lines), len(words), mean(lines), mean(words), len(re.findall(" {2,}", t)), odd, odd / len(t) * 100 if t else 0, empty, empty / len(lines) * 100 if lines else 0,
+            sum(0 < len(x.strip()) < 10 for x in lines), len(re.split(r"[.!?]+\s+", t)), sum(bool(p.strip()) for p in t.split("\n\n")), len(re.findall(r"^\d+$", t, re.MULTILINE)), len(re.findall(r"OceanofPDF\.com", t, re.IGNORECASE)),
+        ]
+
+    got = {r[0]: list(r)[1:] for r in catalog.queries()["text_file_analysis"](spark, sf).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(analysis(t or ""), abs=1e-4), i
+    r = {r.doc_id: r for r in catalog.queries()["chunk_metrics"](spark, sf).collect()}
+    assert tuple(r[4])[8:] == (0, 2, 1, 1)
+    assert r[2].n_words == 3 and r[2].soft == 2 and r[2].longest_s == round(10 / 2700 * 60, 4)
+
+
+def test_run_and_state_rules(spark, tmp_path):
+    """Terms and filters that the earlier queries left out, on rows that need each of them."""
+    import datetime
+
+    at = lambda s: datetime.datetime(2024, 1, 1, 9) + datetime.timedelta(seconds=s)
+    rows = [(1, at(0), 1, "view", 200.0, '{"k": 10}'), (2, at(1.239), 1, "view", 200.0, '{"k": 10}'), (3, at(1.24), 1, "view", 700.0, '{"k": 10}'), (4, at(0), 2, "error", 50.0, '{"k": 95}')]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: [r.asDict() for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+    assert {r["event_id"]: r["karaoke_cs"] for r in run("karaoke_durations")} == {1: 123, 2: 10, 3: 70, 4: 10}
+    slow = (1100 / 3 / 50 - 2) * 0.1
+    assert {r["user_id"]: r["reward"] for r in run("run_reward")} == pytest.approx({1: 1 - 0.05 - slow, 2: 1 - 1.5 - 0.475 - 0.3}, abs=1e-5)
+    orders = [(8, 1, "F"), (5, 1, "P"), (6, 1, "O"), (10, 1, "F"), (3, 1, "F"), (12, 2, "F")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#000000001")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted((r["place"], r["order_id"], r["chunk_id"]) for r in run("audio_chunks")) == [(1, 3, 0), (2, 5, 5), (3, 8, 8), (4, 10, 10)]
+    assert {o: catalog.coverage()[o] for o in ("J3", "E5", "D23", "F36", "W19")} == {"J3": ["audio_chunks"], "E5": ["run_reward"], "D23": ["chunk_metrics"], "F36": ["text_file_analysis"], "W19": ["karaoke_durations"]}
