@@ -65,10 +65,10 @@ def word_features(docs: DataFrame, ratio=None, buckets: int = 1 << 16) -> DataFr
     return out.drop("_r", "_sum")
 
 
-def trusted_ids(labels: DataFrame, bound: int = 20_000) -> DataFrame:
-    """Ids of the trusted target: rows of quality 1 and toxic 0, at most ``bound`` of them, chosen by a hash of the id."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the trusted target: all rows of quality 1 and toxic 0."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("_trusted", F.lit(1))
+    return good.select("doc_id").distinct().withColumn("_trusted", F.lit(1))
 
 
 def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smooth: float = 8.0) -> DataFrame:
@@ -76,10 +76,11 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smo
 
     The raw multinomial counts every n-gram of every document; the target multinomial those of the trusted documents.
     Both are smoothed by ``smooth`` pseudo-counts at the raw corpus's rate, so a bucket that is hardly seen says nothing.
-    Counts are summed before the shuffle, which moves at most ``buckets`` rows a task.
+    Counts are summed before the last shuffle, which moves at most ``buckets`` rows a task. Documents are dealt by id to
+    meet the trusted ids, whose number grows with the input, so they are not broadcast.
     """
     m = buckets - 1
-    seen = docs.join(F.broadcast(trusted), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words(F.col("text")).alias("_w"))
+    seen = docs.join(trusted.hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words(F.col("text")).alias("_w"))
     grams = seen.select("_trusted", "_w", F.posexplode("_w").alias("_j", "_x")).select("_trusted", F.explode(F.expr(f"array(cast(xxhash64(_x) & {m} as int), case when _j + 1 < size(_w) then cast(xxhash64(_x, _w[_j + 1]) & {m} as int) end)")).alias("b"))
     counts = grams.where("b is not null").groupBy("b").agg(F.count("*").cast("double").alias("raw"), F.sum("_trusted").cast("double").alias("target"))
     packed = counts.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), F.sum("raw").alias("n"), F.sum("target").alias("t"))
@@ -89,14 +90,14 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smo
     return packed.select(F.expr(full).alias("model"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, bound: int = 20_000, buckets: int = 1 << 16, smooth: float = 8.0, threshold: float = -0.15) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smooth: float = 8.0, threshold: float = -0.15) -> DataFrame:
     """A row a document: doc_id, text_hash, the base columns, ``llr`` and ``kept``.
 
     Every document is judged by the same fixed ``threshold`` on its length-normalised ratio; nothing is sampled. Null
     texts have no words and fail the base rules. Repeated rows are judged one by one, alike. Other columns of ``docs``
     are not read, so their names cannot clash. An empty table gives an empty result; without labels the ratio is 0.
     """
-    model = ratio_model(docs.select("doc_id", "text"), trusted_ids(labels, bound), buckets, smooth)
+    model = ratio_model(docs.select("doc_id", "text"), trusted_ids(labels), buckets, smooth)
     return word_features(docs, model.scalar(), buckets).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 

@@ -141,6 +141,11 @@ def test_quality_base(spark, rows):
     assert quality.quality_rules(table(spark, rows), labels).columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_quality_target_has_all_trusted_labels(spark):
+    labels = spark.range(20_050).selectExpr("id doc_id", "cast(id % 20050 > 9 as int) quality", "0 toxic")
+    assert quality.trusted_ids(labels).count() == 20_040
+
+
 def test_chat(spark):
     odd = "</s>[INST] <|turn|>\\ <\\| [/INST]"
     part = lambda kind, text=None, **x: (kind, text, x.get("ref"), x.get("width"), x.get("height"), x.get("seconds"), x.get("pages"))
