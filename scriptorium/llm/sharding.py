@@ -20,7 +20,7 @@ def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
     residual capacity has the highest dot product with it; where none has room, to the one that it overfills least.
 
     Sizes are taken as shares of the capacity. Small items are then moved from the fullest to the emptiest shard while
-    this brings the first dimension's loads closer.
+    this brings the first dimension's loads closer and sets no other dimension's loads further apart.
     """
     total = items.sum(0).astype(float)
     cap = np.where(total > 0, total / n_shards, 1.0)
@@ -30,7 +30,7 @@ def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
         room = 1.0 - load
         fits = (room >= x[i] - 1e-12).all(1)
         dot = room @ x[i]
-        k = int(np.argmax(np.where(fits, dot, -np.inf))) if fits.any() else int(np.lexsort((-dot, (load[:, 0] + x[i, 0])))[0])
+        k = int(np.argmax(np.where(fits, dot, -np.inf))) if fits.any() else int(np.lexsort((-dot, (load + x[i]).max(1)))[0])
         where[i] = k
         load[k] += x[i]
     members = [list(np.flatnonzero(where == k)) for k in range(n_shards)]
@@ -38,7 +38,8 @@ def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
         hi, lo = int(np.argmax(load[:, 0])), int(np.argmin(load[:, 0]))
         gap = load[hi, 0] - load[lo, 0]
         sizes = x[members[hi], 0] if members[hi] else np.zeros(0)
-        good = (sizes > 0) & (sizes < gap)
+        rest = x[members[hi], 1:]
+        good = (sizes > 0) & (sizes < gap) & ((rest == 0) | (load[lo, 1:] + rest <= load[hi, 1:])).all(1)
         if gap <= 1e-4 or not good.any():
             break
         j = int(np.argmin(np.where(good, np.abs(sizes - gap / 2), np.inf)))

@@ -116,6 +116,24 @@ def test_shards(spark, rows):
     assert max(loads.values()) - min(loads.values()) <= 0.3 * sum(loads.values())
 
 
+def test_packing_heeds_every_dimension():
+    """Bytes even out no further than the other loads allow; what fits nowhere goes where its worst overfill is least."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        items = np.stack([rng.integers(1, 1000, 60), rng.integers(0, 50, 60) ** 2, np.ones(60, int)], 1)
+        where = sharding.pack(items, 4)
+        loads = np.stack([items[where == k].sum(0) for k in range(4)])
+        hi, lo = loads[:, 0].argmax(), loads[:, 0].argmin()
+        gap = loads[hi, 0] - loads[lo, 0]
+        # no move from the fullest to the emptiest shard is left that all dimensions allow
+        for x in items[where == hi]:
+            assert not (0 < x[0] < gap - 1 and gap > 1e-4 * items[:, 0].sum() / 4 and all(v == 0 or a + v < b for a, b, v in zip(loads[lo, 1:], loads[hi, 1:], x[1:], strict=True)))
+    # nothing has room for the last one; by bytes alone it would join the 90 tokens
+    items = np.array([[60, 10, 1], [40, 90, 1], [10, 60, 1]])
+    spread = lambda w, d: abs(items[w == 0, d].sum() - items[w == 1, d].sum())
+    assert spread(sharding.pack(items, 2), 1) == 20
+
+
 def test_mix(spark, rows):
     assert mixing.targets([10, 10, 10], (5, 2, 1)) == [18.75, 7.5, 3.75] and mixing.targets([1, 99]) == [3.0, 97.0]
     q = mixing.split_quotas(np.array([7, 0, 12]), 5, np.random.default_rng(1))
