@@ -29,7 +29,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def set_rows(docs: DataFrame, common: np.ndarray, size: int = 5) -> DataFrame:
-    """A row a document: doc_id, n (distinct shingles), r (those not in ``common``), key (of its set, null for none), sketch."""
+    """A row a document: doc_id, n (distinct shingles), r (those not in ``common``), key (of its set, null for none), sketch, t (hash of its text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -43,9 +43,9 @@ def set_rows(docs: DataFrame, common: np.ndarray, size: int = 5) -> DataFrame:
                 rare += uncommon(bounds, values, shared.value).tolist()
                 keys += [int(k) if c else None for k, c in zip(set_keys(bounds, values).view(np.int64), counts, strict=True)]
                 marks += [sketch(values[x:y]) if y > x else None for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "n", "r", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), b.column("t")], names=["doc_id", "n", "r", "key", "sketch", "t"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, r bigint, key bigint, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind}, n bigint, r bigint, key bigint, sketch binary, t bigint")
 
 
 def common_shingles(docs: DataFrame, n_docs: int, size: int = 5) -> np.ndarray:
@@ -381,10 +381,14 @@ def ngram_components(docs: DataFrame, size: int = 5, count_links: bool = False,
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``docs`` without the rows of a component other than its least doc_id's; of repeated ids and for null ids every row
-    whose own id is the component's stays."""
-    stay = ngram_components(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """``docs`` without the rows of a component other than its first one's: that of the least doc_id, nulls last, and of
+    several texts under it the one of the least hash. Rows of no set stay, and repetitions of a row that stays."""
+    rows, classes, label = _classified(docs, size)
+    first = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "t")
+    least = rows.where("key is not null").groupBy("key").agg(F.min(first).alias("_first"))
+    stay = least.join(label, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("_first").alias("_first")).select("_first.doc_id", "_first.t")
+    stay = stay.union(rows.where("key is null").select("doc_id", "t")).distinct().toDF("_id", "_t")
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -87,6 +87,14 @@ def test_links(spark, rows):
     assert len(links) == len({(r.x, r.y) for r in links}) == n_links and all(r.x < r.y for r in links)
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """Two near copies under one id, and a near copy of 3 under an id that leads another component."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    docs = [(1, text("a"), "s"), (1, text("a") + " end", "s"), (3, text("b"), "s"), (5, text("b") + " end", "s"), (5, text("c"), "s"), (6, text("c") + " end", "s"), (7, "", "s"), (7, None, "s"), (None, text("a") + " more", "s")]
+    got = sorted((r.doc_id, (r.text or "")[:1]) for r in ngram_join.one_of_each(table(spark, docs)).collect())
+    assert got == [(1, "a"), (3, "b"), (5, "c"), (7, ""), (7, "")]
+
+
 def test_suffix_dedup(spark, rows):
     for length, hot in ((8, 1024), (30, 2)):
         data = [(i, t) for i, t, _ in rows[:80] if len(t or "") < 3000]
