@@ -1,4 +1,9 @@
-"""N-gram Jaccard join by PartEnum signatures, and the components of its links."""
+"""N-gram Jaccard join by PartEnum signatures, and the components of its links.
+
+Sets that share a signature are candidates of the least of them, their anchor. All are compared with their anchor first,
+which connects most of what is similar; then those of an anchor's candidates that are not connected yet are compared with
+one another in blocks, many sets to a task, so no pair is ever a row unless it is linked or needed to connect.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import discard, materialize, table
-from scriptorium.llm.shingles import LOWER, PLAIN, may_be_similar, mixed, segment_sums, set_keys, shingle_sets, signatures, sketch, slices, uncommon
+from scriptorium.llm.shingles import LOWER, far_apart, segment_sums, set_keys, shingle_sets, signatures, sketch, slices
 
 #: Signatures that one reducing task sorts, about; texts that the list of common shingles is drawn from; how many of
 #: those must have a shingle for it to count as common. The list only speeds the search up; it changes no result.
@@ -28,24 +33,22 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
 
 
-def set_rows(docs: DataFrame, common: np.ndarray, size: int = 5) -> DataFrame:
-    """A row a document: doc_id, n (distinct shingles), r (those not in ``common``), key (of its set, null for none), sketch, t (hash of its text)."""
+def set_rows(docs: DataFrame, size: int = 5) -> DataFrame:
+    """A row a document: doc_id, n (distinct shingles), key (of its set, null for none), sketch, t (hash of its text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n, rare, keys, marks = _texts(b), [], [], [], []
+            texts, n, keys, marks = _texts(b), [], [], []
             for lo, hi in slices(texts):
                 bounds, values = shingle_sets(texts[lo:hi], size)
                 counts = np.diff(bounds)
                 n += counts.tolist()
-                rare += uncommon(bounds, values, shared.value).tolist()
                 keys += [int(k) if c else None for k, c in zip(set_keys(bounds, values).view(np.int64), counts, strict=True)]
                 marks += [sketch(values[x:y]) if y > x else None for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), b.column("t")], names=["doc_id", "n", "r", "key", "sketch", "t"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), b.column("t")], names=["doc_id", "n", "key", "sketch", "t"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind}, n bigint, r bigint, key bigint, sketch binary, t bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind}, n bigint, key bigint, sketch binary, t bigint")
 
 
 def common_shingles(docs: DataFrame, n_docs: int, size: int = 5) -> np.ndarray:
@@ -63,9 +66,8 @@ def common_shingles(docs: DataFrame, n_docs: int, size: int = 5) -> np.ndarray:
     return np.sort(found["s"].to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
 
-def candidate_groups(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int = 5) -> DataFrame:
-    """(gid, usual, key): the sets that share a signature, once for each distinct group of two sets or more; usual: only
-    pairs that are similar by their common features alone are looked for in it.
+def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int = 5) -> DataFrame:
+    """(anchor, key): each set with the least set of every group that shares a signature.
 
     Signatures travel as packed arrays dealt by their leading bits, sets by their keys, so equal sets count once. A
     reducing task sorts the arrays it gets and keeps what occurs twice.
@@ -129,31 +131,43 @@ def candidate_groups(docs: DataFrame, n_shingles: int, common: np.ndarray, size:
             at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
             bounds = np.concatenate([at, [len(sig)]])
             count = np.diff(bounds)
-            usual = kind[at] != PLAIN
-            gid = mixed(segment_sums(mixed(key), bounds) + count.astype(np.uint64) + (usual.astype(np.uint64) << np.uint64(62))) if len(at) else np.zeros(0, np.uint64)
             high = segment_sums((kind > LOWER).astype(np.uint64), bounds).astype(np.int64)
-            some = np.flatnonzero((count > 1) & ((kind[at] < LOWER) | (high > 0) & (high < count)))
-            keep = [i for i in some.tolist() if (g := int(gid[i])) not in done and not done.add(g)]
-            if keep:
-                pick = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in keep])
-                ids = np.repeat(gid[keep], count[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.repeat(usual[keep], count[keep])), pa.array(key[pick].view(np.int64))], names=["gid", "usual", "key"])
+            some = (count > 1) & ((kind[at] < LOWER) | (high > 0) & (high < count))
+            pick = np.repeat(some, count)
+            anchor, key = np.repeat(key[at], count)[pick], key[pick]
+            order = np.lexsort((key, anchor))
+            anchor, key = anchor[order], key[order]
+            new = anchor != key
+            new[1:] &= (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(key[new].view(np.int64))], names=["anchor", "key"])
 
     packed = docs.select("text").mapInArrow(sign, "part int, sigs binary, keys binary")
-    return packed.repartition(n_parts, "part").mapInArrow(meet, "gid bigint, usual boolean, key bigint").distinct()
+    return packed.repartition(n_parts, "part").mapInArrow(meet, "anchor bigint, key bigint").distinct()
+
+
+def _told(rows: DataFrame, by: str, facts: DataFrame, spread: str) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a value of ``by``; a frequent value is met in up to SALTS tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(salted.select(by, "_salt").distinct().join(facts, by), [by, "_salt"]).drop("_salt")
+
+
+def _pair_facts(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
+    """``pairs`` of (x, y), x perhaps frequent, with the facts of both, named by its side."""
+    side = lambda c: facts.select(F.col("key").alias(c), *(F.col(f).alias(f + c) for f in names))
+    return _told(pairs.join(side("y"), "y"), "x", side("x"), "y")
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) whose sketches allow the similarity."""
-    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    """Pairs (x, y) whose sizes and sketches allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("nx", "sx", "ny", "sy")]
-            ok = pa.array([may_be_similar(*r) for r in zip(*cols, strict=True)], pa.bool_())
-            yield b.select(["x", "y"]).filter(ok)
+            nx, sx, ny, sy = (b.column(c).to_pylist() for c in ("nx", "sketchx", "ny", "sketchy"))
+            ok = [not far_apart([n], [s], [m], [z])[0, 0] for n, s, m, z in zip(nx, sx, ny, sy, strict=True)]
+            yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(run, "x bigint, y bigint")
+    return _pair_facts(pairs, classes, "n", "sketch").where("4 * least(nx, ny) >= 3 * greatest(nx, ny)").mapInArrow(run, "x bigint, y bigint")
 
 
 def _features(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -174,21 +188,11 @@ def _features(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
     return materialize(sets, "join-sets")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sets are that similar, by their whole intersections."""
-    sets = _features(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct(), classes, docs, size)
-    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("features").alias("_a")), "x").join(sets.select(F.col("key").alias("y"), F.col("features").alias("_b")), "y")
-    both = both.select("x", "y", F.size("_a").alias("_n"), F.size("_b").alias("_m"), F.size(F.array_intersect("_a", "_b")).alias("_i"))
-    out = materialize(both.where("100L * _i >= 75L * (_n + _m - _i)").select("x", "y"), "join-links")
-    discard(sets)
-    return out
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    """(key, label): rows of one label are connected; not all that are connected need have one."""
-    ends = links.union(links.select("y", "x")).toDF("key", "other")
-    one = ends.groupBy("key").agg(F.min("other").alias("m")).select("key", F.least("key", "m").alias("label"))
-    return ends.join(one.toDF("other", "label"), "other").groupBy("key").agg(F.min("label").alias("m")).join(one, "key").select("key", F.least("m", "label").alias("label"))
+    both = _pair_facts(pairs, sets, "features")
+    both = both.select("x", "y", F.size("featuresx").alias("_n"), F.size("featuresy").alias("_m"), F.size(F.array_intersect("featuresx", "featuresy")).alias("_i"))
+    return both.where("100L * _i >= 75L * (_n + _m - _i)").select("x", "y")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,44 +214,41 @@ def components(links: DataFrame) -> DataFrame:
         before = sums
 
 
-def _may_link() -> F.Column:
-    """Whether the sizes of two sets of a group, and in a usual group their uncommon features, allow the similarity."""
-    size = F.expr("4 * least(nx, ny) >= 3 * greatest(nx, ny)")
-    return size & (~F.col("usual") | F.expr("7 * rx <= 4 * nx - 3 * ny and 7 * ry <= 4 * ny - 3 * nx"))
+def _named(classes: DataFrame, label: DataFrame) -> DataFrame:
+    return classes.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def similar_sets(docs: DataFrame, rows: DataFrame, common: np.ndarray, size: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): one row a distinct set, and links between sets that connect whatever is connected.
+def similar_sets(docs: DataFrame, rows: DataFrame, size: int = 5, block: int = BLOCK, volume: int = VOLUME) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, label, sets): one row a distinct set, the components of linked sets, and the features of all that are linked.
 
-    Each group of sets with a common signature is settled in rounds. The first compares all with one leader; each next one
-    has eight times as many leaders, picked by hash, and compares them with the sets that are not in their component yet.
-    A group ends when its sets are connected or all have led, so no link between components is lost, and a large group of
-    near copies costs a comparison or a few a set rather than one a pair.
+    All candidates are compared with their anchor. Where the candidates of an anchor are then of several components, those
+    outside the most frequent one are compared with all the others, in pairs of blocks, first by sketches and then by
+    their features. Two similar sets share an anchor, so no link between components is lost.
     """
-    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("r").alias("r"), F.first("sketch").alias("sketch"), F.count("*").alias("w")), "join-classes")
-    total = rows.agg(F.sum("n")).first()[0]
-    groups = materialize(candidate_groups(docs, total or 0, common, size).join(classes.select("key", "n", "r"), "key"), "join-groups")
-    links, step = None, 0
-    while True:
-        sized = groups.groupBy("gid").agg(F.count("*").alias("m"), F.min("key").alias("first"))
-        rest = groups.join(sized, "gid").withColumn("_u", (F.shiftrightunsigned(F.xxhash64("key", F.lit(7)), 11)) / F.lit(float(1 << 53)))
-        was, now = (F.lit(False), F.col("key") == F.col("first")) if not step else (((F.col("key") == F.col("first")) if step == 1 else (F.col("_u") * F.col("m") < 8 ** (step - 1)) | (F.col("key") == F.col("first"))), (F.col("_u") * F.col("m") < 8**step) | (F.col("m") <= 8**step))
-        rest = rest.withColumn("_was", was).withColumn("_now", now)
-        rest = rest.withColumn("label", F.col("key")) if links is None else rest.join(_labels(links), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        side = lambda c: rest.where("not _was").select("gid", F.col("key").alias(c), F.col("label").alias(f"l{c}"), F.col("_now").alias(f"w{c}"), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}"), *(["usual"] if c == "x" else []))
-        pairs = side("x").where("wx").join(side("y"), "gid").where("x <> y and lx <> ly and (not wy or x < y)").where(_may_link()).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        good = materialize(_promising(pairs, classes), "join-pairs")
-        found = _linked(good, classes, docs, size)
-        links = found if links is None else materialize(links.union(found), "join-links")
-        # groups whose sets are connected by now, or have all led, are settled
-        known = rest.drop("label").join(_labels(links), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        open_ = known.groupBy("gid").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("m").alias("m"))
-        open_ = open_.where((F.col("a") < F.col("b")) & (F.col("m") > (2 if not step else 8**step))).select("gid")
-        left = materialize(groups.join(open_, "gid", "left_semi"), "join-groups")
-        discard(groups, good)
-        groups, step = left, step + 1
-        if left.isEmpty():
-            return classes, links
+    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("w")), "join-classes")
+    common = common_shingles(docs, docs.count(), size)
+    near = materialize(candidates(docs, rows.agg(F.sum("n")).first()[0] or 0, common, size), "join-candidates")
+    good = materialize(_promising(near.select(F.col("anchor").alias("x"), F.col("key").alias("y")), classes), "join-pairs")
+    sets = _features(good.select(F.col("x").alias("key")).union(good.select("y")).distinct(), classes, docs, size)
+    links = materialize(_linked(good, sets), "join-links")
+    label = components(links)
+    known = _named(classes.select("key", "n"), label)
+    member = _told(near.union(near.select("anchor", "anchor").distinct()), "key", known, "anchor").select("anchor", "key", "n", "label")
+    member = materialize(member, "join-members")
+    shares = member.groupBy("anchor", "label").agg(F.count("*").alias("c"))
+    open_ = shares.groupBy("anchor").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("m")).where("labels > 1 and m > 2").select("anchor", "most")
+    open_ = _told(member, "anchor", open_, "key").select(F.col("anchor").alias("label"), "key", "n", F.col("label").alias("w"), (F.col("label") == F.col("most")).alias("main"))
+    open_ = materialize(open_, "join-open")
+    discard(near, good, links, member)
+    facts = classes.select("key", "n", "sketch")
+    asked = _block_pairs(open_, block, volume, sketches=True).drop("n").join(facts, "key").groupBy("task").applyInArrow(_maybe, "label bigint, key bigint")
+    asked = materialize(open_.join(asked.distinct(), ["label", "key"], "left_semi"), "join-asked")
+    more = _features(asked.select("key").distinct(), classes, docs, size)
+    joins = _block_pairs(asked, block, volume).join(more, "key").groupBy("task").applyInArrow(_bridges, "x bigint, y bigint")
+    both = components(label.select("key", "label").union(joins).toDF("x", "y"))
+    every = materialize(sets.union(more).dropDuplicates(["key"]), "join-sets")
+    discard(open_, asked, sets, more, label)
+    return classes, both, every
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -274,56 +275,94 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _units(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys and weights of the sets of one block, of the other one, matrix of who links) of each pair of blocks in ``table``."""
-    col = {c: table.column(c).to_numpy() for c in ("label", "i", "j", "side", "key", "w")}
-    lists = table.column("features").combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+def _units(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows of one block, rows of the other one, whether they are the same) of each pair of blocks in ``table``."""
+    col = {c: table.column(c).to_numpy() for c in ("label", "i", "j", "side", "key")}
     order = np.lexsort((col["key"], col["side"], col["j"], col["i"], col["label"]))
     same = np.ones(len(order), bool)
     same[1:] = np.any([np.diff(col[c][order]) != 0 for c in ("label", "i", "j")], axis=0)
     for rows in np.split(order, np.flatnonzero(same)[1:]):
         one, two = rows[col["side"][rows] == 0], rows[col["side"][rows] == 1]
-        alone = col["i"][rows[0]] == col["j"][rows[0]]
-        two = one if alone else two
+        alone = bool(col["i"][rows[0]] == col["j"][rows[0]])
+        yield one, one if alone else two, alone
+
+
+def _linked_units(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys and w of the sets of one block, of the other one, matrix of who links) of each pair of blocks."""
+    key, w = (table.column(c).to_numpy() for c in ("key", "w"))
+    lists = table.column("features").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    for one, two, alone in _units(table):
         a, b = ([values[ends[r] : ends[r + 1]] for r in side] for side in (one, two))
         n, m = (np.array([len(x) for x in side]) for side in (a, b))
         inter = _overlaps(a, b)
         linked = (inter > 0) & (100 * inter >= 75 * (n[:, None] + m[None, :] - inter))
-        if alone:
-            linked = np.triu(linked, 1)
-        yield col["key"][one], col["w"][one], col["key"][two], col["w"][two], linked
-
-
-def _block_pairs(docs: DataFrame, classes: DataFrame, label: DataFrame, size: int, block: int, volume: int) -> DataFrame:
+        yield key[one], w[one], key[two], w[two], np.triu(linked, 1) if alone else linked
+
+
+def _maybe(table: pa.Table) -> pa.Table:
+    """Sets of which a sketch allows the similarity with a set of another component (``w``)."""
+    label, key, w, n = (table.column(c).to_numpy() for c in ("label", "key", "w", "n"))
+    marks = table.column("sketch").to_pylist()
+    rows = [np.zeros(0, np.int64)]
+    for one, two, _ in _units(table):
+        open_ = w[one][:, None] != w[two][None, :]
+        if open_.any():
+            open_ &= ~far_apart(n[one], [marks[r] for r in one], n[two], [marks[r] for r in two])
+            rows += [one[open_.any(1)], two[open_.any(0)]]
+    rows = np.unique(np.concatenate(rows))
+    return pa.table({"label": pa.array(label[rows], pa.int64()), "key": pa.array(key[rows], pa.int64())})
+
+
+def _bridges(table: pa.Table) -> pa.Table:
+    """Links that connect the components (``w``) of a pair of blocks, without any that close a circle."""
+    out: list[tuple[int, int]] = []
+    for _, wx, _, wy, linked in _linked_units(table):
+        i, j = np.nonzero(linked & (wx[:, None] != wy[None, :]))
+        root: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while v in root:
+                v = root[v]
+            return v
+
+        for x, y in np.unique(np.stack([wx[i], wy[j]], 1), axis=0).tolist() if len(i) else []:
+            x, y = top(x), top(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((x, y))
+    return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+
+
+def _block_pairs(members: DataFrame, block: int, volume: int, sketches: bool = False) -> DataFrame:
     """Rows of sets by the pairs of blocks (task; label, i, j) that they are compared in, side 0 or 1.
 
-    Linked sets are of one component, so all links are found by comparing each component's sets with one another, each pair
-    once. A component of up to ``block`` sets and ``volume`` features is one block, and a task has many such; a larger one
-    is cut by size and then by hash. Pairs of blocks whose sizes exclude the similarity are left out, each other one is
-    a task of its own.
+    ``members`` has label, key, n, w and main; sets of one label are compared with one another, each pair once, but for
+    those that are both ``main``. Up to ``block`` sets and ``volume`` features of a label are one block, and a task has many
+    such; more are cut by size and then by hash. Pairs of blocks whose sizes exclude the similarity are left out, each other
+    one is a task of its own.
     """
-    named = label.union(label.select("label", "label")).distinct().join(classes.select("key", "n", "w"), "key")
-    whole = named.groupBy("label").agg(F.count("*").alias("_m"), F.sum("n").alias("_f"))
-    cut = named.join(whole, "label").withColumn("_c", F.when((F.col("_m") <= block) & (F.col("_f") <= volume), -1).otherwise(F.floor(F.log("n") / F.log(F.lit(1.1)))).cast("long"))
-    parts = cut.groupBy("label", "_c").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / volume)).alias("_s"))
-    salt = F.when(F.col("_c") < 0, 0).otherwise(F.pmod(F.xxhash64("key"), F.col("_s")))
-    members = materialize(cut.join(parts, ["label", "_c"]).select("key", "label", "n", "w", (F.col("_c") * F.lit(1 << 32) + salt).alias("b")), "join-members")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    blocks = materialize(members.groupBy("label", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")), "join-blocks")
-    side = lambda c: blocks.select("label", F.col("b").alias(c), *(F.col(x).alias(x + c) for x in ("lo", "hi", "m")))
-    units = side("i").join(side("j"), "label").where("i <= j and 4 * hii >= 3 * loj and 4 * hij >= 3 * loi and (i < j or mi > 1)").select("label", "i", "j")
-    task = F.when(F.col("i") < 0, F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // volume))))).otherwise(F.xxhash64("label", "i", "j"))
+    whole = members.groupBy("label").agg(F.count("*").alias("_m"), F.sum("n").alias("_f"))
+    size_class = F.floor(F.log("n") / F.log(F.lit(1.1))) * 2 + F.col("main").cast("int")
+    cut = _told(members, "label", whole, "key").withColumn("_c", F.when((F.col("_m") <= block) & (F.col("_f") <= volume), -1).otherwise(size_class).cast("long"))
+    parts = cut.groupBy("label", "_c").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / volume)).alias("_s")).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_s"))).alias("_parts"))
+    salt = F.when(F.col("_c") < 0, 0).otherwise(F.pmod(F.xxhash64("key"), F.col("_parts")[F.col("_c")]))
+    placed = materialize(_told(cut, "label", parts, "key").select("key", "label", "n", "w", "main", (F.col("_c") * F.lit(1 << 32) + salt).alias("b")), "join-placed")
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    blocks = materialize(placed.groupBy("label", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"), F.min("main").alias("main")), "join-blocks")
+    side = lambda c: blocks.select("label", F.col("b").alias(c), *(F.col(x).alias(x + c) for x in ("lo", "hi", "m", "main")))
+    units = side("i").join(side("j"), "label").where("i <= j and 4 * hii >= 3 * loj and 4 * hij >= 3 * loi and (i < j or mi > 1) and not (maini and mainj)").select("label", "i", "j")
+    load = volume * 8 if sketches else volume
+    task = F.when(F.col("i") < 0, F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // load))))).otherwise(F.xxhash64("label", "i", "j"))
     sides = units.select("*", task.alias("task"), F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("b", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
-    sent = sides.join(members, ["label", "b"]).select("task", "label", "i", "j", "side", "key", "w")
-    return sent.join(_features(members.select("key"), classes, docs, size), "key")
+    return sides.join(placed, ["label", "b"]).select("task", "label", "i", "j", "side", "key", "n", "w")
 
 
 def _counts(table: pa.Table) -> pa.Table:
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x, wx, y, wy, linked in _units(table):
+    for x, wx, y, wy, linked in _linked_units(table):
         keys += [x, y]
         counts += [linked @ wy, linked.T @ wx]
     key, counts = np.concatenate(keys), np.concatenate(counts)
@@ -332,27 +371,30 @@ def _counts(table: pa.Table) -> pa.Table:
 
 def _pairs(table: pa.Table) -> pa.Table:
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x, _, y, _, linked in _units(table):
+    for x, _, y, _, linked in _linked_units(table):
         i, j = np.nonzero(linked)
         xs.append(np.minimum(x[i], y[j]))
         ys.append(np.maximum(x[i], y[j]))
     return pa.table({"x": pa.array(np.concatenate(xs), pa.int64()), "y": pa.array(np.concatenate(ys), pa.int64())})
 
 
-def _classified(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, label): a row a document, one a distinct set, and the components of linked sets."""
-    common = common_shingles(docs, docs.count(), size)
-    rows = materialize(set_rows(docs, common, size), "join-rows")
-    classes, links = similar_sets(docs, rows, common, size)
-    return rows, classes, components(links)
+def _classified(docs: DataFrame, size: int, block: int = BLOCK, volume: int = VOLUME) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, label, sets): a row a document, one a distinct set, and the components and features of linked sets."""
+    rows = materialize(set_rows(docs, size), "join-rows")
+    return rows, *similar_sets(docs, rows, size, block, volume)
+
+
+def _compared(classes: DataFrame, label: DataFrame, sets: DataFrame, block: int, volume: int) -> DataFrame:
+    """Linked sets are of one component, so all links are found by comparing each component's sets with one another."""
+    inside = label.union(label.select("label", "label")).distinct().join(classes.select("key", "n", "w"), "key").withColumn("main", F.lit(False))
+    return _block_pairs(inside, block, volume).join(sets, "key")
 
 
 def ngram_links(docs: DataFrame, size: int = 5, block: int = BLOCK, volume: int = VOLUME) -> DataFrame:
     """(x, y, id_x, id_y): every link between two different sets, once; x < y are set ids, id_x and id_y the least doc_id of each."""
-    _, classes, label = _classified(docs, size)
-    found = _block_pairs(docs, classes, label, size, block, volume).groupBy("task").applyInArrow(_pairs, "x bigint, y bigint")
-    side = lambda c: classes.select(F.col("key").alias(c), F.col("rep").alias(f"id_{c}"))
-    return found.join(side("x"), "x").join(side("y"), "y").select("x", "y", "id_x", "id_y")
+    _, classes, label, sets = _classified(docs, size, block, volume)
+    found = _compared(classes, label, sets, block, volume).groupBy("task").applyInArrow(_pairs, "x bigint, y bigint")
+    return _pair_facts(found, classes, "rep").select("x", "y", F.col("repx").alias("id_x"), F.col("repy").alias("id_y"))
 
 
 def ngram_components(docs: DataFrame, size: int = 5, count_links: bool = False, block: int = BLOCK, volume: int = VOLUME) -> DataFrame:
@@ -364,12 +406,12 @@ def ngram_components(docs: DataFrame, size: int = 5, count_links: bool = False,
     n_links is the number of other rows that a row links with, those of equal sets among them. Equal sets are one class;
     repeated rows and ids are members like others. Other columns are not read. An empty table gives an empty result.
     """
-    rows, classes, label = _classified(docs, size)
-    named = classes.select("key", "rep", "w").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows, classes, label, sets = _classified(docs, size, block, volume)
+    named = _named(classes.select("key", "rep", "w"), label)
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    known, counted = named.join(least, "label").select("key", "w", "component_id"), []
+    known, counted = _told(named, "label", least, "key").select("key", "w", "component_id"), []
     if count_links:
-        links = _block_pairs(docs, classes, label, size, block, volume).groupBy("task").applyInArrow(_counts, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+        links = _compared(classes, label, sets, block, volume).groupBy("task").applyInArrow(_counts, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
         known = known.join(links, "key", "left").withColumn("n_links", F.col("w") - 1 + F.coalesce("c", F.lit(0)))
         counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     known = known.drop("w", "c")
@@ -383,7 +425,8 @@ def ngram_components(docs: DataFrame, size: int = 5, count_links: bool = False,
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` without the rows of a component other than its first one's: that of the least doc_id, nulls last, and of
     several texts under it the one of the least hash. Rows of no set stay, and repetitions of a row that stays."""
-    rows, classes, label = _classified(docs, size)
+    rows, classes, label, sets = _classified(docs, size)
+    discard(sets)
     first = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "t")
     least = rows.where("key is not null").groupBy("key").agg(F.min(first).alias("_first"))
     stay = least.join(label, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("_first").alias("_first")).select("_first.doc_id", "_first.t")

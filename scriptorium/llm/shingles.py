@@ -111,24 +111,47 @@ def set_keys(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def partitions_of(level: int) -> int:
-    """Partitions of the feature domain for sets of up to ``2**level`` features: more than the features by which two
-    similar sets of that size can differ, with enough to spare that a set leaves few of them empty."""
+    """First-level partitions of the feature domain for sets of up to ``2**level`` features; each has three parts.
+
+    A pair of them, or of one with a set of the next band, differs by at most ``2**level / 3`` features. Spoiling a partition takes two of them, so half as
+    many partitions and one more would do; the rest is for those that a set leaves empty."""
     n = 1 << level
-    return 4 * n if level <= 5 else int(0.6 * n) if level == 6 else int(0.42 * n)
+    return max(1, n // 4) if level <= 4 else int(0.21 * n) if level <= 6 else int(0.182 * n)
+
+
+#: The subsets of a partition's three parts that are enumerated: two similar sets agree on all but one part somewhere.
+_SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
-def _runs(row: np.ndarray, values: np.ndarray, level: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each partition that has features; ``level`` is by row, values rise within a row."""
+def _runs(row: np.ndarray, values: np.ndarray, level: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) of each subset of two parts of a partition that has features, and for each row the number of
+    differing features that it takes to spoil all of these; ``level`` is by row, values rise within a row."""
     if not len(row):
-        return row, np.zeros(0, np.uint64)
-    parts = np.array([partitions_of(x) for x in range(int(level[row].max()) + 1)], np.uint64)
+        return row, np.zeros(0, np.uint64), np.zeros(len(level), np.int64)
+    parts = np.array([3 * partitions_of(x) for x in range(int(level[row].max()) + 1)], np.uint64)
     p = ((values >> np.uint64(32)) * parts[level[row]]) >> np.uint64(32)
     new = np.ones(len(row), bool)
     new[1:] = (p[1:] != p[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     sums = segment_sums(mixed(values ^ np.uint64(0xD6E8FEB86659FD93)), np.concatenate([at, [len(row)]]))
-    mark = (level[row[at]].astype(np.uint64) << np.uint64(40)) + p[at] + np.uint64(tag << 50)
-    return row[at], mixed(sums + mixed(mark + np.uint64(1)))
+    owner, p = row[at], p[at]
+    first, part = p // np.uint64(3), (p % np.uint64(3)).astype(np.int64)
+    new = np.ones(len(owner), bool)
+    new[1:] = (first[1:] != first[:-1]) | (owner[1:] != owner[:-1])
+    which = np.cumsum(new) - 1
+    held = np.zeros((int(which[-1]) + 1, 3), np.uint64)
+    full = np.zeros(held.shape, bool)
+    held[which, part] = mixed(sums + part.astype(np.uint64))
+    full[which, part] = True
+    owner, first = owner[new], first[new]
+    cost = np.bincount(owner, weights=np.minimum(full.sum(1), 2), minlength=len(level)).astype(np.int64)
+    mark = (level[owner].astype(np.uint64) << np.uint64(40)) + first * np.uint64(4) + np.uint64(tag << 50)
+    owners, found = [], []
+    for k, (i, j) in enumerate(_SUBSETS):
+        some = full[:, i] | full[:, j]
+        owners.append(owner[some])
+        found.append(mixed(held[some, i] + held[some, j] + mixed(mark[some] + np.uint64(k + 1))))
+    return np.concatenate(owners), np.concatenate(found), cost
 
 
 #: Sizes that open a narrow size class; each class spans a factor of about 1.1.
@@ -143,14 +166,6 @@ def _of_kind(signature: np.ndarray, kind) -> np.ndarray:
     return (signature & ~np.uint64(3)) | np.asarray(kind).astype(np.uint64)
 
 
-def uncommon(bounds: np.ndarray, values: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Number of features of each set that are not in ``common`` (rising)."""
-    if not len(common):
-        return np.diff(bounds)
-    rare = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
-    return segment_sums(rare.astype(np.uint64), bounds).astype(np.int64)
-
-
 def _mostly_common(rows: np.ndarray, sizes: np.ndarray, rare: tuple[np.ndarray, np.ndarray], usual: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(owner, signature) by which two of ``rows``, sets with few uncommon features, meet if they are similar.
 
@@ -193,11 +208,11 @@ def _mostly_common(rows: np.ndarray, sizes: np.ndarray, rare: tuple[np.ndarray,
         take = np.arange(len(local)) + np.repeat(start[use] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
         mark = mixed((np.minimum(own[use], other[use]) * 1024 + big).astype(np.uint64) + np.uint64(0x5BD1E995 << 24))
         kind = np.where(own[use] == other[use], ALIKE, np.where(own[use] < other[use], LOWER, UPPER))
-        who, sig = _runs(local, v[take], level, 1)
+        who, sig, cost = _runs(local, v[take], level, 1)
         owners.append(rows[use][who])
         found.append(_of_kind(mixed(sig ^ mark[who]), kind[who]))
         # too few partitions for certain: a pair of which neither has enough meets by this number
-        poor = np.flatnonzero(np.bincount(who, minlength=len(use)) <= (a[use] + most[use]) // 7 - r[use])
+        poor = np.flatnonzero(cost <= (a[use] + most[use]) // 7 - r[use])
         owners.append(rows[use][poor])
         found.append(_of_kind(mixed(mark[poor] + np.uint64(0xABCDEF)), kind[poor]))
     return np.concatenate(owners), np.concatenate(found)
@@ -207,14 +222,15 @@ def signatures(bounds: np.ndarray, values: np.ndarray, common: np.ndarray | None
     """(owner, signature) of PartEnum for Jaccard similarity 0.75 or more.
 
     Sets A and B of sizes a <= b are that similar only if b <= 4a/3 and they differ by k <= (a + b)/7 features. Sizes fall
-    into bands (2**(l-1), 2**l]; a band's partitioning cuts the hashed domain into :func:`partitions_of` ranges. B also
-    signs for the band below if a partner may be there. A signature stands for one partition and all of the set's
-    features in it. Each differing feature spoils one partition, so if A or B has more than k partitions with features,
-    one of those is the same in the other. Empty partitions don't sign.
+    into bands (2**(l-1), 2**l]; B also signs for the band below if a partner may be there. A band cuts the hashed domain
+    into :func:`partitions_of` partitions of three parts each, and a signature stands for two parts of a partition and all
+    of the set's features in them. With one differing feature in a partition, one of its three subsets is the same in both
+    sets; so spoiling a partition takes two, or one where the set has features in one part only. If that adds up to more
+    than k for A or B, the pair shares a signature. Subsets without features don't sign.
 
     ``common`` (rising) names features that don't enter these partitions, such as those of boilerplate. Whichever they
     are, no pair is lost: without them two sets differ by no more than before, while k and the bands keep the whole sizes.
-    A pair of which neither has more than k such partitions meets by :func:`_mostly_common`.
+    A pair of which neither can outweigh k meets by :func:`_mostly_common`.
     """
     sizes = bounds[1:] - bounds[:-1]
     level = np.zeros(len(sizes), np.int64)
@@ -232,10 +248,10 @@ def signatures(bounds: np.ndarray, values: np.ndarray, common: np.ndarray | None
         use = (sizes > 0) if not below else (sizes > 1) & (3 * sizes <= 4 * (1 << lv))
         most = (sizes + (1 << lv if below else 4 * sizes // 3)) // 7
         pick = use[few[0]]
-        o, s = _runs(few[0][pick], few[1][pick], lv, 0)
+        o, s, cost = _runs(few[0][pick], few[1][pick], lv, 0)
         owners.append(o)
         found.append(_of_kind(s, PLAIN))
-        short |= use & (np.bincount(o, minlength=len(sizes)) <= most)
+        short |= use & (cost <= most)
     o, s = _mostly_common(np.flatnonzero(short), sizes, few, usual)
     return np.concatenate([*owners, o]), np.concatenate([*found, s])
 
@@ -248,16 +264,31 @@ def sketch(values: np.ndarray) -> bytes:
     return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def may_be_similar(n: int, a: bytes, m: int, b: bytes) -> bool:
-    """False only if two sets of n and m features cannot have Jaccard similarity 0.75: their sketches' difference, folded
-    to the coarser one's ranges, is a lower bound of the features by which they differ. Saturated counts only lower it."""
-    if 4 * min(n, m) < 3 * max(n, m):
-        return False
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    if len(x) != len(y):
-        k = min(len(x), len(y))
-        if (x.max() if len(x) > k else y.max()) == 255:
-            return True
-        x, y = x.reshape(k, -1).sum(1), y.reshape(k, -1).sum(1)
-        x, y = np.minimum(x, 255), np.minimum(y, 255)
-    return 7 * int(np.abs(x - y).sum()) <= n + m
+def _counts_of(sketches: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts in ``length`` ranges, 255 at most, whether a folded count was full before it was folded)."""
+    rows = [np.frombuffer(s, np.uint8) for s in sketches]
+    folded = np.array([x.reshape(length, -1).sum(1, dtype=np.int64) for x in rows])
+    full = np.array([len(x) > length and x.max() == 255 for x in rows])
+    return np.minimum(folded, 255).astype(np.int16), full
+
+
+def far_apart(n: list[int], a: list[bytes], m: list[int], b: list[bytes]) -> np.ndarray:
+    """Matrix of which sets (their sizes ``n`` and sketches ``a``) cannot have Jaccard similarity 0.75 with which of others.
+
+    The difference of two sketches, folded to the coarser one's ranges, is a lower bound of the features by which the sets
+    differ. Counts that were full before folding say nothing; full ones otherwise only lower the bound."""
+    n, m = np.asarray(n, np.int64), np.asarray(m, np.int64)
+    far = 4 * np.minimum(n[:, None], m[None, :]) < 3 * np.maximum(n[:, None], m[None, :])
+    sides = [{k: np.flatnonzero([len(s) == k for s in side]) for k in sorted({len(s) for s in side})} for side in (a, b)]
+    for la, one in sides[0].items():
+        for lb, two in sides[1].items():
+            length = min(la, lb)
+            x, fx = _counts_of([a[i] for i in one], length)
+            y, fy = _counts_of([b[i] for i in two], length)
+            step = max(1, (1 << 22) // max(1, len(two) * length))
+            for lo in range(0, len(one), step):
+                mine = one[lo : lo + step]
+                gap = np.abs(x[lo : lo + step, None, :] - y[None, :, :]).sum(2, dtype=np.int64)
+                apart = (7 * gap > n[mine][:, None] + m[two][None, :]) & ~fx[lo : lo + step, None] & ~fy[None, :]
+                far[np.ix_(mine, two)] |= apart
+    return far
