@@ -19,7 +19,7 @@ from scriptorium.llm.shingles import LOWER, far_apart, segment_sums, set_keys, s
 
 #: Signatures that one reducing task sorts, about; texts that the list of common shingles is drawn from; how many of
 #: those must have a shingle for it to count as common. The list only speeds the search up; it changes no result.
-TASK, SAMPLE, COMMON = 2_000_000, 8_192, 4
+TASK, SAMPLE, COMMON = 6_000_000, 8_192, 4
 #: A task's memory of the sets that it has signed for; when full it starts anew.
 SEEN = 500_000
 #: Salts of rows that look up what is known of their set.
@@ -70,7 +70,7 @@ def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int =
     """(anchor, key): each set with the least set of every group that shares a signature.
 
     Signatures travel as packed arrays dealt by their leading bits, sets by their keys, so equal sets count once. A
-    reducing task sorts the arrays it gets and keeps what occurs twice.
+    reducing task sorts the arrays it gets and keeps what occurs twice; 40 bits and the task tell signatures apart.
     """
     n_parts = 1 << max(4, int(np.ceil(np.log2(max(1, n_shingles * 0.7 / TASK)))))
     shift = np.uint64(64 - n_parts.bit_length() + 1)
@@ -86,9 +86,10 @@ def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int =
             part = (sig >> shift).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            low, key = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], key[order]
+            sig, key = sig[order], key[order]
+            columns = [sig.astype(np.uint32), (sig >> np.uint64(32)).astype(np.uint8), key]
             rows = [i for i in range(n_parts) if cuts[i + 1] > cuts[i]]
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([low[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([key[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary())], names=["part", "sigs", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([c[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary()) for c in columns)], names=["part", "low", "mid", "keys"])
 
         for b in batches:
             texts = _texts(b)
@@ -111,18 +112,31 @@ def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int =
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        parts: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for b in batches:
-            for p, s, k in zip(*(b.column(c).to_pylist() for c in ("part", "sigs", "keys")), strict=True):
-                parts.setdefault(p, []).append((np.frombuffer(s, np.uint32), np.frombuffer(k, np.uint64)))
-        done: set[int] = set()
+            for p, *packed in zip(*(b.column(c).to_pylist() for c in ("part", "low", "mid", "keys")), strict=True):
+                parts.setdefault(p, []).append(tuple(packed))
         for p in sorted(parts):
-            got = parts.pop(p)
-            sig, key = np.concatenate([s for s, _ in got]), np.concatenate([k for _, k in got])
-            del got
-            kind = sig & 3
+            got, at = parts.pop(p), 0
+            n = sum(len(mid) for _, mid, _ in got)
+            sig, key = np.empty(n, np.uint64), np.empty(n, np.uint64)
+            while got:
+                low, mid, keys = got.pop()
+                end = at + len(mid)
+                sig[at:end] = np.frombuffer(low, np.uint32)
+                sig[at:end] += np.frombuffer(mid, np.uint8).astype(np.uint64) << np.uint64(32)
+                key[at:end] = np.frombuffer(keys, np.uint64)
+                at = end
+            # most signatures occur once; a bitmap of those that don't leaves little to sort with the keys
+            whole = np.sort(sig >> np.uint64(2))
+            twice = np.zeros(1 << 24, bool)
+            twice[whole[1:][whole[1:] == whole[:-1]] & np.uint64(0xFFFFFF)] = True
+            pick = twice[(sig >> np.uint64(2)) & np.uint64(0xFFFFFF)]
+            del whole
+            sig, key = sig[pick], key[pick]
+            kind = sig & np.uint64(3)
             # LOWER and UPPER sets of one signature meet
-            sig = sig - kind + np.minimum(kind, LOWER)
+            sig = sig - kind + np.minimum(kind, np.uint64(LOWER))
             order = np.lexsort((key, sig))
             sig, key, kind = sig[order], key[order], kind[order]
             new = np.ones(len(sig), bool)
@@ -142,8 +156,8 @@ def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int =
             if new.any():
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(key[new].view(np.int64))], names=["anchor", "key"])
 
-    packed = docs.select("text").mapInArrow(sign, "part int, sigs binary, keys binary")
-    return packed.repartition(n_parts, "part").mapInArrow(meet, "anchor bigint, key bigint").distinct()
+    packed = docs.select("text").mapInArrow(sign, "part int, low binary, mid binary, keys binary")
+    return packed.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "anchor bigint, key bigint").distinct()
 
 
 def _told(rows: DataFrame, by: str, facts: DataFrame, spread: str) -> DataFrame:
@@ -354,7 +368,7 @@ def _block_pairs(members: DataFrame, block: int, volume: int, sketches: bool = F
     side = lambda c: blocks.select("label", F.col("b").alias(c), *(F.col(x).alias(x + c) for x in ("lo", "hi", "m", "main")))
     units = side("i").join(side("j"), "label").where("i <= j and 4 * hii >= 3 * loj and 4 * hij >= 3 * loi and (i < j or mi > 1) and not (maini and mainj)").select("label", "i", "j")
     load = volume * 8 if sketches else volume
-    task = F.when(F.col("i") < 0, F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // load))))).otherwise(F.xxhash64("label", "i", "j"))
+    task = F.when(F.col("i") < 0, F.pmod(F.xxhash64("label"), F.lit(max(SALTS, -(-total // load))))).otherwise(F.xxhash64("label", "i", "j"))
     sides = units.select("*", task.alias("task"), F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("b", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
     return sides.join(placed, ["label", "b"]).select("task", "label", "i", "j", "side", "key", "n", "w")
