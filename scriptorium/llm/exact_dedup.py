@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import WS_CHARS, materialize, table
+from scriptorium.llm.common import WS_CHARS, discard, materialize, table
 
 #: A prime below 2**126 (2**126 - 137). The fingerprint of a byte string is its base-256 number modulo this prime.
 PRIME = (1 << 126) - 137
 CHUNK_CHARS = 1 << 16
-#: A group is dealt over up to SALTS tasks wherever its members meet: one for each HOT_GROUP rows in the comparison.
-HOT_GROUP, SALTS = 1_000, 64
+#: A group is dealt over up to SALTS tasks wherever its members meet: one for each SHARE rows in the comparison.
+SHARE, SALTS = 50, 64
 
 
 def fingerprint(chunk: bytes, prime: int = PRIME) -> int:
@@ -56,26 +56,45 @@ def chunk_hashes(chunks: DataFrame, prime: int = PRIME) -> DataFrame:
     return chunks.mapInArrow(run, schema)
 
 
-def _combiner(prime: int):
-    @F.udf("string")
-    def joined(parts):
-        value = 0
-        for x in parts:
-            value = combine(value, int(x["_fp"], 16), x["_len"], prime)
-        return f"{value:032x}"
-
-    return joined
-
-
 def document_fingerprints(hashes: DataFrame, keys: list[str], prime: int = PRIME) -> DataFrame:
     """Combines chunk hashes to a row a document: ``_fp`` and ``_len`` of its whole normalised text.
 
     Only documents of several chunks go through the combining function; the shuffle moves hashes, never text.
     """
-    hashes = hashes.withColumn("_one", F.col("_n") == 1)
-    one = hashes.where("_one").select(*keys, "_fp", "_len")
-    many = hashes.where("not _one").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_seq", "_fp", "_len"))).alias("_parts"))
-    return one.unionByName(many.select(*keys, _combiner(prime)("_parts").alias("_fp"), F.expr("aggregate(_parts, 0L, (a, x) -> a + x._len)").alias("_len")))
+    one = hashes.where("_n = 1").select(*keys, "_fp", "_len")
+    many = hashes.where("_n > 1").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_seq", "_fp", "_len"))).alias("_parts"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, lens = [], []
+            for parts in b.column("_parts").to_pylist():
+                value = 0
+                for x in parts:
+                    value = combine(value, int(x["_fp"], 16), x["_len"], prime)
+                fps.append(f"{value:032x}")
+                lens.append(sum(x["_len"] for x in parts))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(fps, pa.string()), pa.array(lens, pa.int64())], names=[*keys, "_fp", "_len"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in many.schema.fields if f.name != "_parts") + ", _fp string, _len bigint"
+    return one.unionByName(many.mapInArrow(joined, schema))
+
+
+def _groups(docs: DataFrame, prime: int, chunk: int) -> DataFrame:
+    """A row a document: doc_id, ``_t`` (a hash of its raw text), row_key, text_sha256, group_size, ``_best``.
+
+    Each text is normalised and hashed once, and only hashes are kept of it. ``row_key`` is written before it is read
+    again, so a task that is repeated cannot number rows anew.
+    """
+    base = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", F.xxhash64("text").alias("_t"), F.length(F.coalesce("text", F.lit(""))).alias("_cp"), normalized(F.col("text")).alias("_norm"))
+    base = base.withColumn("text_sha256", F.sha2(F.encode("_norm", "UTF-8"), 256)).withColumn("_n", F.greatest(F.ceil(F.length("_norm") / chunk), F.lit(1)).cast("int"))
+    keys = ["row_key", "doc_id", "_t", "_cp", "text_sha256"]
+    hashes = materialize(chunk_hashes(chunked(base, chunk), prime), "exact-hashes")
+    shared = materialize(_members(document_fingerprints(hashes, keys, prime), ["_fp", "_len"]), "exact-members")
+    broken = materialize(_mismatched(docs, shared, chunk), "exact-collisions")
+    discard(hashes)
+    fine, out = shared.join(broken, ["_fp", "_len"], "left_anti"), ["doc_id", "_t", "row_key", "text_sha256", "group_size", "_best"]
+    again = shared.join(broken, ["_fp", "_len"], "left_semi").select(*keys, "_fp", "_len")
+    return fine.select(out).unionByName(_members(again, ["_fp", "_len", "text_sha256"]).select(out))
 
 
 def exact_groups(docs: DataFrame, prime: int = PRIME, chunk: int = CHUNK_CHARS) -> DataFrame:
@@ -87,17 +106,7 @@ def exact_groups(docs: DataFrame, prime: int = PRIME, chunk: int = CHUNK_CHARS)
     member's chunks are compared with those of its group's first text, and a group in which any differ is told apart by
     SHA-256 as well. Other columns are not read. An empty table gives an empty result.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_cp"), normalized(F.col("text")).alias("_norm"))
-    base = base.withColumn("text_sha256", F.sha2(F.encode("_norm", "UTF-8"), 256)).withColumn("_n", F.greatest(F.ceil(F.length("_norm") / chunk), F.lit(1)).cast("int"))
-    keys = ["row_key", "doc_id", "_cp", "text_sha256"]
-    slim = document_fingerprints(chunk_hashes(chunked(base, chunk), prime), keys, prime)
-    shared = materialize(_members(slim, ["_fp", "_len"]), "exact-members")
-    broken = materialize(_mismatched(docs, shared, chunk), "exact-collisions")
-    fine, out = shared.join(broken, ["_fp", "_len"], "left_anti"), shared.columns
-    again = shared.join(broken, ["_fp", "_len"], "left_semi").select(*keys, "_fp", "_len")
-    apart = _members(again, ["_fp", "_len", "text_sha256"])
-    out = fine.select(out).unionByName(apart.select(out))
-    return out.select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("row_key") == F.col("_best.row_key")).alias("kept"), "text_sha256")
+    return _groups(docs, prime, chunk).select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("row_key") == F.col("_best.row_key")).alias("kept"), "text_sha256")
 
 
 def _members(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -115,31 +124,32 @@ def _members(rows: DataFrame, by: list[str]) -> DataFrame:
 def _mismatched(docs: DataFrame, shared: DataFrame, chunk: int) -> DataFrame:
     """Groups in which some member's text differs from the first one's, chunk by chunk.
 
-    A large group's first text is sent to as many salts as the group has thousands, 64 at most, and its members spread
-    over them. Only hashes leave the tasks that compare.
+    A group's first text is sent to as many salts as the group has SHARE rows, SALTS at most, and its members spread over
+    them. Texts meet what is known of them by id and raw hash; only those of groups are normalised again, and only hashes
+    leave the tasks that compare.
     """
-    salts = F.least(F.lit(SALTS), F.ceil(F.col("group_size") / HOT_GROUP)).cast("int")
-    texts = docs.select("doc_id", normalized(F.col("text")).alias("_norm")).withColumn("text_sha256", F.sha2(F.encode("_norm", "UTF-8"), 256))
-    some = shared.where("group_size > 1").select("doc_id", "text_sha256", "_fp", "_len", "row_key", F.col("_best.row_key").alias("_first"), salts.alias("_salts"))
-    some = some.withColumn("_is_first", F.col("row_key") == F.col("_first"))
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("group_size") / SHARE)).cast("int")
+    some = shared.where("group_size > 1").withColumn("_is_first", F.col("row_key") == F.col("_best.row_key"))
     # repeated rows of one id and text need one comparison
-    some = some.groupBy("doc_id", "text_sha256", "_fp", "_len").agg(F.max("_is_first").alias("_is_first"), F.max("_salts").alias("_salts"))
-    met = texts.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_sha256", "_sha").join(some, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("text_sha256"))).drop("_id", "_sha")
-    parts = chunked(met, chunk)
+    some = some.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_raw"), "_fp", "_len").agg(F.max("_is_first").alias("_is_first"), F.max(salts).alias("_salts"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_t"))
+    met = texts.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_raw")))
+    parts = chunked(met.select("doc_id", "_t", "_fp", "_len", "_is_first", "_salts", normalized(F.col("text")).alias("_norm")), chunk)
     at = ["_fp", "_len", "_seq", "_salt"]
     firsts = parts.where("_is_first").select(*at[:3], F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("_chunk").alias("_of_first")).dropDuplicates(at)
-    rest = parts.where("not _is_first").select(*at[:3], F.pmod(F.hash("doc_id", "text_sha256"), F.col("_salts")).alias("_salt"), "_chunk")
+    rest = parts.where("not _is_first").select(*at[:3], F.pmod(F.hash("doc_id", "_t"), F.col("_salts")).alias("_salt"), "_chunk")
     return rest.join(firsts, at, "left").where("_of_first is null or _chunk <> _of_first").select("_fp", "_len").distinct()
 
 
-def exact_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: one row for each text, even where ids repeat."""
-    keep = exact_groups(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("_kept")
-    rows = docs.withColumn("_own", F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256))
-    met = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
+def exact_dedup(docs: DataFrame, prime: int = PRIME, chunk: int = CHUNK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: one row for each text, even where ids repeat.
+
+    Rows of one id and raw text are alike but for their other columns; where such stay, one of them does."""
+    kept = F.col("row_key") == F.col("_best.row_key")
+    keep = _groups(docs, prime, chunk).groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_raw")).agg(F.max(kept).alias("_kept"), F.count("*").alias("_rows")).where("_kept")
+    met = docs.withColumn("_t", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_raw")))
     plain = docs.columns
-    longest = F.max_by(F.struct(*plain), F.length(F.coalesce("text", F.lit(""))))
-    again = met.where("_rows > 1").groupBy("_id", "_sha").agg(longest.alias("_row")).select(*(F.col("_row")[c].alias(c) for c in plain))
+    again = met.where("_rows > 1").groupBy("_id", "_raw").agg(F.first(F.struct(*plain)).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in plain))
     return met.where("_rows = 1").select(*plain).unionByName(again)
 
 
