@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 MAX_TIMES = 3
 #: Blocks over all sources, and at least this many a source. Their sizes are all that the driver is sent.
 BLOCKS, LEAST_BLOCKS = 1 << 14, 64
+#: Words that one partition of the written mix holds, about.
+PART_WORDS = 8_000_000
 
 
 def targets(sizes: list[int], weights=WEIGHTS, times: float = MAX_TIMES) -> list[float]:
@@ -45,6 +47,23 @@ def split_quotas(quotas: np.ndarray, n_shards: int, rng: np.random.Generator) ->
     return np.concatenate([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, n_shards - left, rng)])
 
 
+def deal(draws: list[list[tuple[int, int]]], n_shards: int, seed: int = 42) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Output shards of each source's drawn blocks: (source, block) to a list of (pass, shard).
+
+    ``draws`` has each source's (pass, block) in random order. The tree of :func:`split_quotas` says how many of them each
+    shard gets; a shard takes that many from where the shard before it stopped, so no draw is taken twice.
+    """
+    quotas = split_quotas(np.array([len(x) for x in draws], np.int64), n_shards, np.random.default_rng([seed, len(draws)]))
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, got in enumerate(draws):
+        start = 0
+        for shard in range(n_shards):
+            for p, b in got[start : start + int(quotas[shard, i])]:
+                out.setdefault((i, b), []).append((p, shard))
+            start += int(quotas[shard, i])
+    return out
+
+
 def _hashed(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed)))
 
@@ -54,8 +73,8 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards:
 
     ``rows`` has source, size and ``_h``, a hash of the row. A source's rows fall into blocks by that hash. Its target is
     met by whole passes over its blocks and, for the rest, by those of its blocks, in a seeded random order, that still fit;
-    the first that did not gives its rows in hash order, up to the row that comes nearest. Blocks are dealt to the output shards by
-    :func:`split_quotas`, in disjoint runs of the random order. What is planned, and broadcast, is a list of sources and
+    the first that did not gives its rows in hash order, up to the row that comes nearest. :func:`deal` splits the drawn
+    blocks among the output shards. What is planned, and broadcast, is a list of sources and
     at most ``blocks`` plus LEAST_BLOCKS a source blocks, whatever the input.
     """
     spark = rows.sparkSession
@@ -84,14 +103,7 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards:
         if skipped is not None and rest >= 1:
             edges.append((i, full, skipped, int(rest)))
         draws.append(got)
-    quotas = split_quotas(np.array([len(x) for x in draws], np.int64), n_shards, np.random.default_rng([seed, len(names)]))
-    dealt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, got in enumerate(draws):
-        start = 0
-        for shard in range(n_shards):
-            for p, b in got[start : start + int(quotas[shard, i])]:
-                dealt.setdefault((i, b), []).append((p, shard))
-            start += int(quotas[shard, i])
+    dealt = deal(draws, n_shards, seed)
     edge = spark.createDataFrame([(i, b, left) for i, _, b, left in edges], "_s int, _b int, _left bigint")
     so_far = to_blocks(rows).join(F.broadcast(edge), ["_s", "_b"]).withColumn("_sum", F.expr("sum(size) over (partition by _s order by _h rows unbounded preceding)"))
     cuts = {r["_s"]: r["cut"] for r in so_far.where("_sum <= _left or _sum - _left < _left - (_sum - size)").groupBy("_s").agg(F.max("_h").alias("cut")).collect()}
@@ -122,12 +134,19 @@ def mix(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16, **how) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it was drawn, a shard after another and shuffled within one.
-    Texts move once, to their shards."""
+
+    Texts move once, each to the partition that holds its shard's range of places; a shard has as many partitions as its
+    words need, so no task gets a whole shard of a large mix."""
     rows = materialize(_hashed(docs, seed).select("source", n_words(F.col("text")).alias("size"), "_h"), "mix-rows")
+    words = rows.agg(F.sum("size")).first()[0] or 0
+    ranges = max(1, -(-words // (n_shards * PART_WORDS)), -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_shards))
     drawn = plan_mix(rows, seed=seed, n_shards=n_shards, **how)(_hashed(docs, seed))
     copies = drawn.select(*docs.columns, F.explode("copies").alias("_c"))
-    return copies.repartition(n_shards, "_c.shard").sortWithinPartitions("_c.shard", "_c.place").drop("_c")
+    # a place is a uniform 64-bit hash; its upper 31 bits pick the range
+    part = F.col("_c.shard") * ranges + F.shiftrightunsigned(F.shiftrightunsigned("_c.place", 33) * ranges, 31).cast("int")
+    return copies.repartitionById(n_shards * ranges, part).sortWithinPartitions("_c.shard", F.shiftrightunsigned("_c.place", 1), "_c.place").drop("_c")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """``copies`` has a shard and a place in it for each time that the mix takes the document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -149,10 +149,48 @@ def test_mix(spark, rows):
     docs = table(spark, rows)
     got, again = (sorted(map(str, mixing.mix(docs).drop("copies").collect())) for _ in range(2))
     assert got == again and len(got) == len(rows)
-    assert all(r.taken <= 3 * r.size for r in mixing.mix(docs).collect())
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_dealing_is_exact_and_disjoint():
+    """Each draw goes to one shard; a shard gets its share of all draws, and of each source what the tree gave it."""
+    rng = np.random.default_rng(2)
+    draws = [[(p, b) for p in range(2) for b in rng.permutation(n).tolist()] for n in (9, 0, 30)]
+    for n_shards in (1, 3, 16):
+        dealt = mixing.deal(draws, n_shards, seed=5)
+        assert sorted((i, p, b) for (i, b), got in dealt.items() for p, _ in got) == sorted((i, p, b) for i, d in enumerate(draws) for p, b in d)
+        quotas = mixing.split_quotas(np.array([len(d) for d in draws]), n_shards, np.random.default_rng([5, 3]))
+        counts = Counter((s, i) for (i, _), got in dealt.items() for _, s in got)
+        assert all(counts[s, i] == quotas[s, i] for s in range(n_shards) for i in range(3))
+        totals = quotas.sum(1)
+        assert totals.sum() == 78 and totals.max() - totals.min() <= 1
+
+
+def test_mix_meets_its_targets(spark):
+    """Against brute force: words taken are within a row of each source's target, copies are told apart, and the written
+    mix holds each row as often as it was taken, a shard after another."""
+    r = random.Random(9)
+    data = [(i, " ".join("w" for _ in range(r.randint(0, 40))) or None, s) for i, s in enumerate(["a"] * 300 + ["b"] * 700 + [None] * 40)]
+    docs = table(spark, data)
+    got = mixing.mix(docs, seed=3, n_shards=4).collect()
+    size = {i: len((t or "").split()) for i, t, _ in data}
+    sums = {s: sum(size[i] for i, _, x in data if x == s) for s in ("a", "b", None)}
+    goal = dict(zip(("a", "b", None), mixing.targets(list(sums.values())), strict=True))
+    for s in sums:
+        mine = [x for x in got if x.source == s]
+        assert {x.source_size for x in mine} == {sums[s]} and {x.target for x in mine} == {goal[s]}
+        assert abs(sum(x.taken for x in mine) - goal[s]) <= 41
+    assert all(x.size == size[x.doc_id] and x.taken == x.size * len(x.copies) and len(x.copies) <= 3 for x in got)
+    assert len({c.place for x in got for c in x.copies}) == sum(len(x.copies) for x in got)
+    mixed = mixing.mixed_documents(docs, seed=3, n_shards=4)
+    parts = mixed.rdd.glom().map(lambda p: [x.doc_id for x in p]).collect()
+    shards = [{c.shard for c in x.copies} for x in sorted(got, key=lambda x: x.doc_id)]
+    assert Counter(i for p in parts for i in p) == Counter(x.doc_id for x in got for _ in x.copies)
+    assert all(k // (len(parts) // 4) in shards[i] for k, p in enumerate(parts) for i in p) and sum(map(bool, parts)) >= 4
+    order = [i for _, _, i in sorted((c.shard, c.place % 2**64, x.doc_id) for x in got for c in x.copies)]
+    assert [i for p in parts for i in p] == order
+
+
 def test_quality_base(spark, rows):
     text = "a b c d a b c x #$\nl1\nl1\n \n" + "q " * 60
     got = {r.doc_id: r for r in quality.word_features(table(spark, [*rows, (900, text, "a")])).collect()}
