@@ -21,44 +21,33 @@ ORDINAL_ENDINGS = (("one", "first"), ("two", "second"), ("three", "third"), ("fi
 MOST_DIGITS = 18
 
 
-def _div(a: Column, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b).cast("long"))
-
-
-def _pick(words, i: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), i.cast("int"))
-
-
-def _below_hundred(n: Column) -> Column:
-    unit = F.when(n % 10 > 0, F.concat(F.lit("-"), _pick(ONES, n % 10))).otherwise("")
-    return F.when(n < 20, _pick(ONES, n)).otherwise(F.concat(_pick(TENS, _div(n, 10)), unit))
+#: Words of 0 to 99, by rule.
+BELOW_100 = tuple(ONES[n] if n < 20 else TENS[n // 10] + ("-" + ONES[n % 10] if n % 10 else "") for n in range(100))
 
 
-def _below_thousand(n: Column, joint: str) -> Column:
-    rest = F.when(n % 100 > 0, F.concat(F.lit(f" hundred{joint} "), _below_hundred(n % 100))).otherwise(" hundred")
-    return F.when(n < 100, _below_hundred(n)).otherwise(F.concat(_pick(ONES, _div(n, 100)), rest))
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("long"))
 
 
 def int_words(n: Column, british: bool = False) -> Column:
     """A whole number below 10**18 in words, null for others: ``one thousand two hundred thirty-four``, or, if ``british``,
     ``one thousand, two hundred and thirty-four``."""
-    joint, comma = (" and", ",") if british else ("", "")
-
-    def under_billion(x: Column) -> Column:
-        groups = F.transform(F.array(F.lit(2), F.lit(1), F.lit(0)), lambda g: F.struct(g.alias("g"), (F.call_function("div", x, F.get(F.array(*(F.lit(1000**k).cast("long") for k in range(3))), g)) % 1000).alias("v")))
-        spoken = F.transform(F.filter(groups, lambda p: p["v"] > 0), lambda p: F.concat(_below_thousand(p["v"], joint), _pick(SCALES, p["g"])))
-        if not british:
-            return F.array_join(spoken, " ")
-        last = (x % 1000 > 0) & (x % 1000 < 100) & (x >= 1000)
-        return F.when(last, F.concat(F.array_join(F.slice(spoken, F.lit(1), F.size(spoken) - 1), ", "), F.lit(" and "), F.element_at(spoken, -1))).otherwise(F.array_join(spoken, ", "))
+    table = F.split(F.lit("|".join(BELOW_100)), "[|]")
+    scales = F.split(F.lit("| thousand| million| billion| thousand billion| million billion"), "[|]")
 
-    def spoken(x: Column) -> Column:
-        low = x % 1_000_000_000
-        billions = F.concat(under_billion(_div(x, 1_000_000_000)), F.lit(" billion"))
-        tail = F.when(low == 0, "").when((low < 100) & F.lit(british), F.concat(F.lit(" and "), under_billion(low))).otherwise(F.concat(F.lit(comma + " "), under_billion(low)))
-        return F.when(x == 0, "zero").when(x < 1_000_000_000, under_billion(x)).when(x < 10**MOST_DIGITS, F.concat(billions, tail))
+    def word(p: Column) -> Column:
+        v = p["v"]
+        hundreds = F.when(v >= 100, F.concat(F.get(table, _div(v, 100).cast("int")), F.lit(" hundred")))
+        return F.concat(F.concat_ws(" and " if british else " ", hundreds, F.when(v % 100 > 0, F.get(table, (v % 100).cast("int")))), F.get(scales, p["k"]))
 
-    return bound(n.cast("long"), lambda x: F.when(x < 0, F.concat(F.lit("negative "), spoken(-x))).otherwise(spoken(x)))
+    n = n.cast("long")
+    groups = F.array(*(F.struct((_div(F.abs(n), 1000**k) % 1000).alias("v"), F.lit(k).alias("k")) for k in reversed(range(6))))
+    spoken = F.array_join(F.transform(F.filter(groups, lambda p: p["v"] > 0), word), ", " if british else " ")
+    if british:
+        spoken = F.regexp_replace(spoken, ", ([a-z]+(?:-[a-z]+)?)$", " and $1")
+    # where billions have thousands or millions of their own, the word billion comes once
+    spoken = F.regexp_replace(spoken, r"(thousand|million) billion(?=.* billion)", "$1")
+    return F.when(F.abs(n) < 10**MOST_DIGITS, F.concat(F.when(n < 0, "negative ").otherwise(""), F.when(n == 0, "zero").otherwise(spoken)))
 
 
 def ordinal(words: Column) -> Column:
@@ -82,8 +71,12 @@ def digits_to_long(text: Column) -> Column:
 
 def substitute(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
     """``text`` with each match replaced by ``new`` of it; a match for which that is null stays."""
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda t, m: F.concat(F.coalesce(t, F.lit("")), F.coalesce(new(m), m, F.lit(""))))
-    return F.array_join(pieces, "")
+
+    def joined(t: Column) -> Column:
+        pieces = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), 0), lambda rest, m: F.concat(F.coalesce(rest, F.lit("")), F.coalesce(new(m), m, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return bound(text, joined)
 
 
 def _list_sql(words) -> str:
@@ -116,6 +109,6 @@ def digits_sql(text: str) -> str:
 
 def substitute_sql(text: str, pattern: str, new: str) -> str:
     """SQL of :func:`substitute`; ``new`` is an expression over the match ``m``."""
-    found, rest = f"regexp_extract_all({text}, '{pattern}')", f"regexp_split_to_array({text}, '{pattern}')"
+    found, rest = f"regexp_extract_all(t, '{pattern}')", f"regexp_split_to_array(t, '{pattern}')"
     pieces = f"list_transform(list_zip({rest}, {found}), lambda z: coalesce(z[1], '') || coalesce(list_transform([z[2]], lambda m: {new})[1], z[2], ''))"
-    return f"array_to_string({pieces}, '')"
+    return f"list_transform([{text}], lambda t: array_to_string({pieces}, ''))[1]"
