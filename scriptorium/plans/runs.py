@@ -51,11 +51,13 @@ def rolling_engine(spark, sf_dir: str) -> DataFrame:
 
 
 @query("W1", sql=f"""
-SELECT event_id, round(avg(duration_ms) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), 4) AS rolling_ms FROM ({_EVENTS})
+SELECT event_id, CAST(sum(CAST(round(duration_ms * 100) AS BIGINT)) OVER w AS BIGINT) / CAST(100 AS DOUBLE) / count(*) OVER w AS rolling_ms FROM ({_EVENTS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)
 """)
 def rolling_rows(spark, sf_dir: str) -> DataFrame:
+    """Averages of hundredths, summed as whole numbers, so they don't depend on the order of additions."""
     w = _by("user_id").orderBy("event_id").rowsBetween(1 - ROLLING, 0)
-    return policy_events(spark, sf_dir).select("event_id", F.round(F.avg("duration_ms").over(w), 4).alias("rolling_ms"))
+    cents = F.round(F.col("duration_ms") * 100).cast("long")
+    return policy_events(spark, sf_dir).select("event_id", (F.sum(cents).over(w) / 100.0 / F.count("*").over(w)).alias("rolling_ms"))
 
 
 @query("W2", sql=f"SELECT event_id, phase FROM ({_EVENTS}) WHERE failed QUALIFY row_number() OVER (PARTITION BY phase ORDER BY event_id DESC) <= 20")
@@ -214,16 +216,18 @@ def run_reward(spark, sf_dir: str) -> DataFrame:
     return _day(runs(spark, sf_dir).join(h, keys)).select("user_id", "day", "phase", "engine", F.round(reward, 6).alias("reward"))
 
 
-@query("E13", "E14", "E15", "E16", "E22", "E54", sql=f"""
-WITH d AS (SELECT *, round(least(1, greatest(0, .3 * score / 100 + .25 * (1 - fallback) + .25 * (1 - failures / n) + .2 * least(1, rtf / 4))), 6) AS rating, round((score / 100 + (1 - fallback) + (1 - failures / n)) / 3, 6) AS mean FROM ({_RUNS}))
+@query(sql=f"""
+WITH d AS (SELECT *, (300 * CAST(floor(score * 10) AS BIGINT) + 250 * CAST(floor((1 - fallback) * 1000) AS BIGINT) + 250 * ((n - failures) * 1000 // n) + 200 * CAST(floor(least(1, rtf / 4) * 1000) AS BIGINT)) / CAST(1000000 AS DOUBLE) AS rating, round((score / 100 + (1 - fallback) + (1 - failures / n)) / 3, 6) AS mean FROM ({_RUNS}))
 SELECT user_id, CAST(d.day AS VARCHAR) AS day, rating, CASE WHEN mean >= .8 THEN 'ok' WHEN mean >= .5 THEN 'needs_attention' ELSE 'critical' END AS verdict, CASE WHEN rating < .2 THEN 'high' WHEN rating < .4 THEN 'medium' ELSE 'low' END AS risk,
   CASE WHEN mean >= .7 THEN 'healthy' WHEN mean >= .4 THEN 'caution' ELSE 'unstable' END AS health, CASE WHEN failures > 5 THEN 'structural' WHEN failures > 0 THEN 'metadata' ELSE 'unknown' END AS heal,
   CASE engine WHEN 'xtts' THEN 'enforce' ELSE 'tune' END AS mode, concat_ws(',', CASE WHEN score / 100 < .4 THEN 'low_score' END, CASE WHEN 1 - fallback < .4 THEN 'low_engine' END, CASE WHEN 1 - failures / n < .4 THEN 'low_success' END) AS issues FROM d
 """)
 def run_ratings(spark, sf_dir: str) -> DataFrame:
-    """Weighted rating, verdict, risk, health, healing class and the issues of each run's dimensions."""
+    """Weighted rating in thousandths, verdict, risk, health, healing class and the issues of each run's dimensions."""
     dims = {"score": F.col("score") / 100, "engine": 1 - F.col("fallback"), "success": 1 - F.col("failures") / F.col("n")}
-    rating = F.round(_cap(0.3 * dims["score"] + 0.25 * dims["engine"] + 0.25 * dims["success"] + 0.2 * F.least(F.lit(1.0), F.col("rtf") / 4), 0.0, 1.0), 6)
+    whole = lambda c: F.floor(c * 1000).cast("long")
+    success = F.call_function("div", (F.col("n") - F.col("failures")) * 1000, F.col("n"))
+    rating = (300 * F.floor(F.col("score") * 10).cast("long") + 250 * whole(dims["engine"]) + 250 * success + 200 * whole(F.least(F.lit(1.0), F.col("rtf") / 4))) / 1_000_000.0
     d = runs(spark, sf_dir).withColumn("rating", rating).withColumn("mean", F.round((dims["score"] + dims["engine"] + dims["success"]) / 3, 6))
     band = lambda c, *steps, last: _bands(F.col(c), steps, last)
     return _day(d.select(
