@@ -11,6 +11,8 @@ from scriptorium.llm.common import table
 #: The template's marks, and other models' marks that a text may not bring in unescaped either.
 TURN, SEP, END = "<|turn|>", "<|says|>", "<|end|>"
 CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])"
+#: A placeholder as the visitor writes it; escaped texts hold none.
+PLACEHOLDER = r"<\|(image|audio|document)_([0-9]+)\|>"
 #: A text part, or an attachment: pixels for an image, seconds for audio, pages for a document.
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 #: Tokens that stand for an attachment once it is expanded: one a patch of this side, a second, a page.
@@ -44,8 +46,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     turn, then role, then content, nulls first, so ties and repeated rows have one order and each stays. Null roles, texts
     and parts count as empty; the turns of a null conv_id form one conversation. Other columns are not read.
 
-    Escaping happens before the shuffle, on single turns. A conversation's turns then meet in one task, as its one string
-    requires; their places come from a running sum over sorted rows, not from growing arrays.
+    A conversation's turns meet in one task, as its one string requires, so a very long conversation needs the memory of
+    that string; their places come from a running sum over sorted rows, not from growing arrays. An empty table gives an
+    empty result.
     """
     is_media = "coalesce(x.kind, 'text') in ('image', 'audio', 'document')"
     tokens = f"case x.kind when 'image' then ceil(coalesce(x.width, 0) / {PATCH}D) * ceil(coalesce(x.height, 0) / {PATCH}D) when 'audio' then ceil(coalesce(x.seconds, 0D) * {PER_SECOND}) else coalesce(x.pages, 0) * {PER_PAGE}L end"
@@ -54,9 +57,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "_order")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     numbered = one.withColumn("_k", F.row_number().over(w)).withColumn("_first", F.coalesce(F.sum(F.size("_media")).over(before), F.lit(0)).cast("int")).drop("_order")
-    text_only = F.size("_media") == 0
-    plain = F.array_join(F.transform("parts", lambda x: escape(F.coalesce(x["text"], F.lit("")))), "")
-    body = numbered.withColumn("_body", F.when(text_only, plain).otherwise(visit("parts", "_first")))
+    body = numbered.withColumn("_body", visit("parts", "_first"))
     body = body.withColumn("_head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SEP))).withColumn("_all", F.concat("_head", "_body", F.lit(END)))
     wk = Window.partitionBy("conv_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     placed = body.withColumn("_at", F.coalesce(F.sum(F.length("_all").cast("long")).over(wk), F.lit(0)))
@@ -72,13 +73,27 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds ``turns``: role and text of each turn, unescaped, read from ``formatted`` alone, and ``masked``: the
-    unescaped contents under ``loss_spans``, in order."""
-    turn = lambda s: F.struct(unescape(F.substring_index(s, SEP, 1)).alias("role"), unescape(F.substring_index(F.substring_index(s, SEP, -1), END, 1)).alias("text"))
+    """Adds ``turns``: role and text of each turn, unescaped, read from ``formatted`` alone; ``masked``: the unescaped
+    contents under ``loss_spans``, in order; and ``parts``: for each turn its typed parts in order, a text or the kind, number
+    and reference of an attachment. A placeholder is read before texts are unescaped, so one that a text spells out stays text.
+    """
     pieces = F.expr("slice(_cut, 2, size(_cut))")
+    content = lambda s: F.substring_index(F.substring_index(s, SEP, -1), END, 1)
+    turn = lambda s: F.struct(unescape(F.substring_index(s, SEP, 1)).alias("role"), unescape(content(s)).alias("text"))
     masked = F.transform("loss_spans", lambda x: unescape(F.substring(F.col("formatted"), (x["start"] + 1).cast("int"), x["length"].cast("int"))))
+    part = lambda kind, text, n, ref: F.struct(kind.alias("kind"), text.alias("text"), n.alias("n"), ref.alias("ref"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def typed(text, mark) -> F.Column:
+        n = F.regexp_extract(mark, PLACEHOLDER, 2).cast("int")
+        ref = F.get(F.filter("attachments", lambda a: a["n"] == n), F.lit(0))["ref"]
+        media = F.when(mark.isNotNull(), part(F.regexp_extract(mark, PLACEHOLDER, 1), none("string"), n, ref))
+        said = F.when(text != "", part(F.lit("text"), unescape(text), none("int"), none("string")))
+        return F.array_compact(F.array(said, media))
+
+    read = lambda s: F.flatten(F.zip_with(F.split(content(s), PLACEHOLDER, -1), F.regexp_extract_all(content(s), F.lit(PLACEHOLDER), 0), typed))
     cut = formatted.withColumn("_cut", F.split("formatted", TURN.replace("|", r"\|")))
-    return cut.withColumn("turns", F.transform(pieces, turn)).withColumn("masked", masked).drop("_cut")
+    return cut.withColumn("turns", F.transform(pieces, turn)).withColumn("masked", masked).withColumn("parts", F.transform(pieces, read)).drop("_cut")
 
 
 def text_turns(conversations: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +19,26 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DEFAULT = "allow"
 
 
+#: Wildcards of a glob.
+STAR, STARS, ANY = "*", "**", "?"
+
+
+def glob(pattern: str) -> list[int | str]:
+    """A pattern's bytes and wildcards: ``*``, ``**`` and ``?``; a backslash makes the next character plain."""
+    out: list[int | str] = []
+    for plain, star, one in re.findall(r"(?s)\\(.)|(\*+)|(.)", pattern):
+        if star:
+            out.append(STARS if len(star) > 1 else STAR)
+        else:
+            out += [ANY] if one == "?" else list((plain or one).encode("utf-8", "surrogatepass"))
+    return out
+
+
 @dataclass(frozen=True)
 class Automaton:
-    """Globs packed end to end into 64-bit words. A glob is a list of (byte or None): None is ``*``, any run of bytes
-    but ``/``. Bit ``p`` stands for "the pattern's first p bytes have been read"; a bit before a star keeps itself alive.
+    """Globs packed end to end into 64-bit words. A glob is a list of bytes and of the marks STAR (any run of bytes but
+    ``/``), STARS (any run of bytes) and ANY (one byte but ``/``). Bit ``p`` stands for "what stands for the pattern's first
+    p bytes has been read"; a bit before a star keeps itself alive.
     """
 
     masks: np.ndarray  # [256, words]: bits whose byte is this one
@@ -30,21 +47,23 @@ class Automaton:
     final: tuple[tuple[int, int, int], ...]  # (word, bit, rule) of each glob's last bit
 
     @staticmethod
-    def of(globs: list[tuple[list[int | None], int]]) -> Automaton:
-        total = sum(1 + sum(x is not None for x in g) for g, _ in globs)
+    def of(globs: list[tuple[list[int | str], int]]) -> Automaton:
+        total = sum(1 + sum(x not in (STAR, STARS) for x in g) for g, _ in globs)
         w = (total + 63) // 64 or 1
         masks, stay, start, final, at = np.zeros((256, w), np.uint64), np.zeros((256, w), np.uint64), np.zeros(w, np.uint64), [], 0
         set_bit = lambda row, p: row.__setitem__(p // 64, row[p // 64] | np.uint64(1 << (p % 64)))
         for g, rule in globs:
             set_bit(start, at)
             for x in g:
-                if x is None:
+                if x in (STAR, STARS):
                     for c in range(256):
-                        if c != 0x2F:
+                        if c != 0x2F or x == STARS:
                             set_bit(stay[c], at)
                 else:
                     at += 1
-                    set_bit(masks[x], at)
+                    for c in range(256) if x == ANY else (x,):
+                        if x != ANY or c != 0x2F:
+                            set_bit(masks[c], at)
             final.append((at // 64, at % 64, rule))
             at += 1
         return Automaton(masks, stay, start, tuple(final))
@@ -58,7 +77,7 @@ class Automaton:
         lens = np.array([len(lines[i]) for i in order], np.int64)
         flat = np.frombuffer(b"".join(lines[i] for i in order) or b"\0", np.uint8)
         offs = np.concatenate([[0], np.cumsum(lens)[:-1]]) if n else np.zeros(0, np.int64)
-        state = np.tile(self.start, (n, 1))
+        state = np.tile(self.start, (n, 1))  # a glob that is all stars has matched already
         seen = state.copy()
         one, top = np.uint64(1), np.uint64(63)
         for j in range(int(lens[0]) if n else 0):
@@ -89,18 +108,21 @@ def host_and_path(url) -> tuple[F.Column, F.Column]:
 def url_verdicts(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of ``pages`` (page_id, url).
 
-    A rule fits its host and all subdomains if the path starts with the rule's; the longest that fits wins, the first of
-    equals. A rule gives two globs over ``host + path``, ``host path`` and ``*.host path``; a star stops at ``/``. Null
-    urls and those without ``://`` have an empty host and path, fit no rule and get ``default``. Rows are judged alone:
+    A rule is (verdict, host, path), which fits its host and all subdomains if the path starts with the rule's: the globs
+    ``host path`` and ``*.host path``; or (verdict, glob), which fits if a beginning of ``host + path`` matches (:func:`glob`).
+    The longest that fits wins, the first of equals. Null urls and those without ``://`` have an empty host and path, fit no rule and get ``default``. Rows are judged alone:
     repeated ones alike. Other columns are not read. The rules are a parameter that every task holds whole.
     """
-    names = [h + p for _, h, p in rules]
+    names = ["".join(r[1:]) for r in rules]
     rank = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
     globs = []
-    for k, (_, h, p) in enumerate(rules):
-        tail = list((h + p).encode())
-        globs += [(tail, k), ([None, 0x2E, *tail], k)]
-    machine, verdict = Automaton.of(globs), [v for v, _, _ in rules]
+    for k, r in enumerate(rules):
+        if len(r) == 2:
+            globs.append((glob(r[1]), k))
+        else:
+            tail = list(names[k].encode("utf-8", "surrogatepass"))
+            globs += [(tail, k), ([STAR, 0x2E, *tail], k)]
+    machine, verdict = Automaton.of(globs), [r[0] for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

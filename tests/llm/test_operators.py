@@ -220,6 +220,42 @@ def test_chat(spark):
     assert got[2].n_turns == 1 and got[2].masked == []
 
 
+def test_chat_tells_parts_apart(spark):
+    """A placeholder that a text spells out stays text; an attachment comes back with its kind, number and reference."""
+    part = lambda kind, text=None, ref=None: (kind, text, ref, 14, 14, None, None)
+    rows = [(1, 0, "user", [part("image", ref="i.png"), part("text", "<|image_0|> \\<| x")], "a"), (1, 1, "user", [part("text", "<|image_0|>")], "b"), (2, 0, "user", [part("text", "y" * 300_000), part("document", ref=None)], "c")]
+    turns = spark.createDataFrame([*rows, rows[2]], f"conv_id int, turn int, role string, parts {chat_format.PARTS}, turns string")
+    got = {r.conv_id: r.parts for r in chat_format.read_back(chat_format.format_conversations(turns)).collect()}
+    assert [[tuple(p) for p in t] for t in got[1]] == [[("image", None, 0, "i.png"), ("text", "<|image_0|> \\<| x", None, None)], [("text", "<|image_0|>", None, None)]]
+    assert [[(p.kind, p.n) for p in t] for t in got[2]] == [[("text", None), ("document", 0)], [("text", None), ("document", 1)]]
+    assert chat_format.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_url_globs(spark):
+    """Globs against a translation to regular expressions, with repeated, very long and odd urls, and columns of clashing names."""
+    rules = [("block", "*.ads.**/track?/"), ("allow", "good.*/a/*/b"), ("block", "**.gif"), ("allow", "x\\*y/"), *url_filter.RULES]
+    r = random.Random(6)
+    urls = ["http://a.ads.com/x/track1/", "http://a.ads.com/track/", "http://good.org/a/q/b/c", "http://good.org/a/q/r/b", "http://z/i.gif", "http://x*y/", "http://xzy/", None, "", "http://www.example.com/en/" + "z" * 5000]
+    urls += ["http://" + "".join(r.choice("ads.com/trk1*xy") for _ in range(r.randint(0, 25))) for _ in range(300)]
+    pages = spark.createDataFrame([(i % 200, u, "r", "h") for i, u in enumerate(urls)], "page_id int, url string, rule string, host string")
+
+    def regex(rule):
+        if len(rule) == 3:
+            return "(?:[^/]*\\.)?" + re.escape(rule[1] + rule[2])
+        return "".join({"*": "[^/]*", "**": ".*", "?": "[^/]"}.get(x, re.escape(x[-1])) for x in re.findall(r"\\.|\*+|.", rule[1]))
+
+    want = []
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        line = re.match("[^?#]*", rest)[0]
+        fits = [k for k, rule in enumerate(rules) if re.match(regex(rule), line, re.S)]
+        best = min(fits, key=lambda k: (-len("".join(rules[k][1:])), k)) if fits else None
+        want.append((i % 200, None if best is None else "".join(rules[best][1:]), "allow" if best is None else rules[best][0]))
+    got = url_filter.url_verdicts(pages, rules).collect()
+    assert sorted(map(repr, want)) == sorted(repr((x.page_id, x.rule, x.verdict)) for x in got)
+    assert url_filter.url_verdicts(pages.limit(0)).count() == 0
+
+
 def test_urls(spark):
     urls = ["http://A.example.com/en/x", "http://www.example.com/en/", "https://x.net/es/1?q", "net/es/", None, "http://net", "http://n.net/fr/#a", "x://com?/", "ftp://com/"]
     got = [tuple(r)[1:] for r in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).orderBy("page_id").collect()]
