@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The statuses of a phase, and how other spellings map to them.
-STATUSES = ("pending", "running", "success", "partial", "partial_success", "failed", "skipped", "error", "unknown")
+STATUSES = ("pending", "running", "success", "partial", "partial_success", "failed", "error", "skipped", "unknown")
 STATUS_ALIASES = {"complete": "success", "completed": "success", "ok": "success", "ready": "success", "in_progress": "running"}
 
 
