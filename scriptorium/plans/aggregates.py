@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.catalog import query
+from scriptorium.operators.ordered import order_statistics, percentiles
 from scriptorium.plans.runs import _RUNS, runs
 from scriptorium.plans.telemetry import _EVENTS, policy_events
 from scriptorium.sources.tables import table
@@ -21,10 +22,12 @@ SELECT engine, count(*) AS n, round(avg(duration_ms), 4) AS mean, round(quantile
   round(quantile_cont(duration_ms, 0.99), 4) AS p99, min(duration_ms) AS low, max(duration_ms) AS high, round(1 - count(*) FILTER (failed) / count(*), 6) AS success_rate FROM ({_EVENTS}) GROUP BY engine
 """)
 def number_summary(spark, sf_dir: str) -> DataFrame:
-    q = lambda p: _r(F.percentile("duration_ms", p)).alias(f"p{int(p * 100)}")
-    return policy_events(spark, sf_dir).groupBy("engine").agg(
-        F.count("*").alias("n"), _r(F.avg("duration_ms")).alias("mean"), q(0.5), q(0.9), q(0.95), q(0.99), F.min("duration_ms").alias("low"), F.max("duration_ms").alias("high"), _r(1 - F.count_if("failed") / F.count("*"), 6).alias("success_rate")
-    )
+    """Percentiles come from cumulated counts of equal values, so no group of an engine is held in one buffer."""
+    e = policy_events(spark, sf_dir)
+    shares = {f"p{p}": p / 100 for p in (50, 90, 95, 99)}
+    s = e.groupBy("engine").agg(F.count("*").alias("n"), _r(F.avg("duration_ms")).alias("mean"), F.min("duration_ms").alias("low"), F.max("duration_ms").alias("high"), _r(1 - F.count_if("failed") / F.count("*"), 6).alias("success_rate"))
+    q = percentiles(e, "engine", "duration_ms", shares).select("engine", *(_r(k).alias(k) for k in shares))
+    return s.join(q, "engine").select("engine", "n", "mean", *shares, "low", "high", "success_rate")
 
 
 @query("F10", sql=f"SELECT coalesce(phase, 'all') AS phase, count(*) AS n, round(sum(duration_ms), 2) AS total, count(*) FILTER (failed) AS failures FROM ({_EVENTS}) GROUP BY ROLLUP (phase)")
@@ -86,11 +89,9 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY rtf, user_id
 SELECT phase, round(avg(rtf), 6) AS mean, max(rtf) FILTER (i = total // 2 + 1) AS upper_median, CASE WHEN max(rtf) FILTER (i = total // 2 + 1) > 2.5 THEN -10 WHEN max(rtf) FILTER (i = total // 2 + 1) < 1 THEN 10 ELSE 0 END AS change FROM r GROUP BY phase
 """)
 def benchmark_rtf(spark, sf_dir: str) -> DataFrame:
-    """Mean and upper median by phase: counts of equal values are cumulated, so no group is sorted row by row in one task."""
-    c = runs(spark, sf_dir).groupBy("phase", "rtf").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("phase")
-    c = c.withColumn("upto", F.sum("k").over(w.orderBy("rtf").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    m = c.groupBy("phase").agg(_r(F.sum(F.col("rtf") * F.col("k")) / F.sum("k"), 6).alias("mean"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("rtf"))).alias("upper_median"))
+    """Mean and upper median by phase: counts of equal values are cumulated over ranges, so no phase is sorted in one task."""
+    r = runs(spark, sf_dir).select("phase", "rtf")
+    m = r.groupBy("phase").agg(_r(F.avg("rtf"), 6).alias("mean")).join(order_statistics(r, "phase", "rtf", {"upper_median": F.floor(F.col("n") / 2)}), "phase").drop("n")
     return m.withColumn("change", F.when(F.col("upper_median") > 2.5, -10).when(F.col("upper_median") < 1, 10).otherwise(0))
 
 
@@ -147,10 +148,7 @@ WITH r AS (SELECT phase, score, row_number() OVER (PARTITION BY phase ORDER BY s
 SELECT phase, max(score) FILTER (i = n // 4 + 1) AS threshold FROM r GROUP BY phase
 """)
 def quartile_threshold(spark, sf_dir: str) -> DataFrame:
-    c = runs(spark, sf_dir).groupBy("phase", "score").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("phase")
-    c = c.withColumn("upto", F.sum("k").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    return c.where(F.col("upto") > F.floor(F.col("n") / 4)).groupBy("phase").agg(F.min("score").alias("threshold"))
+    return order_statistics(runs(spark, sf_dir).select("phase", "score"), "phase", "score", {"threshold": F.floor(F.col("n") / 4)}).drop("n")
 
 
 @query("F33", sql=f"""

@@ -171,10 +171,6 @@ def segment_gaps(spark, sf_dir: str) -> DataFrame:
     return s.select("event_id", F.round(F.col("nb") - F.col("e"), 3).alias("gap_s"), F.coalesce(F.col("nb") - F.col("e") >= 0.5, F.lit(False)).alias("long_gap"), F.coalesce(F.col("e") > F.col("nb"), F.lit(False)).alias("overlaps"), F.coalesce(F.col("event_id") <= F.col("was"), F.lit(False)).alias("out_of_order"))
 
 
-def _cap(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
-
-
 @query("W18", sql=f"""
 WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, sum(duration_ms) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stop, duration_ms FROM ({_EVENTS})),
 t AS (SELECT *, max(stop) OVER (PARTITION BY user_id) AS total FROM o)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.catalog import query
+from scriptorium.operators.ordered import following
 from scriptorium.sources.tables import table
 
 _FORMS = ("pdf", "epub", "docx", "txt")
@@ -128,13 +129,15 @@ def audio_chunks(spark, sf_dir: str) -> DataFrame:
 
 
 @query("J4", sql="""
-WITH m AS (SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = documents.doc_id)) SELECT doc_id, doc_id - lag(doc_id, 1, doc_id) OVER (PARTITION BY doc_id // 10000 ORDER BY doc_id) AS gap FROM m
+WITH m AS (SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = documents.doc_id)), g AS (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) - doc_id AS gap FROM m)
+SELECT doc_id, coalesce(gap, 0) AS gap, CASE WHEN n_chars < 100 THEN 'tiny' WHEN n_chars < 1000 THEN 'small' WHEN n_chars < 5000 THEN 'medium' ELSE 'large' END AS size_class FROM g JOIN documents AS d USING (doc_id)
 """)
 def missing_outputs(spark, sf_dir: str) -> DataFrame:
-    """Documents without a label, and how far each lies from the one before in its block of 10,000 ids."""
-    m = _docs(spark, sf_dir, "doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-    w = Window.partitionBy(F.floor(F.col("doc_id") / 10000)).orderBy("doc_id")
-    return m.select("doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.col("doc_id"))).alias("gap"))
+    """Documents without a label, how far it is to the next such one, 0 at the last, and the class of their size."""
+    m = _docs(spark, sf_dir, "doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    near = following(m.select("doc_id", F.lit(0).alias("_all")), "_all", "doc_id")
+    size = F.when(F.col("n_chars") < 100, "tiny").when(F.col("n_chars") < 1000, "small").when(F.col("n_chars") < 5000, "medium").otherwise("large")
+    return m.join(near, "doc_id").select("doc_id", F.coalesce(F.col("next") - F.col("doc_id"), F.lit(0)).alias("gap"), size.alias("size_class"))
 
 
 @query("J5", "J7", sql="""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scriptorium.catalog import query
+from scriptorium.operators.ordered import following
 from scriptorium.functions.text import COMMON_WORDS, duration_seconds, extraction_score, normalize_spaces, phase_status, punctuation_spacing
 from scriptorium.sources.tables import table
 
@@ -76,7 +76,10 @@ WITH e AS (SELECT vec_id, label, embedding AS a, lead(embedding) OVER (PARTITION
 SELECT vec_id, round(greatest(0, least(1, list_dot_product(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])) / sqrt(list_dot_product(CAST(a AS DOUBLE[]), CAST(a AS DOUBLE[])) * list_dot_product(CAST(b AS DOUBLE[]), CAST(b AS DOUBLE[]))))), 4) AS coherence FROM e WHERE b IS NOT NULL
 """)
 def coherence_adjacent(spark, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"), F.lead(F.col("embedding").cast("array<double>")).over(w).alias("b")).where("b is not null")
+    """Similarity of each vector to its label's next one. Neighbours are found on ids alone, range by range, as one label may
+    hold most rows; vectors then meet by id."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
+    near = following(vectors, "label", "vec_id").where("next is not null").select("vec_id", "next")
+    e = near.join(vectors.select("vec_id", "a"), "vec_id").join(vectors.select(F.col("vec_id").alias("next"), F.col("a").alias("b")), "next")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return e.select("vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")))), 4).alias("coherence"))
