@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.catalog import query
+from scriptorium.functions.text import bound
 from scriptorium.sources.tables import table
 
 #: Abbreviations and what they are read as, in order.
@@ -300,15 +301,20 @@ def failure_categories(spark, sf_dir: str) -> DataFrame:
 @query("H5", sql=r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 8)), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
-SELECT doc_id, count(*) AS n_phrases, max(n) AS most FROM c WHERE n >= 3 GROUP BY doc_id
+SELECT doc_id, count(*) AS n_phrases, max(n) AS most, max(n) || 'x_4words' AS label FROM c WHERE n >= 3 GROUP BY doc_id
 """)
 def phrase_repeats(spark, sf_dir: str) -> DataFrame:
     """Four-word phrases that occur three times or more in a text of eight words or more; whenever a longer phrase does, its
-    first four words do too. A text's phrases are sorted and folded in its row: no shuffle."""
+    first four words do too, so the label is of four words. Phrases are hashed and the hashes sorted; only phrases whose hash
+    comes three times are written out, sorted and counted. A text is one row: no shuffle."""
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f]+"), lambda x: x != "")
-    phrases = lambda w: F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
-    # the one-element array binds the words to a variable; as a column they would be split anew for each phrase
-    d = _docs(spark, sf_dir).select("doc_id", F.array_sort(F.element_at(F.transform(F.array(words), phrases), 1)).alias("g"))
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 4), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(4))))
+    thrice = lambda s: F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.size(s) - 3), lambda i: F.when(F.get(s, i) == F.get(s, i + 2), F.get(s, i))), lambda x: x.isNotNull()))
+    written = lambda w, h, r: F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(r, F.get(h, i))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(4)), " ")))
+    # binding an array to a lambda's variable keeps it from being built anew for each use
+    repeated = lambda w, h: bound(bound(F.sort_array(h), thrice), lambda r: F.when(F.size(r) > 0, written(w, h, r)))
+    phrases = bound(words, lambda w: F.when(F.size(w) >= 8, bound(hashes(w), lambda h: repeated(w, h))))
+    d = _docs(spark, sf_dir).select("doc_id", F.coalesce(phrases, F.array().cast("array<string>")).alias("g"))
     zero = lambda: F.lit(0).cast("long")
     start = F.struct(F.lit("").alias("last"), zero().alias("run"), zero().alias("n"), zero().alias("most"))
 
@@ -317,7 +323,7 @@ def phrase_repeats(spark, sf_dir: str) -> DataFrame:
         return F.struct(g.alias("last"), run.alias("run"), (s["n"] + (run == 3).cast("long")).alias("n"), F.greatest(s["most"], run).alias("most"))
 
     folded = d.select("doc_id", F.aggregate("g", start, step).alias("s")).where("s.n > 0")
-    return folded.select("doc_id", F.col("s.n").alias("n_phrases"), F.col("s.most").alias("most"))
+    return folded.select("doc_id", F.col("s.n").alias("n_phrases"), F.col("s.most").alias("most"), F.concat(F.col("s.most").cast("string"), F.lit("x_4words")).alias("label"))
 
 
 @query("H3", "B14", sql=r"""
