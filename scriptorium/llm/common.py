@@ -18,8 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Only a session in one process, as in
+    tests, may do without: there it is a folder of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or "/tmp/checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
