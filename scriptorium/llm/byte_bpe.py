@@ -172,7 +172,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``) of every row; a null text counts as empty.
 
     Each match of ``pattern`` is encoded separately, without special tokens; decoding starts from the ids. Rows are taken
-    alone: repeated ones give equal results. Other columns are not read. ``path`` is a file that every worker can open.
+    alone: repeated ones give equal results. Other columns are not read. ``path`` is a file that every worker can open. A
+    very long pre-token goes through the rank queue in time near linear in its length. An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -54,14 +54,14 @@ def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
 def shard_documents(docs: DataFrame, n_shards: int = 16, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null), n_tokens of every row of ``docs``.
 
-    Sizes are UTF-8 bytes of the text plus 1; a null text has no bytes, no tokens and CRC 0. Equal texts share a hash and
+    Sizes are UTF-8 bytes of the text plus 1; a null text has no bytes, no tokens and CRC 0 and goes with empty ones. Equal texts share a hash and
     so a bucket, and a bucket goes to one shard whole. Only a group of equal texts larger than a shard's share is split,
     by a hash of its rows' ids. Rows within a bucket are ordered by doc_id, then by the row; slots run through a shard's
     buckets without gaps. Repeated rows are rows of one group. Other columns are not read. An empty table gives an empty
     result. The driver packs ``buckets`` size vectors at most, whatever the input.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), n_words(F.col("text")).alias("n_tokens"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64("text").alias("_g"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), n_words(F.col("text")).alias("n_tokens"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("_g"))
     rows = materialize(rows.withColumn("_b", F.pmod("_g", F.lit(buckets)).cast("int")).withColumn("_r", F.monotonically_increasing_id()), "shard-rows")
     dims = [F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n")]
     sums = rows.groupBy("_b").agg(*dims).orderBy("_b").collect()

@@ -310,3 +310,91 @@ def test_similar_sets_share_a_signature():
                     allowed = 7 * rare[i] <= 4 * a - 3 * b and 7 * rare[j] <= 4 * b - 3 * a
                     missed += not (plain[i] & plain[j] or allowed and usual[i] & usual[j])
     assert similar > 1000 and not missed
+
+
+def test_quality_ratio_matches_brute_force(spark, rows):
+    """llr and the verdict from hashed words and pairs, the whole corpus against the trusted rows, with few buckets."""
+    xxhash = pytest.importorskip("xxhash")
+    r = random.Random(11)
+    data = [(i, t, s) for i, t, s in rows if i is not None and len(t or "") < 5000 and i != 303] + [(1000 + i, " ".join(r.choice(["sun", "moon", "junk", "tree"][: 2 + 2 * (i % 2)]) for _ in range(80)), "z") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i, _, _ in data[::2]] + [(data[0][0], 0, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    trusted = {i for i, _, _ in data[::2] if i % 3 > 0 and i % 7 != 0}
+    m, smooth = 256, 8.0
+    grams = {}
+    for i, t, _ in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        grams[i] = [h & (m - 1) for h in one] + [xxhash.xxh64_intdigest(w[j + 1].encode(), h) & (m - 1) for j, h in enumerate(one[:-1])]
+    raw, target = Counter(b for g in grams.values() for b in g), Counter(b for i in trusted for b in grams[i])
+    n, t = sum(raw.values()), sum(target.values())
+    model = {b: float(np.log((target[b] + smooth) / (raw[b] * t / n + smooth))) for b in raw}
+    got = {x.doc_id: x for x in quality.judge(table(spark, data), labels, buckets=m, threshold=0.0).collect()}
+    assert len(got) == len(data)
+    for i, g in grams.items():
+        want = sum(model[b] for b in g) / len(g) if g else 0.0
+        assert abs(got[i].llr - want) < 1e-9 and got[i].kept == (not got[i].base_failed and got[i].llr >= 0.0)
+    assert len({x.kept for x in got.values() if not x.base_failed}) == 2
+
+
+def test_shards_match_brute_force(spark, rows):
+    """Sizes, checksums, whole groups, gapless slots and even bytes, with ties, repeated rows, a hot group and a long text."""
+    import zlib
+
+    data = [*rows, *((5000 + i, "one text many times", "b") for i in range(400)), *((7000 + i, "x" * (3 * i % 200), "c") for i in range(600))]
+    got = sharding.shard_documents(table(spark, data), 4).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in data)
+    assert Counter((x.doc_id, x.size, x.text_crc32) for x in got) == want
+    loads, n = Counter(), Counter()
+    for x in got:
+        loads[x.shard] += x.size
+        n[x.shard] += 1
+    assert all(sorted(x.slot for x in got if x.shard == k) == list(range(n[k])) for k in range(4))
+    texts = {}
+    for i, t, _ in data:
+        texts.setdefault((i, zlib.crc32((t or "").encode())), t or "")
+    homes = {}
+    for x in got:
+        homes.setdefault(texts[x.doc_id, x.text_crc32], set()).add(x.shard)
+    share = sum(loads.values()) / 4
+    sizes = Counter()
+    for _, t, _ in data:
+        sizes[t or ""] += len((t or "").encode()) + 1
+    copies = Counter(t or "" for _, t, _ in data)
+    # only a group above a shard's share of bytes or rows is split
+    assert all(len(s) == 1 for t, s in homes.items() if sizes[t] <= share and copies[t] <= len(data) / 4)
+    big = max(len(t.encode()) + 1 for t in sizes)
+    assert max(loads.values()) - min(loads.values()) <= max(big, 0.02 * share)
+
+
+def test_toxicity_matches_brute_force(spark, rows):
+    """Scores are sums of one shared weight vector under ordered cuts, whole texts, rows alike; ties and odd rows included."""
+    r = random.Random(8)
+    word = lambda bad: r.choice(["grumbo", "snarfed", "blight"]) if bad else r.choice(["sun", "moon", "tree", "road", "stone"])
+    data = [(i, " ".join(word(i % 3 == 0 and r.random() < 0.1 + 0.2 * (i % 4)) for _ in range(30)), "a") for i in range(300)]
+    data += [(900, None, "a"), (901, "", "a"), (902, "calm " * 60_000 + "grumbo snarfed blight", "a"), (3, data[3][1], "a"), (None, data[3][1], "b")]
+    docs = table(spark, data)
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id bigint, quality int, toxic int"))
+    assert list(model.cuts) == sorted(model.cuts) and len(model.cuts) == 3
+    want = []
+    for i, t, _ in data:
+        score = sum(model.word(w) for w in sorted(set(toxicity.document_words(t))))
+        p = [1 / (1 + np.exp(min(40, max(-40, c - score)))) for c in model.cuts]
+        assert p == sorted(p, reverse=True)
+        want.append((i, round(float(sum(p)), 4), round(float(p[0]), 4)))
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert sorted(map(repr, want)) == sorted(repr((x.doc_id, round(x.severity, 4), round(x.p_toxic, 4))) for x in got)
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_encoded_documents(spark, rows):
+    """Every row with its digests, nulls and repeated rows too, whatever other columns are called; an empty table is fine."""
+    P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.ByteBPE(path, P.PATTERN).ranks, special_tokens={})
+    want = []
+    for i, t, _ in rows:
+        ids = np.array(enc.encode_ordinary(t or ""), "<u4")
+        want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = byte_bpe.encode_documents(table(spark, rows), path, P.PATTERN)
+    assert sorted(map(repr, want)) == sorted(repr((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256)) for x in got.collect())
+    assert byte_bpe.encode_documents(table(spark, []), path, P.PATTERN).count() == 0
