@@ -94,3 +94,9 @@ def test_documents_match_python(spark):
         return "\n\n".join(p for k, p in enumerate(parts) if not (k and len(p) >= 20 and p == parts[k - 1]))
 
     assert digests(spark, "text_normalized") == {i: hashed(normalized(t)) for i, t in docs.items()}
+
+
+def test_reflow(spark):
+    from scriptorium.plans.reflow import reflowed
+
+    check(spark, reflowed, {"The line is\nwrapped here.\nNext one\nbegins.\n\nend": "The line is wrapped here.\nNext one\nbegins.\nend", "one long line\n  indented next": "one long line\nindented next", "ends here.\nand goes on": "ends here. and goes on", "": "", "\n \n": ""})
