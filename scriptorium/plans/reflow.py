@@ -1,4 +1,4 @@
-"""Plain texts re-flowed: hard-wrapped lines to paragraphs."""
+"""Plain texts re-flowed, and nested outputs flattened and scanned for keys that they must not have."""
 
 from __future__ import annotations
 
@@ -56,3 +56,48 @@ def text_reflowed(spark, sf_dir: str) -> DataFrame:
     n = F.length("t")
     quality = F.when(n == 0, 0).when(n < 100, 5).otherwise(10) * F.when(F.contains("t", F.lit("�")), 9).otherwise(10) / F.lit(100.0)
     return d.select("doc_id", "n_lines", n.cast("long").alias("n_chars"), F.sha2(F.encode("t", "UTF-8"), 256).alias("digest"), quality.alias("quality"))
+
+
+#: Parts of keys that research outputs must not have, and the sections that they must.
+DISALLOWED, REQUIRED = ("engine_suggestion", "chunk_size", "override", "rewrite", "auto_fix"), ("raw", "analysis")
+#: Levels of nesting that are flattened; what lies deeper stays whole.
+DEPTH = 4
+
+
+def flattened(df: DataFrame, key: str, doc: str, depth: int = DEPTH) -> DataFrame:
+    """key, path and value of each setting of a JSON object, those of inner objects under dotted paths, inner objects too."""
+    level = df.select(key, F.lit("").alias("_at"), F.col(doc).alias("_doc"))
+    found = None
+    for _ in range(depth):
+        pairs = level.select(key, "_at", F.explode(F.from_json("_doc", "map<string,string>")).alias("_k", "value"))
+        level = pairs.select(key, F.concat("_at", "_k").alias("path"), "value")
+        found = level if found is None else found.unionByName(level)
+        level = level.where(F.startswith("value", F.lit("{"))).select(key, F.concat("path", F.lit(".")).alias("_at"), F.col("value").alias("_doc"))
+    return found
+
+
+_OUTPUTS = """
+SELECT event_id, '{' || CASE WHEN event_id % 5 = 0 THEN '' ELSE '"raw": {"value": ' || (event_id % 10) || ', "' || ['note', 'Engine_Suggestion', 'size', 'auto_fixes'][event_id % 4 + 1] || '": {"deep": {"' || CASE WHEN event_id % 9 = 0 THEN 'my_override' ELSE 'plain' END || '": 1}}}, ' END || '"analysis": {"phase": "' || event_type || '"}}' AS doc FROM events
+"""
+
+
+@query("B26", "N11", sql=f"""
+WITH o AS ({_OUTPUTS}), t AS (SELECT o.event_id, replace(j.fullkey, '$.', '') AS path, lower(j.key) AS k FROM o, json_tree(o.doc) AS j WHERE j.key IS NOT NULL),
+g AS (SELECT event_id, count(*) AS n_settings, string_agg(path, ',' ORDER BY path) AS paths, coalesce(string_agg(path, ',' ORDER BY path) FILTER ({" OR ".join(f"contains(k, '{d}')" for d in DISALLOWED)}), '') AS blocked, bool_or(path = 'raw') AS raw, bool_or(path = 'analysis') AS analysis FROM t GROUP BY event_id)
+SELECT event_id, n_settings, paths, blocked, concat_ws(',', CASE WHEN NOT analysis THEN 'analysis' END, CASE WHEN NOT raw THEN 'raw' END) AS missing, blocked = '' AND raw AND analysis AS valid FROM g
+""")
+def output_keys(spark, sf_dir: str) -> DataFrame:
+    """The settings of nested outputs by their dotted paths, keys that hold a disallowed part, and sections that are missing."""
+    k = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, ("note", "Engine_Suggestion", "size", "auto_fixes"))), (k % 4 + 1).cast("int"))
+    raw = F.concat(F.lit('"raw": {"value": '), (k % 10).cast("string"), F.lit(', "'), name, F.lit('": {"deep": {"'), F.when(k % 9 == 0, "my_override").otherwise("plain"), F.lit('": 1}}}, '))
+    doc = F.concat(F.lit("{"), F.when(k % 5 == 0, "").otherwise(raw), F.lit('"analysis": {"phase": "'), "event_type", F.lit('"}}'))
+    t = flattened(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "event_id", "doc")
+    last = F.lower(F.substring_index("path", ".", -1))
+    bad = F.lit(False)
+    for d in DISALLOWED:
+        bad = bad | F.contains(last, F.lit(d))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    g = t.groupBy("event_id").agg(F.count("*").alias("n_settings"), joined("path").alias("paths"), joined(F.when(bad, F.col("path"))).alias("blocked"), *(F.bool_or(F.col("path") == r).alias(r) for r in REQUIRED))
+    missing = F.concat_ws(",", F.when(~F.col("analysis"), "analysis"), F.when(~F.col("raw"), "raw"))
+    return g.select("event_id", "n_settings", "paths", "blocked", missing.alias("missing"), ((F.col("blocked") == "") & F.col("raw") & F.col("analysis")).alias("valid"))
