@@ -158,8 +158,8 @@ SELECT user_id, phase, now, now > 1 AS regressed, before = 0 AS is_new FROM c WH
 def anomaly_clusters(spark, sf_dir: str) -> DataFrame:
     """Failures of the last day by label, and those that earlier days lack."""
     e = policy_events(spark, sf_dir)
-    last = e.agg(F.max("day").alias("last"))  # one row
-    c = e.where("failed").join(F.broadcast(last), F.lit(True)).groupBy("user_id", "phase").agg(F.count_if(F.col("day") == F.col("last")).alias("now"), F.count_if(F.col("day") < F.col("last")).alias("before"))
+    f = e.where("failed").withColumn("last", e.agg(F.max("day")).scalar())
+    c = f.groupBy("user_id", "phase").agg(F.count_if(F.col("day") == F.col("last")).alias("now"), F.count_if(F.col("day") < F.col("last")).alias("before"))
     return c.where("now > 0").select("user_id", "phase", "now", (F.col("now") > 1).alias("regressed"), (F.col("before") == 0).alias("is_new"))
 
 
