@@ -11,6 +11,8 @@ from scriptorium.llm.common import table
 #: The template's marks, and other models' marks that a text may not bring in unescaped either.
 TURN, SEP, END = "<|turn|>", "<|says|>", "<|end|>"
 CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])"
+#: Stands between neighbouring text parts, so that their ends cannot make a control string; no escaped text holds it.
+BETWEEN = "\\."
 #: A placeholder as the visitor writes it; escaped texts hold none.
 PLACEHOLDER = r"<\|(image|audio|document)_([0-9]+)\|>"
 #: A text part, or an attachment: pixels for an image, seconds for audio, pages for a document.
@@ -25,16 +27,19 @@ def escape(text) -> F.Column:
 
 
 def unescape(text) -> F.Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """Undoes :func:`escape` and drops what stands between text parts."""
+    return F.regexp_replace(text, r"(?s)\\(?:\.|(.))", "$1")
 
 
 def visit(parts: str, first: str) -> F.Column:
     """Flattens typed parts in their order: texts escaped, each attachment as ``<|kind_n|>``, n counting from ``first``
-    over the whole conversation. An unknown kind is treated as a text."""
+    over the whole conversation. An unknown kind is treated as a text. A text part that follows another one is set off."""
     nth = f"{first} + size(filter(slice({parts}, 1, i + 1), y -> coalesce(y.kind, 'text') in ('image', 'audio', 'document'))) - 1"
     placeholder = F.expr(f"transform({parts}, (x, i) -> concat('<|', x.kind, '_', cast({nth} as string), '|>'))")
-    texts = F.transform(F.col(parts), lambda x: escape(F.coalesce(x["text"], F.lit(""))))
-    return F.array_join(F.transform(F.arrays_zip(F.col(parts).alias("p"), texts.alias("t"), placeholder.alias("h")), lambda z: F.when(F.coalesce(z["p"]["kind"], F.lit("text")).isin("image", "audio", "document"), z["h"]).otherwise(z["t"])), "")
+    media = lambda x: F.coalesce(x["kind"], F.lit("text")).isin("image", "audio", "document")
+    after_text = lambda i: (i > 0) & ~media(F.get(F.col(parts), i - 1))
+    texts = F.transform(F.col(parts), lambda x, i: F.concat(F.when(after_text(i), BETWEEN).otherwise(""), escape(F.coalesce(x["text"], F.lit("")))))
+    return F.array_join(F.transform(F.arrays_zip(F.col(parts).alias("p"), texts.alias("t"), placeholder.alias("h")), lambda z: F.when(media(z["p"]), z["h"]).otherwise(z["t"])), "")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -74,8 +79,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Adds ``turns``: role and text of each turn, unescaped, read from ``formatted`` alone; ``masked``: the unescaped
-    contents under ``loss_spans``, in order; and ``parts``: for each turn its typed parts in order, a text or the kind, number
-    and reference of an attachment. A placeholder is read before texts are unescaped, so one that a text spells out stays text.
+    contents under ``loss_spans``, in order; and ``parts``: for each turn its typed parts in order, a text (neighbouring text
+    parts as one) or the kind, number and reference of an attachment. A placeholder is read before texts are unescaped, so one that a text spells out stays text.
     """
     pieces = F.expr("slice(_cut, 2, size(_cut))")
     content = lambda s: F.substring_index(F.substring_index(s, SEP, -1), END, 1)
@@ -88,7 +93,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         n = F.regexp_extract(mark, PLACEHOLDER, 2).cast("int")
         ref = F.get(F.filter("attachments", lambda a: a["n"] == n), F.lit(0))["ref"]
         media = F.when(mark.isNotNull(), part(F.regexp_extract(mark, PLACEHOLDER, 1), none("string"), n, ref))
-        said = F.when(text != "", part(F.lit("text"), unescape(text), none("int"), none("string")))
+        said = F.when(unescape(text) != "", part(F.lit("text"), unescape(text), none("int"), none("string")))
         return F.array_compact(F.array(said, media))
 
     read = lambda s: F.flatten(F.zip_with(F.split(content(s), PLACEHOLDER, -1), F.regexp_extract_all(content(s), F.lit(PLACEHOLDER), 0), typed))
