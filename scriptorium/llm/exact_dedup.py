@@ -142,15 +142,16 @@ def _mismatched(docs: DataFrame, shared: DataFrame, chunk: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, prime: int = PRIME, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: one row for each text, even where ids repeat.
+    """The rows of ``docs`` that stay, with their own columns, whatever their names: one row for each text, even where ids repeat.
 
-    Rows of one id and raw text are alike but for their other columns; where such stay, one of them does."""
+    Rows of one id and raw text are alike but for their other columns; where such stay, one of them does. An empty table
+    gives an empty result."""
     kept = F.col("row_key") == F.col("_best.row_key")
     keep = _groups(docs, prime, chunk).groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_raw")).agg(F.max(kept).alias("_kept"), F.count("*").alias("_rows")).where("_kept")
-    met = docs.withColumn("_t", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_raw")))
-    plain = docs.columns
-    again = met.where("_rows > 1").groupBy("_id", "_raw").agg(F.first(F.struct(*plain)).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in plain))
-    return met.where("_rows = 1").select(*plain).unionByName(again)
+    carried = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_t"))
+    met = carried.join(keep, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_raw")))
+    again = met.where("_rows > 1").groupBy("_id", "_raw").agg(F.first("_row").alias("_row")).select("_row")
+    return met.where("_rows = 1").select("_row").unionByName(again).select("_row.*")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,8 +64,8 @@ def deal(draws: list[list[tuple[int, int]]], n_shards: int, seed: int = 42) -> d
     return out
 
 
-def _hashed(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed)))
+def _hash(seed: int) -> F.Column:
+    return F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h")
 
 
 def plan_mix(rows: DataFrame, weights=WEIGHTS, times: int = MAX_TIMES, n_shards: int = 16, blocks: int = BLOCKS, seed: int = 42):
@@ -127,24 +127,25 @@ def mix(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
     repeated rows are drawn alike; a row without words goes with its block. Other columns are not read. An empty table
     gives an empty result. The number of sources is bounded by what the driver can list.
     """
-    rows = materialize(_hashed(docs, seed).select("doc_id", "source", n_words(F.col("text")).alias("size"), "_h"), "mix-rows")
+    rows = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed)), "mix-rows")
     out = plan_mix(rows, seed=seed, **how)(rows)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, n_shards: int = 16, **how) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it was drawn, a shard after another and shuffled within one.
+    """The mix itself: rows of ``docs`` with all their columns, whatever their names, each as often as it was drawn, a shard
+    after another and shuffled within one. An empty table gives an empty result.
 
     Texts move once, each to the partition that holds its shard's range of places; a shard has as many partitions as its
     words need, so no task gets a whole shard of a large mix."""
-    rows = materialize(_hashed(docs, seed).select("source", n_words(F.col("text")).alias("size"), "_h"), "mix-rows")
+    rows = materialize(docs.select("source", n_words(F.col("text")).alias("size"), _hash(seed)), "mix-rows")
     words = rows.agg(F.sum("size")).first()[0] or 0
     ranges = max(1, -(-words // (n_shards * PART_WORDS)), -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_shards))
-    drawn = plan_mix(rows, seed=seed, n_shards=n_shards, **how)(_hashed(docs, seed))
-    copies = drawn.select(*docs.columns, F.explode("copies").alias("_c"))
+    drawn = plan_mix(rows, seed=seed, n_shards=n_shards, **how)(docs.select(F.struct("*").alias("_row"), "source", _hash(seed)))
+    copies = drawn.select("_row", F.explode("copies").alias("_c"))
     # a place is a uniform 64-bit hash; its upper 31 bits pick the range
     part = F.col("_c.shard") * ranges + F.shiftrightunsigned(F.shiftrightunsigned("_c.place", 33) * ranges, 31).cast("int")
-    return copies.repartitionById(n_shards * ranges, part).sortWithinPartitions("_c.shard", F.shiftrightunsigned("_c.place", 1), "_c.place").drop("_c")
+    return copies.repartitionById(n_shards * ranges, part).sortWithinPartitions("_c.shard", F.shiftrightunsigned("_c.place", 1), "_c.place").select("_row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -438,14 +438,16 @@ def ngram_components(docs: DataFrame, size: int = 5, count_links: bool = False,
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` without the rows of a component other than its first one's: that of the least doc_id, nulls last, and of
-    several texts under it the one of the least hash. Rows of no set stay, and repetitions of a row that stays."""
+    several texts under it the one of the least hash. Rows of no set stay, and repetitions of a row that stays. Other columns,
+    whatever their names, stay as they are; an empty table gives an empty result."""
     rows, classes, label, sets = _classified(docs, size)
     discard(sets)
     first = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "t")
     least = rows.where("key is not null").groupBy("key").agg(F.min(first).alias("_first"))
     stay = least.join(label, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("_first").alias("_first")).select("_first.doc_id", "_first.t")
     stay = stay.union(rows.where("key is null").select("doc_id", "t")).distinct().toDF("_id", "_t")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
+    carried = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    return carried.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t")), "left_semi").select("_row.*")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
