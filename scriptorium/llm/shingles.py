@@ -38,6 +38,24 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+_places: list[np.ndarray] = [np.zeros(0, np.uint64)]
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased: the sum of its bytes' numbers times a number of its own for each place
+    in the word. Places' numbers are unrelated, so words that powers of one base cannot tell apart differ here."""
+    lens = stop - start
+    most = int(lens.max(initial=0))
+    if len(_places[0]) < most:
+        _places[0] = mixed(np.arange(1, max(most, 1 << 12) + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    place = np.arange(len(buf))
+    place -= np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(buf)]])))
+    np.minimum(place, max(0, most - 1), out=place)  # white space behind a word counts for none
+    np.cumsum(_BYTE[_LOW[buf]] * _places[0][place] if most else _BYTE[buf], out=total[1:])
+    return mixed(total[stop] - total[start])
+
+
 def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, hashes): text i's distinct shingles are ``hashes[bounds[i]:bounds[i + 1]]``, rising.
 
@@ -50,10 +68,7 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndar
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     start, stop = edge[0::2], edge[1::2]
-    up, down = _tables(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOW[buf]] * up[: len(buf)], out=total[1:])
-    word = mixed((total[stop] - total[start]) * down[start])
+    word = word_hashes(buf, start, stop)
     ends = np.cumsum(lens)
     at = np.searchsorted(start, ends)  # words before the end of each text
     first = np.concatenate([[0], at[:-1]]) if n else at

@@ -78,7 +78,8 @@ def runs_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     """(anchor, run, start, end) of a text's runs of windows with one anchor.
 
     A window of ``length`` bytes holds its strings of half that length; the one with the least hash, the leftmost of
-    equals, is its anchor. Equal windows have equal anchors at equal places. ``run`` is a hash of the run's bytes.
+    equals, is its anchor. Equal windows have equal anchors at equal places. ``run`` is a BLAKE2b hash of the run's bytes: runs
+    are taken as equal where anchor and hash agree, 128 bits in all, of which a power series gives only the first 64.
     """
     half = max(1, length // 2)
     w = length - half + 1
@@ -96,8 +97,9 @@ def runs_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
         at = (sliding_least((gram & ~low) | np.arange(n, dtype=np.uint64), w) & low).astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         end = np.concatenate([begin[1:], [len(at)]]) + length - 1
-        whole = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
-        found.append((gram[at[begin]].view(np.int64), whole.view(np.int64), begin + lo, end + lo))
+        raw = buf.tobytes()
+        whole = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64)
+        found.append((gram[at[begin]].view(np.int64), whole, begin + lo, end + lo))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 

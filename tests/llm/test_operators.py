@@ -398,3 +398,69 @@ def test_encoded_documents(spark, rows):
     got = byte_bpe.encode_documents(table(spark, rows), path, P.PATTERN)
     assert sorted(map(repr, want)) == sorted(repr((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256)) for x in got.collect())
     assert byte_bpe.encode_documents(table(spark, []), path, P.PATTERN).count() == 0
+
+
+CLASHING = {n: "x" for n in ("_t", "_id", "_raw", "_kept", "_rows", "_row", "_h", "_s", "_b", "_c", "_name", "_per", "_doc", "_hash", "_th", "_w", "_x", "copies", "target", "source_size", "size", "taken", "place", "n", "key", "label", "kept", "text_hash", "llr", "row_key", "group_size")}
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.exact_dedup, ngram_join.one_of_each, mixing.mixed_documents, lambda d: quality.quality_rules(d, d.sparkSession.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int"))])
+def test_stages_carry_any_column(spark, stage):
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in CLASHING)
+    rows = [(i, f"the words of text {i} " + " ".join(f"w{i}x{k}" for k in range(80)), "a") for i in range(12)] + [(1, None, "a"), (None, "", None)]
+    docs = spark.createDataFrame([(*r, *CLASHING.values()) for r in rows], schema)
+    got = stage(docs)
+    assert got.columns == docs.columns
+    plain = stage(docs.select("doc_id", "text", "source"))
+    found = got.collect()
+    assert sorted(repr(r[:3]) for r in found) == sorted(repr(tuple(r)) for r in plain.collect()) and len(found) > 5
+    assert all(tuple(r[3:]) == tuple(CLASHING.values()) for r in found)
+    none = stage(docs.limit(0))
+    assert none.columns == docs.columns and none.count() == 0
+
+
+def test_words_that_a_power_series_confuses(spark):
+    """Thue-Morse words and their complements agree under every polynomial modulo 2**64."""
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        rows += [(2 * k, "".join("ab"[b] for b in bits)), (2 * k + 1, "".join("ba"[b] for b in bits))]
+    bounds, values = shingles.shingle_sets([t.encode() for _, t in rows])
+    assert len(set(values.tolist())) == len(rows) == bounds[-1]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), count_links=True).collect()
+    assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got)
+    text = [t for _, t in rows if len(t) == 1024]
+    m, k, s, e = suffix_dedup.runs_of(text[0].encode(), 1024)
+    n, j, _, _ = suffix_dedup.runs_of(text[1].encode(), 1024)
+    assert not {*zip(m.tolist(), k.tolist(), strict=True)} & {*zip(n.tolist(), j.tolist(), strict=True)}
+
+
+def test_control_strings_split_over_parts(spark):
+    r = random.Random(8)
+    bits = ["<|turn|>", "<|says|>", "<|end|>", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<|image_0|>", "\\", "\\.", ".", "<", "[", "hi"]
+    part = lambda kind, text: (kind, text, "r", 28, 28, None, None)
+    want, rows = {}, []
+    for c in range(120):
+        turns = []
+        for t in range(r.choice([1, 2, 3])):
+            whole = "".join(r.choice(bits) for _ in range(r.choice([0, 1, 2, 5])))
+            cut = sorted(r.choice(range(len(whole) + 1)) for _ in range(r.choice([0, 1, 2, 6])))
+            said = [part("text", whole[a:b]) for a, b in zip([0, *cut], [*cut, len(whole)], strict=True)]
+            if r.random() < 0.3:
+                said.insert(r.randrange(len(said) + 1), part("image", None))
+            role = r.choice(["user", "assistant"])
+            rows.append((c, t, role, said))
+            flat = []
+            for kind, text, *_ in said:
+                if kind == "text" and flat and flat[-1][0] == "text":
+                    flat[-1] = ("text", flat[-1][1] + text)
+                elif kind != "text" or text:
+                    flat.append((kind, text))
+            turns.append((role, [x for x in flat if x[1] != ""]))
+        want[c] = turns
+    frame = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {chat_format.PARTS}")
+    got = chat_format.read_back(chat_format.format_conversations(frame)).collect()
+    assert len(got) == len(want)
+    for row in got:
+        assert [t["role"] for t in row["turns"]] == [role for role, _ in want[row["conv_id"]]]
+        assert [[(x["kind"], x["text"]) for x in p] for p in row["parts"]] == [parts for _, parts in want[row["conv_id"]]]
+        assert not re.search(r"\[/?INST\]|</?s>|<</?SYS>>", row["formatted"])
