@@ -16,7 +16,7 @@ from scriptorium.llm.common import table
 #: Pre-tokens of the broadcast table, and the longest that it or a worker's cache holds: at most 8 MB in all.
 FREQUENT, LONGEST = 65_536, 32
 #: Texts from which they are chosen, and the longest of these, in characters. They change the speed, not a count.
-SAMPLE, SAMPLE_CHARS = 1_000, 65_536
+SAMPLE, SAMPLE_CHARS = 1_000, 32_768
 #: Entries of a worker's cache; it starts anew when full.
 CACHE = 300_000
 #: Fixed value: the pre-tokens of byte-level vocabularies of this kind. It is applied to Latin pieces alone, where every
@@ -108,21 +108,16 @@ def counter(path: str, frequent: dict[str, int] | None = None) -> TokenCounter:
 def frequent_lengths(docs: DataFrame, path: str, size: int = FREQUENT) -> dict[str, int]:
     """Numbers of tokens of the sample's most frequent pre-tokens that follow a space, without that space.
 
-    The sample is one task's: at most SAMPLE texts of up to SAMPLE_CHARS characters. Its ``size`` pre-tokens reach the driver.
+    The sample is read from the table's first files until it has SAMPLE texts of up to SAMPLE_CHARS characters; it and its
+    ``size`` pre-tokens are what the driver holds.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = counter(path), Counter()
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                if tokens.cuts:
-                    seen.update(text[i + 1 : j] for _, (i, j) in tokens.library.pre_tokenizer.pre_tokenize_str(text) if text[i] == " " and 1 < j - i <= LONGEST)
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]
-        top = [w for w, _ in top if w.strip() and not any(s in w for s in tokens.special)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([tokens.encoded(" " + w) for w in top], pa.int32())], names=["word", "n"])
-
-    sample = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("text").limit(SAMPLE)
-    return dict(map(tuple, sample.mapInArrow(run, "word string, n int").collect()))
+    tokens, seen = counter(path), Counter()
+    if not tokens.cuts:
+        return {}
+    for (text,) in docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("text").limit(SAMPLE).collect():
+        seen.update(text[i + 1 : j] for _, (i, j) in tokens.library.pre_tokenizer.pre_tokenize_str(text) if text[i] == " " and 1 < j - i <= LONGEST)
+    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]
+    return {w: tokens.encoded(" " + w) for w, _ in top if w.strip() and not any(s in w for s in tokens.special)}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, size: int = FREQUENT) -> DataFrame:
