@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.catalog import query
+from scriptorium.operators.machines import ClampedSum, Lockout, states
 from scriptorium.plans.telemetry import _EVENTS, policy_events
+from scriptorium.sources.tables import table
 
 #: How many of the latest events or runs count as recent.
 ROLLING, RECENT_FLAGGED, LAST_RUNS = 40, 20, 10
@@ -198,18 +200,22 @@ def karaoke_durations(spark, sf_dir: str) -> DataFrame:
 
 
 @query("E5", sql=f"""
-WITH h AS (SELECT user_id, day, phase, engine, bool_or(failed AND fallback >= .9) AS hallucination FROM ({_EVENTS}) GROUP BY ALL)
-SELECT r.user_id, CAST(r.day AS VARCHAR) AS day, r.phase, r.engine, round(1 - CASE WHEN r.failed THEN 1.5 ELSE 0 END - .5 * coalesce(r.fallback, 0) - greatest(0, (coalesce(r.rtf, 0) - 2) * .1) - CASE WHEN h.hallucination THEN .3 ELSE 0 END, 6) AS reward
-FROM ({_RUNS}) AS r JOIN h ON r.user_id = h.user_id AND r.day = h.day AND r.phase = h.phase AND r.engine = h.engine
+WITH r AS (SELECT user_id, day, phase, engine, bool_or(failed) AS failed, bool_or(failed AND fallback >= .9) AS hallucination, CAST(sum(CAST(round(fallback * 100) AS BIGINT)) AS BIGINT) AS f, count(fallback) AS nf,
+  CAST(sum(CAST(round(duration_ms * 100) AS BIGINT)) AS BIGINT) AS d, count(duration_ms) AS nd FROM ({_EVENTS}) GROUP BY ALL)
+SELECT user_id, CAST(day AS VARCHAR) AS day, phase, engine, (1000000 - CASE WHEN failed THEN 1500000 ELSE 0 END - coalesce(5000 * f // nf, 0) - greatest(0, coalesce(20 * d // nd, 0) - 200000) - CASE WHEN hallucination THEN 300000 ELSE 0 END) / CAST(1000000 AS DOUBLE) AS reward FROM r
 """)
 def run_reward(spark, sf_dir: str) -> DataFrame:
     """Reward of a run by its failure, fallback rate, slowness beyond a factor of two, and hallucination, for which a failed
-    event of a fallback rate of .9 or more stands."""
-    keys = ["user_id", "day", "phase", "engine"]
-    h = policy_events(spark, sf_dir).groupBy(keys).agg(F.bool_or(F.col("failed") & (F.col("fallback") >= 0.9)).alias("hallucination"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    reward = 1 - F.when(F.col("failed"), 1.5).otherwise(0.0) - 0.5 * zero("fallback") - F.greatest(F.lit(0.0), (zero("rtf") - 2) * 0.1) - F.when(F.col("hallucination"), 0.3).otherwise(0.0)
-    return _day(runs(spark, sf_dir).join(h, keys)).select("user_id", "day", "phase", "engine", F.round(reward, 6).alias("reward"))
+    event of a fallback rate of .9 or more stands; in whole millionths, so it doesn't depend on the order of additions."""
+    hundredths = lambda c: F.round(F.col(c) * 100).cast("long")
+    r = policy_events(spark, sf_dir).groupBy("user_id", "day", "phase", "engine").agg(
+        F.bool_or("failed").alias("failed"), F.bool_or(F.col("failed") & (F.col("fallback") >= 0.9)).alias("hallucination"),
+        F.sum(hundredths("fallback")).alias("f"), F.count("fallback").alias("nf"), F.sum(hundredths("duration_ms")).alias("d"), F.count("duration_ms").alias("nd"),
+    )
+    if_so = lambda c, n: F.when(F.col(c), n).otherwise(0)
+    fallback, slow = (F.when(F.col(n) > 0, F.expr(f"{k} * {c} div {n}")).otherwise(0) for k, c, n in ((5000, "f", "nf"), (20, "d", "nd")))
+    millionths = 1_000_000 - if_so("failed", 1_500_000) - fallback - F.greatest(F.lit(0), slow - 200_000) - if_so("hallucination", 300_000)
+    return _day(r).select("user_id", "day", "phase", "engine", (millionths / 1e6).alias("reward"))
 
 
 @query(sql=f"""
@@ -238,3 +244,20 @@ def _bands(value: Column, steps, last: str) -> Column:
     for low, name in reversed(steps):
         out = F.when(value >= low, name).otherwise(out)
     return out
+
+
+@query("W12", "W14", sql="""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'error' AS drift, CASE WHEN event_type <> 'signup' THEN greatest(-200, least(200, CAST(round((value - 50) * 100) AS BIGINT))) END AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, 0 AS drifts, 0 AS locked, CAST(0 AS BIGINT) AS delta FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, e.event_id, CASE WHEN f.locked > 0 OR NOT e.drift OR f.drifts = 2 THEN 0 ELSE f.drifts + 1 END, CASE WHEN f.locked > 0 THEN f.locked - 1 WHEN e.drift AND f.drifts = 2 THEN 5 ELSE 0 END,
+    CASE WHEN e.d IS NULL THEN 0 ELSE greatest(-2000, least(2000, f.delta + e.d)) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, event_id, drifts, locked, delta / CAST(100 AS DOUBLE) AS delta FROM f WHERE k > 0
+""")
+def escalation_states(spark, sf_dir: str) -> DataFrame:
+    """The stream's two machines in batch: drifts and what is left of a lockout, and the sum of steps, after each event of a
+    user. A user's events are folded range by range, see ``operators/machines.py``."""
+    lock, total = Lockout(), ClampedSum()
+    amount = F.when(F.col("event_type") != "signup", F.round((F.col("value") - 50) * 100))
+    s = states(table(spark, sf_dir, "events"), "user_id", "event_id", {"lock": (lock, (F.col("event_type") == "error").cast("int")), "total": (total, amount)})
+    free = F.col("lock") < lock.drifts
+    return s.select("user_id", "event_id", F.when(free, F.col("lock")).otherwise(0).cast("int").alias("drifts"), F.when(free, 0).otherwise(F.col("lock") - lock.drifts + 1).cast("int").alias("locked"), (F.col("total") / 100.0).alias("delta"))
