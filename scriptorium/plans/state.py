@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from scriptorium.catalog import query
 from scriptorium.operators.ordered import following
 from scriptorium.sources.tables import table
+from scriptorium.sources.versions import StateConflict, VersionedTable, scratch, upserted
 
 _FORMS = ("pdf", "epub", "docx", "txt")
 
@@ -229,3 +232,28 @@ def tier_two_rule(spark, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id")
     i, n = F.row_number().over(w.orderBy("turn")), F.count("*").over(w)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ((i <= 1) | (i > n - 1) | ((F.col("conv_id") * 31 + F.col("turn")) % 100 < 5)).alias("sampled"))
+
+
+@query("A6", "A23", "A24", sql="""
+WITH a AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 'success' ELSE 'failed' END) AS status FROM labels GROUP BY doc_id), b AS (SELECT doc_id, length(text) AS size, sha256(coalesce(text, '')) AS sha FROM documents)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN a.status WHEN a.status = 'failed' THEN 'retried' ELSE coalesce(a.status, 'new') END AS status, b.sha, CAST(b.size AS BIGINT) AS size, CAST(2 AS BIGINT) AS version FROM a FULL JOIN b ON a.doc_id = b.doc_id
+""")
+def state_upserts(spark, sf_dir: str) -> DataFrame:
+    """Records of files in a versioned table: the labels are the first version, an upsert of the documents the second; a writer
+    that read the first one then comes too late, is rolled back, and leaves no trace in what is read."""
+    t = VersionedTable(spark, f"{scratch(spark)}/scriptorium-state/{uuid.uuid4().hex}", lambda rows: ["no id"] if rows.where("doc_id is null").limit(1).count() else [])
+    record = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, "success").otherwise("failed")).alias("status"))
+    with t.transaction("phase_1") as first:
+        first.write(record.select("doc_id", "status", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("size")))
+    late = t.transaction("late").__enter__()
+    with t.transaction("phase_2") as second:
+        known = second.rows.select("doc_id", F.col("status").alias("was"))
+        seen = _docs(spark, sf_dir, "doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha"), F.length("text").cast("long").alias("size")).join(known, "doc_id", "left")
+        changes = seen.select("doc_id", F.when(F.col("was") == "failed", "retried").otherwise(F.coalesce("was", F.lit("new"))).alias("status"), "sha", "size", F.lit(0).alias("at"))
+        second.write(upserted(second.rows, changes, ["doc_id"], "at"))
+    late.write(late.rows.limit(0))
+    try:
+        late.__exit__(None, None, None)
+    except StateConflict:
+        pass
+    return t.read().withColumn("version", F.lit(t.version()).cast("long"))
