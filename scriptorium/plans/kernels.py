@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.catalog import query
+from scriptorium.operators.ordered import percentiles
 from scriptorium.sources.tables import table
 
 _SIGNALS = """
@@ -340,8 +341,10 @@ def override_rules(spark, sf_dir: str) -> DataFrame:
     violation = violation.when(field.isin("rewrite_policy", "rewriter.default_policy") & (F.abs("delta") > MOST_REWRITE - 5), "rewrite_policy_delta_exceeds_bounds")
     allowed = F.when(field == ALLOWED[0], F.coalesce(F.col("delta").between(-10, 10), F.lit(False))).when(field == ALLOWED[1], F.col("engine").isin("xtts", "kokoro")).otherwise(field.isin(*ALLOWED[2:]))
     counted = field.isin(*BUDGETED)
-    w = Window.partitionBy("user_id", "day").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return overrides(spark, sf_dir).select("event_id", violation.alias("violation"), allowed.alias("allowed"), (counted & (F.sum(counted.cast("int")).over(w) <= MOST_OVERRIDES)).alias("in_budget"))
+    o = overrides(spark, sf_dir)
+    first = F.row_number().over(Window.partitionBy("user_id", "day").orderBy("event_id"))
+    passed = o.where(counted).select("event_id", first.alias("k")).where(F.col("k") <= MOST_OVERRIDES).select("event_id", F.lit(True).alias("in_budget"))
+    return o.join(passed, "event_id", "left").select("event_id", violation.alias("violation"), allowed.alias("allowed"), F.coalesce("in_budget", F.lit(False)).alias("in_budget"))
 
 
 @query("B21", sql="""
@@ -435,18 +438,16 @@ SELECT user_id, engine, n, round(avg_rtf, 6) AS avg_rtf, round(p90_rtf, 6) AS p9
 """)
 def soft_alerts(spark, sf_dir: str) -> DataFrame:
     """Real-time factors with their percentiles, the latest forty and twenty events' alerts, and advice on the voice. The
-    limits of factors suit the events (1 and 1.5 in place of 4 and of 600 s). Ranks are counted by Spark's window-group limit."""
+    limits of factors suit the events (1 and 1.5 in place of 4 and of 600 s). The latest events come from a limited rank, the
+    percentiles range by range, so no user's events are sorted or held in one task."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") == "error").alias("failed"), F.round(F.col("value") * 100).cast("long").alias("cents"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    e = e.withColumn("back", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))))
-    late = lambda c, k: F.when(F.col("back") <= k, F.col(c))
-    x = F.col("cents") / 5000.0
-    s = e.groupBy("user_id").agg(
-        F.count("*").alias("n"), (F.sum("cents") / 5000.0 / F.count("*")).alias("avg_rtf"), F.percentile(x, F.array(F.lit(0.9), F.lit(0.99))).alias("p"), (F.sum(late("cents", 40)) / 5000.0 / F.count(late("cents", 40))).alias("recent_rtf"),
-        (F.sum(late("k", 40)) / 100.0 / F.count(late("k", 40))).alias("recent_fallback"), F.count_if(F.col("failed") & (F.col("back") <= 20)).alias("h"), F.count_if("failed").alias("failures"),
-    )
+    late = e.withColumn("back", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).where("back <= 40")
+    recent = late.groupBy("user_id").agg((F.sum("cents") / 5000.0 / F.count("cents")).alias("recent_rtf"), (F.sum("k") / 100.0 / F.count("k")).alias("recent_fallback"), F.count_if(F.col("failed") & (F.col("back") <= 20)).alias("h"))
+    p = percentiles(e.withColumn("rtf", F.col("cents") / 5000.0), "user_id", "rtf", {"p90": 0.9, "p99": 0.99})
+    s = e.groupBy("user_id").agg(F.count("*").alias("n"), (F.sum("cents") / 5000.0 / F.count("*")).alias("avg_rtf"), F.count_if("failed").alias("failures")).join(recent, "user_id").join(p, "user_id")
     alerts = listed(rt_factor_alert=F.col("recent_rtf") > 1, fallback_alert=F.col("recent_fallback") > 0.25, hallucination_watch=F.col("h") > 0, phase_duration_watch=F.col("recent_rtf") > 1.5)
     r6 = lambda c, name: F.round(c, 6).alias(name)
-    return s.select("user_id", F.when(F.col("user_id") % 2 == 0, "xtts").otherwise("kokoro").alias("engine"), "n", r6(F.col("avg_rtf"), "avg_rtf"), r6(F.col("p")[0], "p90_rtf"), r6(F.col("p")[1], "p99_rtf"), r6(F.col("recent_rtf"), "recent_rtf"), alerts.alias("alerts"), F.when(F.col("failures") >= 2, "switch_voice_variant").alias("voice_advice"))
+    return s.select("user_id", F.when(F.col("user_id") % 2 == 0, "xtts").otherwise("kokoro").alias("engine"), "n", r6(F.col("avg_rtf"), "avg_rtf"), r6(F.col("p90"), "p90_rtf"), r6(F.col("p99"), "p99_rtf"), r6(F.col("recent_rtf"), "recent_rtf"), alerts.alias("alerts"), F.when(F.col("failures") >= 2, "switch_voice_variant").alias("voice_advice"))
 
 
 #: The engine factors of the automatic choice and its pace.

@@ -10,6 +10,7 @@ from scriptorium.catalog import query
 from scriptorium.functions import chunks as C
 from scriptorium.functions.scalars import STATUS_ALIASES, STATUSES
 from scriptorium.plans.kernels import _SIGNALS, REVIEW, _dimensions_sql, _listed_sql, dimensions, listed, signals
+from scriptorium.operators.ordered import order_statistics, running_totals
 from scriptorium.sources.tables import table
 
 WS = C.WS
@@ -39,8 +40,8 @@ def log_scan(spark, sf_dir: str) -> DataFrame:
     """Lines that parse, blank and malformed ones skipped, with the sequence and the day's file under which a sink writes them."""
     parsed = F.from_json("line", "event_type string, v bigint, run string")
     j = log_lines(spark, sf_dir).select("event_id", "ts", parsed.alias("j")).where("j.event_type is not null")
-    w = Window.partitionBy(F.to_date("ts")).orderBy("event_id")
-    return j.select("event_id", "j.event_type", "j.v", F.col("j.run").alias("run_id"), F.row_number().over(w).cast("long").alias("sequence"), F.concat(F.date_format("ts", "yyyyMMdd"), F.lit(".log")).alias("file"))
+    j = running_totals(j.withColumns({"day": F.to_date("ts"), "one": F.lit(1)}), "day", "event_id", "one")
+    return j.select("event_id", "j.event_type", "j.v", F.col("j.run").alias("run_id"), F.col("upto").cast("long").alias("sequence"), F.concat(F.date_format("ts", "yyyyMMdd"), F.lit(".log")).alias("file"))
 
 
 @query("A22", sql="""
@@ -57,9 +58,12 @@ def newest_logs(spark, sf_dir: str) -> DataFrame:
 
 @query("A25", sql="SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 50")
 def old_backups(spark, sf_dir: str) -> DataFrame:
-    """Backups beyond the newest fifty of a state, here a user's events, that rotation deletes."""
+    """Backups beyond the newest fifty of a state, here a user's events, that rotation deletes: those before the fiftieth, which
+    a limited rank finds without sorting a user's others."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", back.alias("back")).where("back > 50").drop("back")
+    last = e.withColumn("back", back).where("back <= 50").where("back = 50").select("user_id", F.struct("ts", "event_id").alias("last"))
+    return e.join(last, "user_id").where(F.struct("ts", "event_id") < F.col("last")).select("user_id", "event_id")
 
 
 @query("A5", sql="SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS duplicate FROM documents")
@@ -261,8 +265,7 @@ def font_headings(spark, sf_dir: str) -> DataFrame:
     size. Sizes of a page's lines are made up."""
     lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n", -1)).alias("i", "x")).select("page_id", (F.col("i") + 1).cast("long").alias("i"), F.trim("x").alias("t")).where("t <> ''")
     f = lines.withColumn("size", (F.col("i") * 7 + F.col("page_id")) % 23 + 8)
-    # sizes are few, so the median comes from counts of each
-    median = f.groupBy("page_id").agg(F.get(F.sort_array(F.collect_list("size")), F.floor(F.count("*") / 2).cast("int")).alias("median"))
+    median = order_statistics(f, "page_id", "size", {"median": F.floor(F.col("n") / 2)}).select("page_id", "median")
     caps, letters = F.regexp_count("t", F.lit("[A-Z]")), F.regexp_count("t", F.lit("[A-Za-z]"))
     named = F.col("t").rlike(r"(?i)(?<![A-Za-z0-9_])(chapter|part|section|book|volume)(?![A-Za-z0-9_])")
     h = f.join(median, "page_id").where((F.col("size") >= F.col("median") + 2) & (F.length("t") < 100) & (named | (caps * 10 > 7 * F.greatest(F.lit(1), letters))))
