@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text", "telemetry", "runs", "rules", "sentences", "audio", "aggregates", "state", "normalize", "kernels", "chunks", "verdicts", "reports", "reflow", "alignments", "clips", "structure")
+FAMILIES = ("text", "telemetry", "runs", "rules", "sentences", "audio", "aggregates", "state", "normalize", "kernels", "chunks", "verdicts", "reports", "reflow", "alignments", "clips", "structure", "checks")
 
 
 def load() -> None:

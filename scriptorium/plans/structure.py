@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.catalog import query
+from scriptorium.functions.text import bound
 from scriptorium.operators.alignment import by_row
 from scriptorium.operators.ordered import running_totals
 from scriptorium.plans.alignments import turn_pairs
@@ -109,20 +110,24 @@ def sample_identity(spark, sf_dir: str) -> DataFrame:
     return turn_pairs(table(spark, sf_dir, "conversations")).select("conv_id", "turn", same(lambda c: F.substring(c, 1, 1000)).alias("beginning"), same(middle).alias("middle"), same(lambda c: F.right(c, F.lit(1000))).alias("ending"))
 
 
-@query("H6", sql=r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents),
+def repetition_sql(name: str) -> str:
+    """Severity, most frequent phrase and sentence, and doubled words of each ``doc_id`` of a relation with ``text``."""
+    return rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM {name}),
 g AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g, count(*) AS n FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 10) GROUP BY ALL) GROUP BY doc_id),
-s AS (SELECT doc_id, max(n) AS same FROM (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: lower(regexp_replace(s, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')))) AS s FROM documents) WHERE length(s) > 20 GROUP BY ALL) GROUP BY doc_id),
+s AS (SELECT doc_id, max(n) AS same FROM (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: lower(regexp_replace(s, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')))) AS s FROM {name}) WHERE length(s) > 20 GROUP BY ALL) GROUP BY doc_id),
 a AS (SELECT doc_id, len(w) AS n, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND length(w[i]) > 2)) AS pairs FROM w)
 SELECT a.doc_id, CASE WHEN n < 10 THEN 'none' WHEN most >= 5 THEN 'high' WHEN most >= 3 OR same >= 2 THEN 'medium' WHEN pairs > 3 THEN 'low' ELSE 'none' END AS severity, CASE WHEN n < 10 THEN 0 ELSE most END AS phrase, CASE WHEN n < 10 THEN 0 ELSE coalesce(same, 0) END AS sentence, CASE WHEN n < 10 THEN 0 ELSE pairs END AS pairs
 FROM a LEFT JOIN g ON a.doc_id = g.doc_id LEFT JOIN s ON a.doc_id = s.doc_id
-""")
-def repetition_severity(spark, sf_dir: str) -> DataFrame:
-    """How badly a text repeats itself: its most frequent three-word phrase (a longer one is no more frequent), its most frequent
-    sentence, and words said twice. Phrases and sentences are compared by 64-bit hashes, sorted within the row."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r\f]+"), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "[.!?]+"), lambda s: F.lower(F.regexp_replace(s, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""))), lambda s: F.length(s) > 20).alias("s"))
-    phrases = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(3))))
+"""
+
+
+def repetition(text) -> F.Column:
+    """How badly a text repeats itself (severity), by its most frequent three-word phrase (a longer one is no more frequent), its
+    most frequent sentence, and words said twice. Phrases and sentences are compared by 64-bit hashes, sorted within the row."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(F.lower(text), r"[ \t\n\r\f]+"), lambda x: x != "")
+    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.lower(F.regexp_replace(s, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""))), lambda s: F.length(s) > 20)
     run = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("most"))
 
     def step(s, x):
@@ -130,12 +135,24 @@ def repetition_severity(spark, sf_dir: str) -> DataFrame:
         return F.struct(x.alias("last"), n.alias("n"), F.greatest(s["most"], n).alias("most"))
 
     most = lambda hashes: F.aggregate(F.array_sort(hashes), run, step, lambda s: s["most"])
-    enough = F.size("w") >= 10
-    zero = lambda c: F.when(enough, c).otherwise(0).cast("long")
-    pairs = F.size(F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: (F.get("w", i) == F.get("w", i + 1)) & (F.length(F.get("w", i)) > 2)))
-    m = d.select("doc_id", enough.alias("enough"), zero(most(phrases)).alias("phrase"), zero(most(F.transform("s", lambda s: F.xxhash64(s)))).alias("sentence"), zero(pairs).alias("pairs"))
-    severity = F.when(~F.col("enough"), "none").when(F.col("phrase") >= 5, "high").when((F.col("phrase") >= 3) | (F.col("sentence") >= 2), "medium").when(F.col("pairs") > 3, "low").otherwise("none")
-    return m.select("doc_id", severity.alias("severity"), "phrase", "sentence", "pairs")
+
+    def measured(w):
+        enough = F.size(w) >= 10
+        zero = lambda c: F.when(enough, c).otherwise(0).cast("long")
+        phrases = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(3))))
+        pairs = F.size(F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: (F.get(w, i) == F.get(w, i + 1)) & (F.length(F.get(w, i)) > 2)))
+        return F.struct(enough.alias("enough"), zero(most(phrases)).alias("phrase"), zero(most(F.transform(sentences, lambda s: F.xxhash64(s)))).alias("sentence"), zero(pairs).alias("pairs"))
+
+    def judged(m):
+        severity = F.when(~m["enough"], "none").when(m["phrase"] >= 5, "high").when((m["phrase"] >= 3) | (m["sentence"] >= 2), "medium").when(m["pairs"] > 3, "low").otherwise("none")
+        return F.struct(severity.alias("severity"), m["phrase"].alias("phrase"), m["sentence"].alias("sentence"), m["pairs"].alias("pairs"))
+
+    return bound(bound(words, measured), judged)
+
+
+@query("H6", sql=repetition_sql("documents"))
+def repetition_severity(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", repetition(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def optional(spark, path: str) -> DataFrame | None:

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def rows(df):
     def plain(x):
         if isinstance(x, float):
-            return None if math.isnan(x) else round(x, 3)
+            return None if math.isnan(x) else round(x, 6)
         return x if x is None or isinstance(x, (bool, int, str)) else str(x)
 
     df = df[sorted(df.columns)]
