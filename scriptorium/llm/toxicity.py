@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table
+from scriptorium.llm.common import discard, materialize, table
 
-#: Most labelled documents that training collects, half of them toxic if there are as many.
+#: Most labelled documents that training reads, half of them toxic if there are as many.
 SAMPLE = 16_000
 #: Feature space, and the lengths of the word beginnings that count beside whole words.
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
@@ -47,49 +47,60 @@ class Model:
         return float(p.sum()), float(p[0])
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray, lift: float = 8.0, epochs: int = 300, rate: float = 0.5, l2: float = 1e-4) -> Model:
-    """Fits the model on sets of feature ids and 0/1 labels.
+def telling(counts: DataFrame, n_toxic: int, n_clean: int, lift: float = 8.0) -> DataFrame:
+    """Features of ``counts`` (f, toxic, clean: documents that have them) that at least three toxic documents, and one in 200,
+    have, and whose rate there is ``lift`` times the clean rate."""
+    often = F.col("toxic") >= max(3, n_toxic // 200)
+    return counts.where(often & ((F.col("toxic") + 0.5) / (n_toxic + 1) >= lift * (F.col("clean") + 0.5) / (n_clean + 1))).select("f")
 
-    Features stay if at least three toxic documents, and one in 200, have them and their rate there is ``lift`` times the clean rate. The
-    labels tell toxic from clean only; the grades above 0 are weak: one or two telling words (features of a word count
+
+def fit(groups: list[tuple[list[int], bool, int]], epochs: int = 300, rate: float = 0.5, l2: float = 1e-4) -> Model:
+    """Fits the model on groups of documents alike: their telling features, whether they are toxic, and how many they are.
+
+    The labels tell toxic from clean only; the grades above 0 are weak: one or two telling words (features of a word count
     once), up to five, more. Weights are shared by all cuts; cuts stay in order as sums of exponentials.
     """
-    toxic = toxic.astype(bool)
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    if not n_toxic or not n_clean:
+    toxic, number = np.array([t for _, t, _ in groups], bool), np.array([n for *_, n in groups], float)
+    if not toxic.any() or toxic.all():
         return Model({}, (6.0, 8.0, 10.0))
-    count = lambda rows: np.bincount(np.concatenate([features[i] for i in rows] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
-    t, c = count(np.flatnonzero(toxic)), count(np.flatnonzero(~toxic))
-    told = (t >= max(3, n_toxic // 200)) & ((t + 0.5) / (n_toxic + 1) >= lift * (c + 0.5) / (n_clean + 1))
-    index = np.full(BUCKETS, -1)
-    index[told] = np.arange(int(told.sum()))
-    sets = [x[x >= 0] for x in (index[f] for f in features)]
-    rows, cols = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    hits = np.array([len(x) for x in sets]) / (1 + len(PREFIXES)) * 2
+    told = np.unique(np.concatenate([np.asarray(f, np.int64) for f, _, _ in groups]))
+    size = np.array([len(f) for f, _, _ in groups])
+    rows, cols = np.repeat(np.arange(len(groups)), size), np.searchsorted(told, np.concatenate([np.asarray(f, np.int64) for f, _, _ in groups]))
+    hits = size / (1 + len(PREFIXES)) * 2
     grade = np.where(toxic, 1 + (hits > 2) + (hits > 5), 0)
-    w, gaps = np.zeros(int(told.sum())), np.array([2.0, 0.5, 0.5])
+    w, gaps = np.zeros(len(told)), np.array([2.0, 0.5, 0.5])
     gw, gg = np.full_like(w, 1e-8), np.full(3, 1e-8)
-    weight = np.full(len(toxic), 1.0 / len(toxic))
-    above = grade[:, None] > np.arange(3)[None, :]
     for _ in range(epochs):
-        cuts = gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))])
-        score = np.bincount(rows, w[cols], len(sets)) if len(cols) else np.zeros(len(sets))
-        p = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40)))
-        err = (p - above) * weight[:, None]  # of the cumulative logits, summed over the cuts
-        dw = np.bincount(cols, err.sum(1)[rows], len(w)) + l2 * w if len(cols) else l2 * w
-        dc = -err.sum(0)
-        dg = np.array([dc.sum(), np.exp(gaps[1]) * dc[1:].sum(), np.exp(gaps[2]) * dc[2]])
+        _, dw, dg = loss(w, gaps, rows, cols, grade, number / number.sum(), l2)
         gw += dw**2
         gg += dg**2
         w -= rate * dw / np.sqrt(gw)
         gaps -= rate * dg / np.sqrt(gg)
-    cuts = gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))])
-    return Model(dict(zip(np.flatnonzero(told).tolist(), w.tolist(), strict=True)), tuple(cuts.tolist()))
+    return Model(dict(zip(told.tolist(), w.tolist(), strict=True)), tuple(_cuts(gaps).tolist()))
+
+
+def _cuts(gaps: np.ndarray) -> np.ndarray:
+    return gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))])
+
+
+def loss(w: np.ndarray, gaps: np.ndarray, rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted cumulative logistic loss, summed over the cuts, and its gradients by weights and gaps."""
+    score = np.bincount(rows, w[cols], len(grade))
+    z = np.clip(_cuts(gaps)[None, :] - score[:, None], -40, 40)
+    p, above = 1 / (1 + np.exp(z)), grade[:, None] > np.arange(3)[None, :]
+    value = float((weight[:, None] * np.where(above, np.logaddexp(0, z), np.logaddexp(0, -z))).sum() + l2 / 2 * (w @ w))
+    err = (p - above) * weight[:, None]
+    dc = -err.sum(0)
+    dg = np.array([dc.sum(), np.exp(gaps[1]) * dc[1:].sum(), np.exp(gaps[2]) * dc[2]])
+    return value, np.bincount(cols, err.sum(1)[rows], len(w)) + l2 * w, dg
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled documents, picked by a hash of their ids; only hashed feature ids reach the
-    driver. Ids with several labels are toxic if one says so; null labels and ids are left out."""
+    """Fits on at most ``sample`` labelled documents, picked by a hash of their ids. Ids with several labels are toxic if one
+    says so; null labels and ids are left out.
+
+    Features are counted, and the telling ones told, by Spark; what reaches the driver is groups of documents with the same
+    telling features, at most ``sample``, whatever the texts' length."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     half = lambda k: one.where(F.col("_toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
     picked = docs.select("doc_id", "text").join(F.broadcast(half(1).unionByName(half(0))), "doc_id")
@@ -97,10 +108,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [sorted({f for w in document_words(x.as_py()) for f in word_features(w)}) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_toxic").cast(pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
-
-    got = picked.mapInArrow(run, "doc_id bigint, toxic int, features array<int>").toArrow().sort_by("doc_id")
-    return fit([np.asarray(x.values, np.int64) for x in got["features"]], np.asarray(got["toxic"]))
+            yield pa.RecordBatch.from_arrays([b.column("_toxic").cast(pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["toxic", "features"])
+
+    rows = materialize(picked.mapInArrow(run, "toxic int, features array<int>").withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    each = rows.select("row", "toxic", F.explode("features").alias("f"))
+    counts = each.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    told = telling(counts, n.get(1, 0), n.get(0, 0))
+    sets = each.join(told, "f").groupBy("row").agg(F.sort_array(F.collect_list("f")).alias("features"))
+    alike = rows.select("row", "toxic").join(sets, "row", "left").groupBy("toxic", F.coalesce("features", F.array().cast("array<int>")).alias("features")).count()
+    groups = sorted((list(r.features), bool(r.toxic), r["count"]) for r in alike.collect())
+    discard(rows)
+    return fit(groups)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -464,3 +464,37 @@ def test_control_strings_split_over_parts(spark):
         assert [t["role"] for t in row["turns"]] == [role for role, _ in want[row["conv_id"]]]
         assert [[(x["kind"], x["text"]) for x in p] for p in row["parts"]] == [parts for _, parts in want[row["conv_id"]]]
         assert not re.search(r"\[/?INST\]|</?s>|<</?SYS>>", row["formatted"])
+
+
+def test_toxicity_fit_by_plain_gradient(spark):
+    """The loss's gradients are its slopes, the fit comes near what plain steps along them reach, and groups count as their documents."""
+    r = np.random.default_rng(5)
+    groups = [(sorted(r.choice(12, size=r.integers(1, 6), replace=False).tolist()), bool(r.random() < 0.7), int(r.integers(1, 5))) for _ in range(60)] + [([], False, 40)]
+    size = [len(f) for f, *_ in groups]
+    rows, cols = np.repeat(np.arange(len(groups)), size), np.array([f for fs, *_ in groups for f in fs])
+    hits = np.array(size) / 4 * 2
+    grade = np.where([t for _, t, _ in groups], 1 + (hits > 2) + (hits > 5), 0)
+    weight = np.array([n for *_, n in groups]) / sum(n for *_, n in groups)
+    at = lambda x: toxicity.loss(x[:12], x[12:], rows, cols, grade, weight, 1e-4)
+    x = np.concatenate([r.normal(size=12), [1.0, 0.3, 0.2]])
+    _, dw, dg = at(x)
+    slopes = [(at(x + 1e-6 * e)[0] - at(x - 1e-6 * e)[0]) / 2e-6 for e in np.eye(15)]
+    assert np.allclose(np.concatenate([dw, dg]), slopes, atol=1e-6)
+    x = np.concatenate([np.zeros(12), [2.0, 0.5, 0.5]])
+    for _ in range(20_000):
+        _, dw, dg = at(x)
+        x = x - 0.3 * np.concatenate([dw, dg])
+    model = toxicity.fit(groups)
+    found = np.array([model.weights[f] for f in range(12)])
+    gaps = np.array([model.cuts[0], np.log(model.cuts[1] - model.cuts[0]), np.log(model.cuts[2] - model.cuts[1])])
+    assert toxicity.loss(found, gaps, rows, cols, grade, weight, 1e-4)[0] <= at(x)[0] * 1.02
+    single = [(f, t, 1) for f, t, n in groups for _ in range(n)]
+    assert np.allclose([toxicity.fit(single).weights[f] for f in range(12)], found)
+    assert toxicity.fit([([1], True, 3)]).weights == {} and toxicity.fit([]).weights == {}
+
+
+def test_toxicity_features_are_counted_by_documents(spark):
+    docs = [(i, " ".join(["grumbo"] * 3 + [f"only{i}"]) if i % 2 else f"calm sea{i}") for i in range(40)] + [(50, None), (51, "")]
+    labels = [(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (50, 0), (51, 1), (77, None)]
+    model = toxicity.train(spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id bigint, text string, features string, row int"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert set(model.weights) >= set(toxicity.word_features("grumbo")) and not set(model.weights) & set(toxicity.word_features("calm"))
