@@ -229,6 +229,16 @@ def number_words(text: Column, most_digits: int = 4) -> Column:
     return substitute(text, NUMBER, spoken)
 
 
+def number_words_sql(text: str) -> str:
+    """SQL of :func:`number_words`. RE2 cannot look ahead, so a mark is put before each point or colon with a digit behind it: a
+    number that ends at a mark gives its last group up, as stepping back would."""
+    spoken = lambda x: f"CASE WHEN length(replace({x}, ',', '')) <= 4 AND NOT (length(replace({x}, ',', '')) = 4 AND replace({x}, ',', '')[1] IN ('1', '2')) THEN list_transform([CAST(replace({x}, ',', '') AS BIGINT)], lambda n: {int_words_sql('n')})[1] ELSE {x} END"
+    head = "regexp_replace(m, ',[0-9]{3}' || chr(1) || '$', '')"
+    new = f"CASE WHEN NOT suffix(m, chr(1)) THEN {spoken('m')} WHEN contains(m, ',') THEN list_transform([{head}], lambda h: ({spoken('h')}) || substr(m, length(h) + 1))[1] ELSE m END"
+    marked = f"regexp_replace({text}, '([.:][0-9])', chr(1) || '\\1', 'g')"
+    return f"replace({substitute_sql(marked, NUMBER.removesuffix('(?![.:]?[0-9])') + chr(1) + '?', new)}, chr(1), '')"
+
+
 #: The second pipeline's steps, in order; numbers are off by default.
 STEPS_V2 = (("currency", currency_words), ("percent", percent_words), ("punctuation", simple_punctuation), ("abbreviations", abbreviation_words), ("ordinals", ordinal_words))
 

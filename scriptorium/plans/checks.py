@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from scriptorium.catalog import query
 from scriptorium.functions.mastering import chain
 from scriptorium.functions.text import COMMON_WORDS, SAMPLE_CHARS, bound
-from scriptorium.operators.alignment import by_row
+from scriptorium.operators.alignment import by_row, ratio
+from scriptorium.operators.ordered import order_statistics
 from scriptorium.plans.alignments import turn_pairs
 from scriptorium.plans.audio import clips
 from scriptorium.plans.kernels import _listed_sql, listed
-from scriptorium.plans.sentences import ABBREVIATIONS
+from scriptorium.plans.runs import _RUNS, runs
+from scriptorium.plans.sentences import ABBREVIATIONS, FAILURES
 from scriptorium.plans.structure import repetition, repetition_sql
 from scriptorium.sources.tables import table
 
@@ -205,3 +207,72 @@ def mastered_clips(spark, sf_dir: str) -> DataFrame:
     m = clips(spark, sf_dir).select("vec_id", chain(F.col("a"), CHAIN).alias("m"))
     weighted = F.aggregate(F.transform("m", lambda x, k: x * ((k + 1) % 7)), F.lit(0.0), lambda s, x: s + x)
     return m.select("vec_id", F.round(F.array_max(F.transform("m", F.abs)), 4).alias("peak"), F.round(weighted, 4).alias("checksum"))
+
+
+#: How grave a failure of each category is, and the confidence in one that nothing points to.
+GRAVE, UNSURE = {"oom": "high", "schema": "high", "io": "high"}, 0.3
+_CATEGORY = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, _, words in FAILURES)
+
+
+@query("E11", sql=f"""
+WITH c AS (SELECT conv_id, turn, CASE {_CATEGORY} ELSE 'unknown' END AS category FROM conversations)
+SELECT conv_id, turn, category, CAST(CASE category {" ".join(f"WHEN '{name}' THEN {sure}" for name, sure, _ in FAILURES)} ELSE {UNSURE} END AS DOUBLE) AS confidence, CASE WHEN category IN ('oom', 'schema', 'io') THEN 'high' ELSE 'medium' END AS severity FROM c
+""")
+def failure_analysis(spark, sf_dir: str) -> DataFrame:
+    """Each message's failure category, how sure its words make of it, and how grave it is."""
+    low = F.lower("text")
+    category, sure = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
+    for name, confidence, words in FAILURES:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        category, sure = category.when(hit, name), sure.when(hit, confidence)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", category.otherwise("unknown").alias("category"), sure.otherwise(UNSURE).alias("confidence"))
+    return c.withColumn("severity", F.when(F.col("category").isin(*GRAVE), "high").otherwise("medium"))
+
+
+@query("F17", sql=f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY phase, engine ORDER BY rtf) AS i, count(*) OVER (PARTITION BY phase, engine) AS total FROM ({_RUNS}) WHERE rtf IS NOT NULL), m AS (SELECT phase, engine, max(rtf) FILTER (i = total // 2 + 1) AS median_rtf FROM r GROUP BY ALL)
+SELECT phase, engine AS preferred, median_rtf, CASE WHEN median_rtf > 2.5 THEN 'reduce' WHEN median_rtf < 1 THEN 'increase' ELSE 'maintain' END AS action, CASE WHEN median_rtf > 2.5 THEN -10 WHEN median_rtf < 1 THEN 10 ELSE 0 END AS delta_percent FROM m QUALIFY row_number() OVER (PARTITION BY phase ORDER BY median_rtf, engine) = 1
+""")
+def benchmark_recommendations(spark, sf_dir: str) -> DataFrame:
+    """By benchmark, here a phase, the engine of the least upper median, the first by name of several, and the change of chunk sizes that it allows."""
+    r = runs(spark, sf_dir).where("rtf is not null").select("phase", "engine", F.concat_ws("|", "phase", "engine").alias("both"), "rtf")
+    medians = order_statistics(r, "both", "rtf", {"median_rtf": F.floor(F.col("n") / 2)}).select("both", "median_rtf")
+    m = medians.select(F.split("both", r"\|")[0].alias("phase"), F.split("both", r"\|")[1].alias("engine"), "median_rtf")
+    best = m.groupBy("phase").agg(F.min(F.struct("median_rtf", "engine")).alias("b")).select("phase", F.col("b.engine").alias("preferred"), "b.median_rtf")
+    slow, fast = F.col("median_rtf") > 2.5, F.col("median_rtf") < 1
+    return best.withColumns({"action": F.when(slow, "reduce").when(fast, "increase").otherwise("maintain"), "delta_percent": F.when(slow, -10).when(fast, 10).otherwise(0)})
+
+
+@query("F15", sql="""
+WITH c AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_type NOT IN ('purchase', 'view', 'click')) AS failed FROM events GROUP BY user_id), r AS (SELECT o_custkey AS user_id, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT c.user_id, total, greatest(failed, coalesce(n, 0)) AS failed, round(greatest(failed, coalesce(n, 0)) / total, 6) AS rate FROM c LEFT JOIN r ON c.user_id = r.user_id
+""")
+def chunk_failure_rates(spark, sf_dir: str) -> DataFrame:
+    """Failed chunks of a file, or the registry's entries where they are more, over all; a user's events stand for chunks and
+    orders for entries."""
+    c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(~F.col("event_type").isin("purchase", "view", "click")).alias("failed"))
+    r = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n"))
+    failed = F.greatest("failed", F.coalesce("n", F.lit(0)))
+    return c.join(r, "user_id", "left").select("user_id", "total", failed.alias("failed"), F.round(failed / F.col("total"), 6).alias("rate"))
+
+
+def closest(asked: str | None, keys: list[str], least: float = 0.6) -> str | None:
+    """The key that is most like ``asked``, the greatest of several; None where none is alike enough. Empty keys are out."""
+    like = [(ratio(k, asked or ""), k) for k in keys if k]
+    best = max((x for x in like if x[0] >= least), default=None)
+    return best[1] if best else None
+
+
+@query("J1")
+def close_keys(spark, sf_dir: str) -> DataFrame:
+    """The last tier of a key's resolution: the slug most like the asked one by their shared blocks. Names are brands and types of
+    parts with a letter more or less; distinct ones alone are compared. No SQL: tests compare it with the standard library."""
+    keys = sorted(set(CLOSE_KEYS))
+    p = table(spark, sf_dir, "part").select(F.regexp_replace(F.lower(F.concat_ws("_", "p_brand", F.substring_index("p_type", " ", 1))), "[^a-z0-9]+", "_").alias("asked")).distinct()
+    return by_row(p, ["asked"], ["asked"], "key string", lambda a: (closest(a, keys),))
+
+
+#: Slugs that the asked ones may mean, in place of a state's files.
+CLOSE_KEYS = ("brand_1_economy", "brand_2_standard", "brand_33_promo", "branded_small", "medium")

@@ -112,9 +112,9 @@ def text_ordinal_words(spark, sf_dir: str) -> DataFrame:
     return _changed(spark, sf_dir, spoken.ordinal_words(F.col("text")))
 
 
-@query("C17")
+@query("C17", sql=_changed_sql(spoken.number_words_sql("text")))
 def text_number_words(spark, sf_dir: str) -> DataFrame:
-    """No SQL: the pattern looks ahead and steps back. Tests compare it with Python's regular expressions."""
+    """The pattern looks ahead and steps back; tests compare it with Python's regular expressions as well."""
     return _changed(spark, sf_dir, spoken.number_words(F.col("text")))
 
 

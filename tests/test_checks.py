@@ -60,6 +60,18 @@ def test_break_points_equal_the_walk(spark, most, least):
         assert K.break_points(t, most, least) == plain_breaks(t, most, least)
 
 
+def test_closest_key_equals_the_library():
+    import difflib
+
+    r = np.random.default_rng(7)
+    made = lambda: "".join(r.choice(list("abc_1")) for _ in range(r.integers(0, 12)))
+    for _ in range(500):
+        keys, asked = [made() for _ in range(r.integers(0, 6))], made()
+        want = difflib.get_close_matches(asked, [k for k in keys if k], n=1, cutoff=0.6)
+        assert K.closest(asked, keys) == (want[0] if want else None)
+    assert K.closest(None, ["a"]) is None
+
+
 def test_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, ""), (None, "One. Two.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r)[:3] for r in K.text_break_points(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(None, 0, 0), (1, 0, 0), (2, 0, 0)]
