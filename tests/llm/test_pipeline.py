@@ -1,5 +1,6 @@
 """The pipeline's five stages over a small table, by brute force."""
 
+import math
 import random
 import re
 
@@ -46,3 +47,56 @@ def test_run_matches_brute_force(spark, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((x.doc_id, x.n_tokens) for x in got) == [(i, len(enc.encode_ordinary(t))) for i, t in kept]
+
+
+def test_run_with_sources_labels_and_other_columns(spark, tmp_path):
+    """Two sources and labels, so that the mix repeats one source and the likelihood ratio rejects texts; columns of any name."""
+    P, tiktoken, xxhash = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken"), pytest.importorskip("xxhash")
+    import corpus_pipeline
+    from scriptorium.llm import byte_bpe, mixing
+
+    r = random.Random(3)
+    say = lambda stem, n, k=400: " ".join(f"{stem}{r.randint(0, k)}" for _ in range(n))
+    docs = [(i, say("w", 80), "a" if i % 4 else "b") for i in range(60)] + [(100 + i, say("junk", 80), "a") for i in range(30)] + [(200 + i, say("w", 20) + " " + say("junk", 60), "b") for i in range(10)]
+    docs += [(300, docs[0][1], "b"), (301, docs[1][1] + " more", "b"), (302, None, "a"), (None, say("w", 70), "b"), (303, "short text", None)]
+    labels = [(i, 1, 0) for i in range(0, 60, 2)] + [(110, 0, 0), (58, 1, 1), (None, 1, 0)]
+    own = "target string, copies int, source_size string, _id string, _t string, _h string, kept string"
+    spark.createDataFrame([(i, t, "en", s, 1, "x", 1, "y", "z", "t", "h", "k") for i, t, s in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + own).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def grams(t):
+        w, m = (t or "").split(), (1 << 16) - 1
+        h = lambda x, seed=42: xxhash.xxh64(x.encode(), seed=seed).intdigest()
+        return [h(x) & m for x in w] + [h(y, h(x)) & m for x, y in zip(w, w[1:], strict=False)]
+
+    trusted = {i for i, q, bad in labels if q and not bad and i is not None}
+    raw, target = {}, {}
+    for i, t, _ in docs:
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (i in trusted)
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = lambda t: sum(math.log((target[g] + 8.0) / (raw[g] * m / n + 8.0)) for g in grams(t)) / (2 * len(t.split()) - 1)
+    left = [(i, t, s) for i, t, s in docs if len((t or "").split()) >= 50 and ratio(t) >= -0.15]
+    assert {i for i, *_ in docs if i is not None and 100 <= i < 130} - {i for i, *_ in left} and {i for i, *_ in left} >= set(range(60))
+    kept = [x for x in left if x[0] not in (300, 301)]
+    size = {i: len(t.split()) for i, t, _ in kept}
+    sums = {s: sum(size[i] for i, _, x in kept if x == s) for s in ("a", "b")}
+    goal = dict(zip(("a", "b"), mixing.targets(list(sums.values())), strict=True))
+    ranks = byte_bpe.ByteBPE(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).ranks
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens, where = {i: len(enc.encode_ordinary(t)) for i, t, _ in kept}, {i: s for i, _, s in kept}
+    got = [(x.doc_id, x.n_tokens) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert {i for i, _ in got} <= set(tokens) and all(tokens[i] == k for i, k in got)
+    for s in ("a", "b"):
+        assert abs(sum(size[i] for i, _ in got if where[i] == s) - goal[s]) <= 80
+    assert max(sum(i == j for i, _ in got) for j in tokens) <= 3 and len({i for i, _ in got if where[i] == "a"}) == sum(s == "a" for s in where.values())
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint, target string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
