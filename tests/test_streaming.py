@@ -42,3 +42,24 @@ def test_machines():
         s = E.locked_out(True, *s)
     assert s == (0, 5) and E.locked_out(True, *s) == (0, 4)
     assert E.chunk_delta(19.5, 9, False) == 20.0 and E.chunk_delta(3, -9, False) == 1.0 and E.chunk_delta(3, 1, True) == 0.0
+
+
+def test_sessions_end_after_a_gap(spark, tmp_path):
+    """Events of a user no more than the gap apart are one session; a session ends a gap after its last event."""
+    from datetime import UTC, timedelta
+
+    log = _log(spark, tmp_path)
+    got = {(r["user_id"], r["start"], r["stop"], r["n"]) for r in _drained(E.sessions(log, "6 hours"), "sessions", "complete").collect()}
+    rows, gap, want = {}, timedelta(hours=6), set()
+    for r in spark.read.parquet(f"{DATA}/events.parquet").collect():
+        rows.setdefault(r["user_id"], []).append(r["ts"].replace(microsecond=r["ts"].microsecond // 1000 * 1000))  # as the log has it
+    for user, at in rows.items():
+        session = []
+        for t in sorted(at):
+            if session and t >= session[-1] + gap:
+                want.add((user, session[0], session[-1] + gap, len(session)))
+                session = []
+            session.append(t)
+        want.add((user, session[0], session[-1] + gap, len(session)))
+    plain = lambda t: t.astimezone(UTC).replace(tzinfo=None) if t.tzinfo else t
+    assert {(u, plain(a), plain(z), n) for u, a, z, n in got} == want and 100 < len(want) < sum(map(len, rows.values()))
