@@ -37,14 +37,22 @@ SAMPLE = 5000
 def genre_points(text: Column, title: Column) -> Column:
     """Points of each genre, in hundredths, of a text's first 5,000 characters and its title; plain and curly quotes count once."""
     n = lambda s, p: F.regexp_count(s, F.lit(p))
-    word = lambda s, p: n(s, f"(?i)(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])")
     part = lambda test, points: F.when(test, points).otherwise(0)
 
+    def word(s: Column, w: Column, p: str) -> Column:
+        """Single words are counted among the text's, phrases looked for where their letters are."""
+        one, more = [x.lower() for x in p.split("|") if " " not in x], [x for x in p.split("|") if " " in x]
+        phrases = (F.when(F.contains(F.lower(s), F.lit(x.lower())), n(s, f"(?i)(?<![A-Za-z0-9_]){x}(?![A-Za-z0-9_])")).otherwise(0) for x in more)
+        return sum(phrases, F.size(F.filter(w, lambda x: x.isin(*one))))
+
     def points(s: Column) -> Column:
+        return bound(F.transform(F.split(s, "[^A-Za-z0-9_]+"), lambda x: F.lower(x)), lambda w: judged(s, w))
+
+    def judged(s: Column, w: Column) -> Column:
         m = F.struct(
             F.size(F.filter(F.split(s, "[.]"), lambda x: x.rlike(r"\S"))).alias("sentences"), F.size(C.words_of(F.replace(s, F.lit("."), F.lit(" ")))).alias("words"), F.size(C.words_of(s)).alias("tokens"), F.length(s).alias("chars"), n(s, '["“”]').alias("quotes"),
-            word(s, ABSTRACT).alias("abstract"), word(s, DIALOGUE).alias("dialogue"), n(s, CITATION).alias("citations"), word(s, FORMAL).alias("formal"), n(s, LISTS).alias("lists"), word(s, FIRST_PERSON).alias("first"), word(s, ANECDOTE).alias("anecdotes"),
-            n(s, CODE).alias("code"), n(s, FORMULA).alias("formulas"), word(s, INSTRUCTION).alias("steps"),
+            word(s, w, ABSTRACT).alias("abstract"), word(s, w, DIALOGUE).alias("dialogue"), n(s, CITATION).alias("citations"), word(s, w, FORMAL).alias("formal"), n(s, LISTS).alias("lists"), word(s, w, FIRST_PERSON).alias("first"), word(s, w, ANECDOTE).alias("anecdotes"),
+            n(s, CODE).alias("code"), n(s, FORMULA).alias("formulas"), word(s, w, INSTRUCTION).alias("steps"),
         )
 
         def by_genre(m: Column) -> Column:
