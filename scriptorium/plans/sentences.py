@@ -74,18 +74,19 @@ def sentence_metrics(spark, sf_dir: str) -> DataFrame:
 
 @query("D23", sql=rf"""
 WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS s FROM documents), m AS (SELECT doc_id, length(s) AS n, len(list_filter(regexp_split_to_array(s, '{SPACE}+'), lambda x: x <> '')) AS w, length(s) / {CHARS_PER_MINUTE} * 60 AS t FROM s)
-SELECT doc_id, count(*) AS n, round(avg(n), 4) AS mean_chars, round(avg(w), 4) AS mean_words, CAST(sum(w) AS BIGINT) AS n_words, round(avg(t), 4) AS mean_s, round(max(t), 4) AS longest_s, round(min(t), 4) AS shortest_s,
+SELECT doc_id, count(*) AS n, round(avg(n), 4) AS mean_chars, round(avg(w), 4) AS mean_words, CAST(sum(w) AS BIGINT) AS n_words, CAST(sum(n) * 600000 // ({CHARS_PER_MINUTE} * count(*)) AS BIGINT) / CAST(10000 AS DOUBLE) AS mean_s, round(max(t), 4) AS longest_s, round(min(t), 4) AS shortest_s,
   count(*) FILTER (n <= 250) AS soft, count(*) FILTER (n > 250 AND n <= 300) AS hard, count(*) FILTER (n > 300 AND n <= 400) AS emergency, count(*) FILTER (n > 400) AS exceeding FROM m GROUP BY doc_id
 """)
 def chunk_metrics(spark, sf_dir: str) -> DataFrame:
-    """Characters, words, seconds and disjoint bands of size of a text's sentences, which stand for chunks."""
+    """Characters, words, seconds and disjoint bands of size of a text's sentences, which stand for chunks. The mean of seconds is
+    cut off behind four places, as whole numbers are divided."""
     total = lambda a, f: F.aggregate(F.transform(a, lambda x: x[f]), F.lit(0).cast("long"), lambda s, x: s + x)
     part = F.transform(sentences(F.col("text")), lambda x: F.struct(F.length(x).alias("n"), F.size(F.filter(F.split(x, SPACE + "+"), lambda w: w != "")).alias("w")))
     m = _docs(spark, sf_dir).select("doc_id", part.alias("m")).where(F.size("m") > 0)
     n, seconds = F.size("m"), lambda x: F.round(x / CHARS_PER_MINUTE * 60, 4)
     band = lambda lo, hi: _size(F.filter("m", lambda x: (x["n"] > lo) & (x["n"] <= hi)))
     return m.select(
-        "doc_id", n.cast("long").alias("n"), F.round(total("m", "n") / n, 4).alias("mean_chars"), F.round(total("m", "w") / n, 4).alias("mean_words"), total("m", "w").alias("n_words"), seconds(total("m", "n") / n).alias("mean_s"),
+        "doc_id", n.cast("long").alias("n"), F.round(total("m", "n") / n, 4).alias("mean_chars"), F.round(total("m", "w") / n, 4).alias("mean_words"), total("m", "w").alias("n_words"), (F.call_function("div", total("m", "n") * 600_000, n.cast("long") * CHARS_PER_MINUTE) / 10_000.0).alias("mean_s"),
         seconds(F.array_max("m.n")).alias("longest_s"), seconds(F.array_min("m.n")).alias("shortest_s"), band(0, 250).alias("soft"), band(250, 300).alias("hard"), band(300, 400).alias("emergency"), _size(F.filter("m", lambda x: x["n"] > 400)).alias("exceeding"),
     )
 
