@@ -70,7 +70,13 @@ ISSUES = (
     ("fiscal", r"(?i)\b(?:Q[1-4]|FY\d{2,4}|H[12])\b", "high"), ("date_format", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b", "medium"),
     ("em_dash", "—|--", "medium"), ("ellipsis", r"\.{3,}|…", "medium"), ("nested_quotes", r"[\"'][^\"']*[\"'][^\"']*[\"']", "medium"), ("long_sentence", "[^.!?]{200,}", "high"), ("word_repeat", r"(?i)\b(\w+)\s+\1\b", "low"),
 )
-ACRONYM, MOST_ISSUES, PHRASES_OF = r"\b[A-Z]{2,6}\b", 10, (4, 5, 6, 7)
+ACRONYM, MOST_ISSUES, PHRASES_OF, LONG_RUN = r"\b[A-Z]{2,6}\b", 10, (4, 5, 6, 7), 200
+NUMBERS = ("currency", "percentage", "complex_number", "fiscal", "date_format")
+
+
+def _letters(pattern: str) -> str:
+    """The characters that an abbreviation's pattern asks for."""
+    return re.sub(r"\\b|\\\.\?$", "", pattern).replace("\\", "").lower()
 
 
 def speech_issues(text) -> Column:
@@ -80,7 +86,12 @@ def speech_issues(text) -> Column:
     found = lambda p: F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(0))
     acronyms = F.transform(F.filter(found(ACRONYM), lambda x: ~x.isin(*SAFE)), lambda x: entry("acronym", F.when(F.length(x) >= 3, "high").otherwise("medium")))
     each = lambda p, kind, grave: F.transform(found(p), lambda _: entry(kind, grave))
-    lists = [acronyms, *(each(p, kind, grave) for kind, p, grave in ISSUES)]
+    none = F.array().cast("array<struct<kind:string,grave:string>>")
+    digits, low = text.rlike(r"(?U)\d"), F.lower(text)
+    # what the patterns must hold is looked for first; a run without marks is as well a piece between marks
+    long = F.transform(F.filter(F.split(text, "[.!?]"), lambda x: F.length(x) >= LONG_RUN), lambda _: entry("long_sentence", "high"))
+    if_there = lambda test, found_: F.when(test, found_).otherwise(none)
+    lists = [acronyms, *(long if kind == "long_sentence" else if_there(digits, each(p, kind, grave)) if kind in NUMBERS else each(p, kind, grave) for kind, p, grave in ISSUES)]
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda x: x != "")
 
     def phrases(w: Column) -> Column:
@@ -88,7 +99,8 @@ def speech_issues(text) -> Column:
         hashes = lambda n: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n)))))
         return F.array_compact(F.array(*(F.when((F.size(w) >= 10) & (F.size(w) >= 2 * n) & (F.size(w) >= n + 2), F.when(bound(hashes(n), often), entry("phrase_repeat", "high"))) for n in PHRASES_OF)))
 
-    lists += [bound(words, phrases), *(each("(?i)" + p, "abbreviation", "low") for p, _ in ABBREVIATIONS)]
+    folded = F.contains(text, F.lit("ſ")) | F.contains(text, F.lit("K"))  # equal s and k, case aside
+    lists += [bound(words, phrases), *(if_there(folded | F.contains(low, F.lit(_letters(p))), each("(?i)" + p, "abbreviation", "low")) for p, _ in ABBREVIATIONS)]
     return F.slice(F.concat(*lists), 1, F.lit(MOST_ISSUES))
 
 
