@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import discard, materialize, table
 from scriptorium.llm.shingles import LOWER, far_apart, segment_sums, set_keys, shingle_sets, signatures, sketch, slices
 
-#: Signatures that one reducing task sorts, about; texts that the list of common shingles is drawn from; how many of
-#: those must have a shingle for it to count as common. The list only speeds the search up; it changes no result.
-TASK, SAMPLE, COMMON = 6_000_000, 8_192, 4
+#: Signatures that one reducing task sorts, about: it holds some 40 bytes of each, beside a JVM that fills its heap; texts
+#: that the list of common shingles is drawn from; how many of those must have a shingle for it to count as common. The
+#: list only speeds the search up; it changes no result.
+TASK, SAMPLE, COMMON = 1_000_000, 8_192, 4
+#: Bits by which a task marks signatures that occur twice.
+BITMAP = 1 << 22
 #: A task's memory of the sets that it has signed for; when full it starts anew.
 SEEN = 500_000
 #: Salts of rows that look up what is known of their set.
 SALTS = 64
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Sets, and features of all of them, of a block whose pairs are compared at once; shared features of one matrix product.
 BLOCK, VOLUME, WIDTH = 1024, 500_000, 2048
 
@@ -66,6 +69,57 @@ def common_shingles(docs: DataFrame, n_docs: int, size: int = 5) -> np.ndarray:
     return np.sort(found["s"].to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, key) of the packed signatures of whole parts."""
+    parts: dict[int, list[tuple[pa.Scalar, ...]]] = {}
+    for b in batches:
+        for p, *packed in zip(b.column("part").to_pylist(), *(b.column(c) for c in ("low", "mid", "keys")), strict=True):
+            parts.setdefault(p, []).append(tuple(packed))
+        del b
+    for p in sorted(parts):
+        got, at = parts.pop(p), 0
+        n = sum(len(mid.as_buffer()) for _, mid, _ in got)
+        sig, key = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        while got:
+            low, mid, keys = (np.frombuffer(x.as_buffer(), t) for x, t in zip(got.pop(), (np.uint32, np.uint8, np.uint64), strict=True))
+            end = at + len(mid)
+            sig[at:end] = mid
+            sig[at:end] <<= np.uint64(32)
+            sig[at:end] += low
+            key[at:end] = keys
+            at = end
+        low = mid = keys = None
+        # most signatures occur once; a bitmap of those that don't leaves little to sort with the keys
+        whole = sig >> np.uint64(2)
+        whole.sort()
+        twice = np.zeros(BITMAP, bool)
+        twice[whole[1:][whole[1:] == whole[:-1]] & np.uint64(BITMAP - 1)] = True
+        del whole
+        pick = twice[(sig >> np.uint64(2)) & np.uint64(BITMAP - 1)]
+        sig, key = sig[pick], key[pick]
+        kind = sig & np.uint64(3)
+        # LOWER and UPPER sets of one signature meet
+        sig = sig - kind + np.minimum(kind, np.uint64(LOWER))
+        order = np.lexsort((key, sig))
+        sig, key, kind = sig[order], key[order], kind[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key, kind = sig[new], key[new], kind[new]
+        at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        bounds = np.concatenate([at, [len(sig)]])
+        count = np.diff(bounds)
+        high = segment_sums((kind > LOWER).astype(np.uint64), bounds).astype(np.int64)
+        some = (count > 1) & ((kind[at] < LOWER) | (high > 0) & (high < count))
+        pick = np.repeat(some, count)
+        anchor, key = np.repeat(key[at], count)[pick], key[pick]
+        order = np.lexsort((key, anchor))
+        anchor, key = anchor[order], key[order]
+        new = anchor != key
+        new[1:] &= (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])
+        if new.any():
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(key[new].view(np.int64))], names=["anchor", "key"])
+
+
 def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int = 5) -> DataFrame:
     """(anchor, key): each set with the least set of every group that shares a signature.
 
@@ -111,53 +165,8 @@ def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int =
         if held:
             yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-        for b in batches:
-            for p, *packed in zip(*(b.column(c).to_pylist() for c in ("part", "low", "mid", "keys")), strict=True):
-                parts.setdefault(p, []).append(tuple(packed))
-        for p in sorted(parts):
-            got, at = parts.pop(p), 0
-            n = sum(len(mid) for _, mid, _ in got)
-            sig, key = np.empty(n, np.uint64), np.empty(n, np.uint64)
-            while got:
-                low, mid, keys = got.pop()
-                end = at + len(mid)
-                sig[at:end] = np.frombuffer(low, np.uint32)
-                sig[at:end] += np.frombuffer(mid, np.uint8).astype(np.uint64) << np.uint64(32)
-                key[at:end] = np.frombuffer(keys, np.uint64)
-                at = end
-            # most signatures occur once; a bitmap of those that don't leaves little to sort with the keys
-            whole = np.sort(sig >> np.uint64(2))
-            twice = np.zeros(1 << 24, bool)
-            twice[whole[1:][whole[1:] == whole[:-1]] & np.uint64(0xFFFFFF)] = True
-            pick = twice[(sig >> np.uint64(2)) & np.uint64(0xFFFFFF)]
-            del whole
-            sig, key = sig[pick], key[pick]
-            kind = sig & np.uint64(3)
-            # LOWER and UPPER sets of one signature meet
-            sig = sig - kind + np.minimum(kind, np.uint64(LOWER))
-            order = np.lexsort((key, sig))
-            sig, key, kind = sig[order], key[order], kind[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            sig, key, kind = sig[new], key[new], kind[new]
-            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-            bounds = np.concatenate([at, [len(sig)]])
-            count = np.diff(bounds)
-            high = segment_sums((kind > LOWER).astype(np.uint64), bounds).astype(np.int64)
-            some = (count > 1) & ((kind[at] < LOWER) | (high > 0) & (high < count))
-            pick = np.repeat(some, count)
-            anchor, key = np.repeat(key[at], count)[pick], key[pick]
-            order = np.lexsort((key, anchor))
-            anchor, key = anchor[order], key[order]
-            new = anchor != key
-            new[1:] &= (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])
-            if new.any():
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(key[new].view(np.int64))], names=["anchor", "key"])
-
     packed = docs.select("text").mapInArrow(sign, "part int, low binary, mid binary, keys binary")
-    return packed.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "anchor bigint, key bigint").distinct()
+    return packed.repartitionById(n_parts, F.col("part")).mapInArrow(_meet, "anchor bigint, key bigint").distinct()
 
 
 def _told(rows: DataFrame, by: str, facts: DataFrame, spread: str) -> DataFrame:

@@ -498,3 +498,28 @@ def test_toxicity_features_are_counted_by_documents(spark):
     labels = [(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (50, 0), (51, 1), (77, None)]
     model = toxicity.train(spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id bigint, text string, features string, row int"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     assert set(model.weights) >= set(toxicity.word_features("grumbo")) and not set(model.weights) & set(toxicity.word_features("calm"))
+
+
+def test_reducing_tasks_of_signatures_are_small(spark):
+    # a reducing task's signatures of half a gigabyte of prose fit beside a JVM that fills its heap
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n_shingles, rng = 80_000_000, np.random.default_rng(5)
+    docs = spark.createDataFrame([("a b c d e f",)], "text string")
+    plan = ngram_join.candidates(docs, n_shingles, np.zeros(0, np.uint64))._jdf.queryExecution().analyzed().toString()
+    n_parts = int(re.search(r"RepartitionByExpression .*?, (\d+)", plan)[1])
+    n = n_shingles * 3 // 2 // n_parts
+    sig, key = rng.integers(0, 1 << 40, n, dtype=np.uint64), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sig[-3:] = sig[:3] = np.uint64(4) * np.arange(7, 10, dtype=np.uint64)
+    columns = (sig.astype(np.uint32), (sig >> np.uint64(32)).astype(np.uint8), key)
+    cuts = np.linspace(0, n, 40).astype(int)
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * 39, pa.int32()), *(pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in columns)], names=["part", "low", "mid", "keys"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(ngram_join._meet(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = set(zip(*(found.column(c).to_numpy().view(np.uint64).tolist() for c in ("anchor", "key"))))
+    assert {tuple(sorted((int(key[i]), int(key[n - 3 + i])))) for i in range(3)} <= pairs
+    assert peak < 100e6, peak
