@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import discard, materialize, table
+from scriptorium.llm.common import BATCH, discard, materialize, table
 from scriptorium.llm.shingles import LOWER, far_apart, segment_sums, set_keys, shingle_sets, signatures, sketch, slices
 
 #: Signatures that one reducing task sorts, about: it holds some 40 bytes of each, beside a JVM that fills its heap; texts
@@ -27,7 +27,7 @@ BITMAP = 1 << 22
 SEEN = 500_000
 #: Salts of rows that look up what is known of their set.
 SALTS = 64
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 #: Sets, and features of all of them, of a block whose pairs are compared at once; shared features of one matrix product.
 BLOCK, VOLUME, WIDTH = 1024, 500_000, 2048
 
@@ -208,7 +208,7 @@ def _features(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
 
     need = keys.join(classes.select("key", F.col("rep").cast(kind).alias("_id")), "key")
     sets = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text").mapInArrow(run, "key bigint, features array<bigint>").dropDuplicates(["key"])
-    return materialize(sets, "join-sets")
+    return materialize(sets, "join-sets", BATCH)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(key, label): the least key of each linked key's component, by alternating large-star and small-star steps."""
-    edges = materialize(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "join-edges")
+    edges = materialize(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "join-edges", BATCH)
     before = None
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
@@ -228,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        after = materialize(small, "join-edges")
+        after = materialize(small, "join-edges", BATCH)
         sums = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(edges)
         edges = after
@@ -248,28 +248,28 @@ def similar_sets(docs: DataFrame, rows: DataFrame, size: int = 5, block: int = B
     outside the most frequent one are compared with all the others, in pairs of blocks, first by sketches and then by
     their features. Two similar sets share an anchor, so no link between components is lost.
     """
-    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("w")), "join-classes")
+    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("w")), "join-classes", BATCH)
     common = common_shingles(docs, docs.count(), size)
-    near = materialize(candidates(docs, rows.agg(F.sum("n")).first()[0] or 0, common, size), "join-candidates")
-    good = materialize(_promising(near.select(F.col("anchor").alias("x"), F.col("key").alias("y")), classes), "join-pairs")
+    near = materialize(candidates(docs, rows.agg(F.sum("n")).first()[0] or 0, common, size), "join-candidates", BATCH)
+    good = materialize(_promising(near.select(F.col("anchor").alias("x"), F.col("key").alias("y")), classes), "join-pairs", BATCH)
     sets = _features(good.select(F.col("x").alias("key")).union(good.select("y")).distinct(), classes, docs, size)
-    links = materialize(_linked(good, sets), "join-links")
+    links = materialize(_linked(good, sets), "join-links", BATCH)
     label = components(links)
     known = _named(classes.select("key", "n"), label)
     member = _told(near.union(near.select("anchor", "anchor").distinct()), "key", known, "anchor").select("anchor", "key", "n", "label")
-    member = materialize(member, "join-members")
+    member = materialize(member, "join-members", BATCH)
     shares = member.groupBy("anchor", "label").agg(F.count("*").alias("c"))
     open_ = shares.groupBy("anchor").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("m")).where("labels > 1 and m > 2").select("anchor", "most")
     open_ = _told(member, "anchor", open_, "key").select(F.col("anchor").alias("label"), "key", "n", F.col("label").alias("w"), (F.col("label") == F.col("most")).alias("main"))
-    open_ = materialize(open_, "join-open")
+    open_ = materialize(open_, "join-open", BATCH)
     discard(near, good, links, member)
     facts = classes.select("key", "n", "sketch")
     asked = _block_pairs(open_, block, volume, sketches=True).drop("n").join(facts, "key").groupBy("task").applyInArrow(_maybe, "label bigint, key bigint")
-    asked = materialize(open_.join(asked.distinct(), ["label", "key"], "left_semi"), "join-asked")
+    asked = materialize(open_.join(asked.distinct(), ["label", "key"], "left_semi"), "join-asked", BATCH)
     more = _features(asked.select("key").distinct(), classes, docs, size)
     joins = _block_pairs(asked, block, volume).join(more, "key").groupBy("task").applyInArrow(_bridges, "x bigint, y bigint")
     both = components(label.select("key", "label").union(joins).toDF("x", "y"))
-    every = materialize(sets.union(more).dropDuplicates(["key"]), "join-sets")
+    every = materialize(sets.union(more).dropDuplicates(["key"]), "join-sets", BATCH)
     discard(open_, asked, sets, more, label)
     return classes, both, every
 
@@ -371,9 +371,9 @@ def _block_pairs(members: DataFrame, block: int, volume: int, sketches: bool = F
     cut = _told(members, "label", whole, "key").withColumn("_c", F.when((F.col("_m") <= block) & (F.col("_f") <= volume), -1).otherwise(size_class).cast("long"))
     parts = cut.groupBy("label", "_c").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / volume)).alias("_s")).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_s"))).alias("_parts"))
     salt = F.when(F.col("_c") < 0, 0).otherwise(F.pmod(F.xxhash64("key"), F.col("_parts")[F.col("_c")]))
-    placed = materialize(_told(cut, "label", parts, "key").select("key", "label", "n", "w", "main", (F.col("_c") * F.lit(1 << 32) + salt).alias("b")), "join-placed")
+    placed = materialize(_told(cut, "label", parts, "key").select("key", "label", "n", "w", "main", (F.col("_c") * F.lit(1 << 32) + salt).alias("b")), "join-placed", BATCH)
     total = placed.agg(F.sum("n")).first()[0] or 0
-    blocks = materialize(placed.groupBy("label", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"), F.min("main").alias("main")), "join-blocks")
+    blocks = materialize(placed.groupBy("label", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"), F.min("main").alias("main")), "join-blocks", BATCH)
     side = lambda c: blocks.select("label", F.col("b").alias(c), *(F.col(x).alias(x + c) for x in ("lo", "hi", "m", "main")))
     units = side("i").join(side("j"), "label").where("i <= j and 4 * hii >= 3 * loj and 4 * hij >= 3 * loi and (i < j or mi > 1) and not (maini and mainj)").select("label", "i", "j")
     load = volume * 8 if sketches else volume
@@ -403,7 +403,7 @@ def _pairs(table: pa.Table) -> pa.Table:
 
 def _classified(docs: DataFrame, size: int, block: int = BLOCK, volume: int = VOLUME) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, classes, label, sets): a row a document, one a distinct set, and the components and features of linked sets."""
-    rows = materialize(set_rows(docs, size), "join-rows")
+    rows = materialize(set_rows(docs, size), "join-rows", BATCH)
     return rows, *similar_sets(docs, rows, size, block, volume)
 
 

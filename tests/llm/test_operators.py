@@ -523,3 +523,35 @@ def test_reducing_tasks_of_signatures_are_small(spark):
     pairs = set(zip(*(found.column(c).to_numpy().view(np.uint64).tolist() for c in ("anchor", "key"))))
     assert {tuple(sorted((int(key[i]), int(key[n - 3 + i])))) for i in range(3)} <= pairs
     assert peak < 100e6, peak
+
+
+def test_batches_and_slices_of_texts_are_small(spark):
+    # a worker keeps what a task's batches and arrays took, beside a JVM that fills its heap
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from scriptorium.llm.common import BATCH, BATCH_LIMIT, materialize
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    before = spark.conf.get(BATCH_LIMIT)
+    texts = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('word ', if(id = 7, 2000000, 1000)) as text").select("text").mapInArrow(sizes, "rows bigint, bytes bigint")
+    got = materialize(texts, "test-batches", BATCH).collect()
+    assert sum(r.rows for r in got) == 3000 and sum(r.bytes for r in got) > 3 * BATCH
+    assert sum(r.bytes > 1.1 * BATCH for r in got) == 1  # that of the long text
+    assert spark.conf.get(BATCH_LIMIT) == before
+    with pytest.raises(Exception, match="no such"):
+        materialize(spark.range(3).selectExpr("raise_error('no such') as x").selectExpr("cast(x as string) as x"), "test-batches", BATCH)
+    assert spark.conf.get(BATCH_LIMIT) == before
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 600)).encode() for _ in range(1200)]
+    tracemalloc.start()
+    for lo, hi in shingles.slices(texts):
+        shingles.signatures(*shingles.shingle_sets(texts[lo:hi]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
