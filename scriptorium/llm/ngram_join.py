@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import BATCH, discard, materialize, table
@@ -219,17 +219,17 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, label): the least key of each linked key's component, by alternating large-star and small-star steps."""
-    edges = materialize(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "join-edges", BATCH)
-    before = None
+    """(key, label): the least key of each linked key's component, by alternating large-star and small-star steps.
+
+    What tells that a step changed nothing is counted while its edges are written, so no step takes a second query."""
+    edges, before = _edges(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        after = materialize(small, "join-edges", BATCH)
-        sums = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after, sums = _edges(small)
         discard(edges)
         edges = after
         if sums == before:
@@ -237,6 +237,14 @@ def components(links: DataFrame) -> DataFrame:
         before = sums
 
 
+def _edges(found: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges (u, v), materialized, and their number and the sum of their hashes."""
+    seen = Observation()
+    told = found.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    edges = materialize(told, "join-edges", BATCH)
+    return edges, (seen.get["n"], seen.get["s"])
+
+
 def _named(classes: DataFrame, label: DataFrame) -> DataFrame:
     return classes.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
@@ -267,8 +275,10 @@ def similar_sets(docs: DataFrame, rows: DataFrame, size: int = 5, block: int = B
     asked = _block_pairs(open_, block, volume, sketches=True).drop("n").join(facts, "key").groupBy("task").applyInArrow(_maybe, "label bigint, key bigint")
     asked = materialize(open_.join(asked.distinct(), ["label", "key"], "left_semi"), "join-asked", BATCH)
     more = _features(asked.select("key").distinct(), classes, docs, size)
-    joins = _block_pairs(asked, block, volume).join(more, "key").groupBy("task").applyInArrow(_bridges, "x bigint, y bigint")
-    both = components(label.select("key", "label").union(joins).toDF("x", "y"))
+    joins = components(_block_pairs(asked, block, volume).join(more, "key").groupBy("task").applyInArrow(_bridges, "x bigint, y bigint")).toDF("old", "new")
+    # links between components join their labels, of which none is a key in ``label``; then each key follows its label
+    labels = label.select("label").distinct().join(joins, F.col("label") == F.col("old"), "left").select("label", F.coalesce("new", "label").alias("new"))
+    both = materialize(_told(label, "label", labels, "key").select("key", F.col("new").alias("label")).union(joins.select("old", "new")), "join-labels", BATCH)
     every = materialize(sets.union(more).dropDuplicates(["key"]), "join-sets", BATCH)
     discard(open_, asked, sets, more, label)
     return classes, both, every

@@ -554,4 +554,29 @@ def test_batches_and_slices_of_texts_are_small(spark):
         shingles.signatures(*shingles.shingle_sets(texts[lo:hi]))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 60e6, peak
+    assert peak < 20e6, peak
+
+
+def test_components_take_one_query_a_step(spark):
+    r = random.Random(11)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(40)]
+    status, root = spark._jsparkSession.sharedState().statusStore(), {}
+
+    def top(v):
+        while v in root:
+            v = root[v]
+        return v
+
+    for x, y in links:
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(links, "x bigint, y bigint")
+    before = status.executionsCount()
+    label = ngram_join.components(frame)
+    steps = status.executionsCount() - before
+    assert {(x.key, x.label) for x in label.collect()} == {(v, top(v)) for v in {v for link in links for v in link} if top(v) != v}
+    assert steps <= 9, steps
+    before = status.executionsCount()
+    assert ngram_join.components(frame.where("x < 0")).count() == 0
+    assert status.executionsCount() - before <= 3
