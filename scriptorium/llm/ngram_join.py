@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import BATCH, discard, materialize, table
 from scriptorium.llm.shingles import LOWER, far_apart, segment_sums, set_keys, shingle_sets, signatures, sketch, slices
 
-#: Signatures that one reducing task sorts, about: it holds some 40 bytes of each, beside a JVM that fills its heap; texts
-#: that the list of common shingles is drawn from; how many of those must have a shingle for it to count as common. The
-#: list only speeds the search up; it changes no result.
-TASK, SAMPLE, COMMON = 1_000_000, 8_192, 4
-#: Bits by which a task marks signatures that occur twice.
-BITMAP = 1 << 22
+#: Signatures of one reducing task, about: it holds 13 bytes of each, beside a JVM that fills its heap; texts that the list of
+#: common shingles is drawn from; how many of those must have a shingle for it to count as common. The list only speeds the
+#: search up; it changes no result.
+TASK, SAMPLE, COMMON = 2_500_000, 8_192, 4
+#: Ranges that a task sorts its signatures by, some 40 bytes of each of a range's; bits by which it marks those that occur
+#: twice; pairs that it holds.
+RANGES, BITMAP, HELD = 16, 1 << 20, 1 << 18
+#: Columns of packed signatures: their bits 0 to 31 and 32 to 39, and the keys of their sets.
+PACKED = (("low", np.uint32), ("mid", np.uint8), ("keys", np.uint64))
 #: A task's memory of the sets that it has signed for; when full it starts anew.
 SEEN = 500_000
 #: Salts of rows that look up what is known of their set.
@@ -69,65 +72,77 @@ def common_shingles(docs: DataFrame, n_docs: int, size: int = 5) -> np.ndarray:
     return np.sort(found["s"].to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
 
+def _once(anchor: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of two different sets once."""
+    order = np.lexsort((key, anchor))
+    anchor, key = anchor[order], key[order]
+    new = anchor != key
+    new[1:] &= (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])
+    return anchor[new], key[new]
+
+
+def _anchored(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, key): each set with the least one of every group that shares one of these signatures."""
+    # most signatures occur once; a bitmap of those that don't leaves little to sort with the keys
+    whole = sig >> np.uint64(2)
+    whole.sort()
+    twice = np.zeros(BITMAP, bool)
+    twice[whole[1:][whole[1:] == whole[:-1]] & np.uint64(BITMAP - 1)] = True
+    del whole
+    pick = twice[(sig >> np.uint64(2)) & np.uint64(BITMAP - 1)]
+    sig, key = sig[pick], key[pick]
+    kind = sig & np.uint64(3)
+    # LOWER and UPPER sets of one signature meet
+    sig = sig - kind + np.minimum(kind, np.uint64(LOWER))
+    order = np.lexsort((key, sig))
+    sig, key, kind = sig[order], key[order], kind[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    sig, key, kind = sig[new], key[new], kind[new]
+    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    bounds = np.concatenate([at, [len(sig)]])
+    count = np.diff(bounds)
+    high = segment_sums((kind > LOWER).astype(np.uint64), bounds).astype(np.int64)
+    some = (count > 1) & ((kind[at] < LOWER) | (high > 0) & (high < count))
+    pick = np.repeat(some, count)
+    return _once(np.repeat(key[at], count)[pick], key[pick])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, key) of the packed signatures of whole parts."""
-    parts: dict[int, list[tuple[pa.Scalar, ...]]] = {}
+    """(anchor, key) of the packed signatures of whole parts.
+
+    A part stays packed, and a range of its signatures at a time is unpacked and sorted; what the ranges find is put
+    together, so that a pair which shares many signatures is one row of the part (or a few, beyond HELD pairs)."""
+    parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for b in batches:
-        for p, *packed in zip(b.column("part").to_pylist(), *(b.column(c) for c in ("low", "mid", "keys")), strict=True):
-            parts.setdefault(p, []).append(tuple(packed))
+        of = b.column("part").to_numpy()
+        for p in np.unique(of).tolist():
+            rows = np.flatnonzero(of == p).tolist()
+            parts.setdefault(p, []).append(tuple(np.concatenate([np.frombuffer(b.column(c)[i].as_buffer(), t) for i in rows]) for c, t in PACKED))
         del b
     for p in sorted(parts):
-        got, at = parts.pop(p), 0
-        n = sum(len(mid.as_buffer()) for _, mid, _ in got)
-        sig, key = np.empty(n, np.uint64), np.empty(n, np.uint64)
-        while got:
-            low, mid, keys = (np.frombuffer(x.as_buffer(), t) for x, t in zip(got.pop(), (np.uint32, np.uint8, np.uint64), strict=True))
-            end = at + len(mid)
-            sig[at:end] = mid
-            sig[at:end] <<= np.uint64(32)
-            sig[at:end] += low
-            key[at:end] = keys
-            at = end
-        low = mid = keys = None
-        # most signatures occur once; a bitmap of those that don't leaves little to sort with the keys
-        whole = sig >> np.uint64(2)
-        whole.sort()
-        twice = np.zeros(BITMAP, bool)
-        twice[whole[1:][whole[1:] == whole[:-1]] & np.uint64(BITMAP - 1)] = True
-        del whole
-        pick = twice[(sig >> np.uint64(2)) & np.uint64(BITMAP - 1)]
-        sig, key = sig[pick], key[pick]
-        kind = sig & np.uint64(3)
-        # LOWER and UPPER sets of one signature meet
-        sig = sig - kind + np.minimum(kind, np.uint64(LOWER))
-        order = np.lexsort((key, sig))
-        sig, key, kind = sig[order], key[order], kind[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, key, kind = sig[new], key[new], kind[new]
-        at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-        bounds = np.concatenate([at, [len(sig)]])
-        count = np.diff(bounds)
-        high = segment_sums((kind > LOWER).astype(np.uint64), bounds).astype(np.int64)
-        some = (count > 1) & ((kind[at] < LOWER) | (high > 0) & (high < count))
-        pick = np.repeat(some, count)
-        anchor, key = np.repeat(key[at], count)[pick], key[pick]
-        order = np.lexsort((key, anchor))
-        anchor, key = anchor[order], key[order]
-        new = anchor != key
-        new[1:] &= (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])
-        if new.any():
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(key[new].view(np.int64))], names=["anchor", "key"])
+        got, held = parts.pop(p), []
+        for r in range(RANGES):
+            picks = [mid // (256 // RANGES) == r for _, mid, _ in got]
+            sig = np.concatenate([(mid[k].astype(np.uint64) << np.uint64(32)) + low[k] for (low, mid, _), k in zip(got, picks, strict=True)])
+            held.append(_anchored(sig, np.concatenate([keys[k] for (_, _, keys), k in zip(got, picks, strict=True)])))
+            if r + 1 < RANGES and sum(len(key) for _, key in held) < HELD:
+                continue
+            anchor, key = _once(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = [(anchor, key)]
+            if len(key) and (r + 1 == RANGES or len(key) > HELD // 2):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64))], names=["anchor", "key"])
+                held = []
 
 
 def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int = 5) -> DataFrame:
     """(anchor, key): each set with the least set of every group that shares a signature.
 
     Signatures travel as packed arrays dealt by their leading bits, sets by their keys, so equal sets count once. A
-    reducing task sorts the arrays it gets and keeps what occurs twice; 40 bits and the task tell signatures apart.
+    reducing task sorts the arrays it gets and keeps what occurs twice; 40 bits and the task tell signatures apart. Each
+    task can give a pair, so they are as few as memory allows, and pairs are at most as many as signatures.
     """
-    n_parts = 1 << max(4, int(np.ceil(np.log2(max(1, n_shingles * 0.7 / TASK)))))
-    shift = np.uint64(64 - n_parts.bit_length() + 1)
+    n_parts = max(16, int(np.ceil(n_shingles * 0.7 / TASK)))
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +152,7 @@ def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray, size: int =
         def flush() -> pa.RecordBatch:
             sig, key = np.concatenate([s for s, _ in held]), np.concatenate([k for _, k in held])
             held.clear()
-            part = (sig >> shift).astype(np.int64)
+            part = ((sig >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
             sig, key = sig[order], key[order]

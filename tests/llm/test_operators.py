@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scriptorium.llm import byte_bpe, chat_format, exact_dedup, mixing, ngram_join, quality, sharding, shingles, suffix_dedup, toxicity, url_filter
@@ -525,6 +526,34 @@ def test_reducing_tasks_of_signatures_are_small(spark):
     assert peak < 100e6, peak
 
 
+def test_pairs_of_near_copies_grow_with_the_input(spark, monkeypatch):
+    # each reducing task gives a pair once, so rows must not grow with the number of tasks; ranges and held pairs change nothing
+    r = random.Random(11)
+    texts = []
+    for _ in range(30):
+        base = [f"w{r.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in (0, 200, 400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {n: {tuple(x) for x in ngram_join.candidates(docs, n, np.zeros(0, np.uint64)).collect()} for n in (25_000_000, 125_000_000)}
+    assert len({x for p in found.values() for pair in p for x in pair}) == len(texts) and found[25_000_000] == found[125_000_000]
+    monkeypatch.setattr(type(docs), "distinct", lambda self: self)
+    rows = {n: ngram_join.candidates(docs, n, np.zeros(0, np.uint64)).count() for n in found}
+    assert rows[125_000_000] <= 2.3 * rows[25_000_000] <= 2.3 * 16 * len(found[25_000_000]), rows
+
+    n, rng = 20_000, np.random.default_rng(3)
+    sig, key = rng.integers(0, 1 << 38, n, dtype=np.uint64) * np.uint64(4), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sig, key = np.concatenate([sig, sig]), np.concatenate([key, (key >> np.uint64(7)) % np.uint64(5)])
+    columns = (sig.astype(np.uint32), (sig >> np.uint64(32)).astype(np.uint8), key)
+    batches = [pa.RecordBatch.from_arrays([pa.array([7, 2], pa.int32()), *(pa.array([c[a : a + n // 4].tobytes(), c[a + n // 4 : a + n // 2].tobytes()], pa.binary()) for c in columns)], names=["part", "low", "mid", "keys"]) for a in range(0, 2 * n, n // 2)]
+    want = Counter((x, y) if x < y else (y, x) for x, y in zip(key[:n].tolist(), key[n:].tolist()))
+    for held in (ngram_join.HELD, 3000):
+        monkeypatch.setattr(ngram_join, "HELD", held)
+        met = pa.Table.from_batches(list(ngram_join._meet(iter(batches))))
+        got = Counter(zip(*(met.column(c).to_numpy().view(np.uint64).tolist() for c in ("anchor", "key"))))
+        assert set(want) <= set(got) and len(got) < 1.01 * len(want)
+        assert held == 3000 or max(got.values()) <= 2
+
+
 def test_batches_and_slices_of_texts_are_small(spark):
     # a worker keeps what a task's batches and arrays took, beside a JVM that fills its heap
     import tracemalloc
