@@ -357,10 +357,10 @@ WITH t AS (SELECT doc_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS t FR
 SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN (length(t) - length(replace(t, chr(34), ''))) % 2 = 1 THEN 'quotes' {" ".join(f"WHEN regexp_matches(lower(right(t, {quality.ENDING})), '{p}') THEN '{r}'" for p, r in _REPORT)} ELSE 'complete' END AS reason FROM t
 """)
 def report_completeness(spark, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir, "doc_id", F.regexp_replace("text", f"^{WS}+|{WS}+$", "").alias("t"))
+    d = _docs(spark, sf_dir, "doc_id", F.regexp_replace("text", quality.exact(f"^{WS}+|{WS}+$"), "").alias("t"))
     out = F.when(F.col("t") == "", "empty").when(F.regexp_count("t", F.lit('"')) % 2 == 1, "quotes")
     for p, r in _REPORT:
-        out = out.when(F.lower(F.right("t", F.lit(quality.ENDING))).rlike(p), r)
+        out = out.when(quality.lowered(F.right("t", F.lit(quality.ENDING))).rlike(quality.exact(p)), r)
     return d.select("doc_id", out.otherwise("complete").alias("reason"))
 
 

@@ -75,6 +75,15 @@ def test_speech_ready_of_empty_texts(spark, tmp_path):
     assert dict(zip(got["doc_id"], got["text_yield"], strict=True))[0] == 0.0
 
 
+#: Endings before which letters with accents, rare white space or line ends stand, that regular expressions judge differently.
+ENDINGS = ("elleêan", "ciónído do", "ciónído", "êsaid,", "said, \x0b", "the\x0b", "the \x85", "the\u2028", "the \u2028", "the\xa0", "one,\x85", "one;\x0b", "ends İN", "ends \u212a in", "5the", "x_the", "\U0001d400a", "the", "he said,", "")
+
+
+def test_report_completeness_of_odd_endings(spark, tmp_path):
+    got = as_its_sql(spark, "report_completeness", written(spark, tmp_path, [None, *ENDINGS, *(f'Some "quoted" words é {x}' for x in ENDINGS)]), "documents")
+    assert dict(zip(got["doc_id"], got["reason"], strict=True))[1] == "article"
+
+
 def test_text_repetition_matches_the_rule(spark, tmp_path):
     """The reference's rule in Python, on the table's texts and on texts that repeat sentences but no words."""
     import hashlib
