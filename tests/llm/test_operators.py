@@ -88,6 +88,32 @@ def test_links(spark, rows):
     assert len(links) == len({(r.x, r.y) for r in links}) == n_links and all(r.x < r.y for r in links)
 
 
+def test_the_list_of_common_shingles_changes_no_result(spark, rows, monkeypatch):
+    """Drawn from a part of the texts, from all of them, empty, or any other: components and numbers of links are those of brute force."""
+    docs = [*rows, *((400 + k, rows[60][1] + f" tail{k}", "a") for k in range(20)), *((500 + k, f"{rows[60][1]} own{k} " + " ".join(f"x{k}y{j}" for j in range(40 + 10 * k)), "a") for k in range(8))]
+    docs = [(k, t, s) for k, (_, t, s) in enumerate(docs)]
+    sets = []
+    for _, t, _ in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
+    like = [[j for j, y in enumerate(sets) if x and y and 100 * len(x & y) >= 75 * len(x | y)] for x in sets]
+    least = list(range(len(sets)))
+    while (new := [min((least[j] for j in near), default=i) for i, near in enumerate(like)]) != least:
+        least = new
+    want = [(i, least[i], len(near) - bool(near)) for i, near in enumerate(like)]
+    values = np.sort(shingles.shingle_sets([(t or "").encode() for _, t, _ in docs])[1])
+    drawn, found = ngram_join.common_shingles, []
+    monkeypatch.setattr(ngram_join, "common_shingles", lambda *of: found.append(drawn(*of)) or found[-1])
+    monkeypatch.setattr(ngram_join, "COMMON", 1)
+    for sample in (8, 8192):
+        monkeypatch.setattr(ngram_join, "SAMPLE", sample)
+        assert sorted((r.doc_id, r.component_id, r.n_links) for r in ngram_join.ngram_components(table(spark, docs), count_links=True).collect()) == want
+    assert 0 < len(found[0]) < len(found[1])  # the first one is drawn from a part
+    for given in (values[:0], np.unique(values[::3])):
+        monkeypatch.setattr(ngram_join, "common_shingles", lambda *_: given)  # noqa: B023
+        assert sorted((r.doc_id, r.component_id, r.n_links) for r in ngram_join.ngram_components(table(spark, docs), count_links=True).collect()) == want
+
+
 def test_one_of_each_with_repeated_ids(spark):
     """Two near copies under one id, and a near copy of 3 under an id that leads another component."""
     text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
